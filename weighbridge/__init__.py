@@ -1,0 +1,11 @@
+"""weighbridge: audit the instruction files AI coding agents read, across many
+repositories at once, as Spark DataFrame jobs.
+
+The input is a snapshot table ``files(repo_id, rel_path, content)``; every
+per-repository question (health grade, token budget, import tree, leaked
+secrets, corpus study) is a lazy DataFrame derived from it.
+"""
+
+from weighbridge.plans.audit import Audit, audit
+
+__all__ = ["Audit", "audit"]
