@@ -64,7 +64,7 @@ def secret_matches(texts: DataFrame, key_cols: list[str], text_col: str = "conte
 
 def _valid_private_ip(v: Column) -> Column:
     octets = F.split(v, r"\.")
-    return F.forall(octets, lambda o: o.cast("int") <= 255)
+    return F.forall(octets, lambda o: o.try_cast("int") <= 255)
 
 
 def classify_matches(matches: DataFrame, keep_reserved_email: bool = False) -> DataFrame:
