@@ -1,0 +1,80 @@
+"""Bench: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
+
+Prints one JSON line: {"metric", "value", "unit", "queries": {name: sec}, "sf"}.
+Each query runs to completion into the ``noop`` sink (full execution, nothing
+collected to the driver); the value is the sum over queries.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import sys
+import tempfile
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+HEADLINE = [
+    "q_scan",
+    "q_health",
+    "q_findings",
+    "q_secret_scan",
+    "q_import_closure",
+    "q_budget_totals",
+    "q_budget_rank",
+    "q_token_count_bpe",
+    "q_mcp_cost",
+    "q_real_secret",
+    "q_study_summary",
+]
+
+
+def main() -> None:
+    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    names = sys.argv[1:] or HEADLINE
+    from pyspark.sql import SparkSession
+
+    from weighbridge.plans.queries import QUERIES
+
+    event_dir = tempfile.mkdtemp(prefix="weighbridge-bench-")
+    spark = (
+        SparkSession.builder.master(f"local[{cpus}]")
+        .appName("weighbridge-bench")
+        .config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", str(int(cpus) * 2))
+        .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.driver.memory", "16g")
+        .config("spark.eventLog.enabled", "true")
+        .config("spark.eventLog.dir", event_dir)
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    # warm-up: JVM, Python workers, tokenizer ranks
+    QUERIES["q_scan"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    times: dict[str, float] = {}
+    for name in names:
+        t0 = time.perf_counter()
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        times[name] = round(time.perf_counter() - t0, 3)
+        print(f"# {name} {times[name]}s", file=sys.stderr, flush=True)
+    sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    print(
+        json.dumps(
+            {
+                "metric": "audit_headline_total",
+                "value": round(sum(times.values()), 3),
+                "unit": "sec",
+                "queries": times,
+                "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
+            }
+        )
+    )
+    spark.stop()
+
+
+if __name__ == "__main__":
+    main()

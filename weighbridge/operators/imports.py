@@ -81,9 +81,12 @@ def import_closure(edges: DataFrame, context: DataFrame, reach_checkpoint_every:
     from weighbridge.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(edges.sparkSession)
-    fold = edges.where(F.col("dst_exists") & ~F.col("dst_is_context")).select(
-        "repo_id", F.col("src_path").alias("node_path"), F.col("dst_path").alias("next_path")
-    ).distinct()
+    fold = (
+        edges.where(F.col("dst_exists") & ~F.col("dst_is_context"))
+        .select("repo_id", F.col("src_path").alias("node_path"), F.col("dst_path").alias("next_path"))
+        .distinct()
+        .checkpoint(eager=True)
+    )
     frontier = context.select("repo_id", F.col("rel_path").alias("root_path"), F.col("rel_path").alias("node_path"))
     reach = None
     depth = 0

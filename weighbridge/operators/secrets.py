@@ -31,6 +31,46 @@ SECRET_RULES = [
 ]
 ANY_SECRET = "|".join(f"(?:{rule[1]})" for rule in SECRET_RULES)
 
+# Literal needles, one list per rule (same order): a rule's regex can only match
+# text that contains one of its needles ("lower:" needles are searched in the
+# lower-cased text). Substring search is far cheaper than any regex, so the
+# regexes run only on the few lines that can match.
+RULE_NEEDLES = [
+    ["PRIVATE KEY"],
+    ["AKIA"],
+    ["sk-"],
+    ["lower:bearer"],
+    ["lower:api", "lower:token", "lower:secret", "lower:password"],
+    ["@"],
+    ["10.", "172.", "192.168."],
+]
+
+
+def _needle_hit(raw: Column, low: Column, needles: list[str]) -> Column:
+    hit = None
+    for n in needles:
+        h = low.contains(n[len("lower:"):]) if n.startswith("lower:") else raw.contains(n)
+        hit = h if hit is None else (hit | h)
+    return hit
+
+
+def any_needle(raw: Column, low: Column | None = None) -> Column:
+    """Any rule's needle present. Without ``low``, the case-insensitive needles
+    are one ``(?i)`` alternation on the raw text: lower-casing a whole
+    multilingual text costs more than the search itself."""
+    exact = [n for needles in RULE_NEEDLES for n in needles if not n.startswith("lower:")]
+    folded = [n[len("lower:"):] for needles in RULE_NEEDLES for n in needles if n.startswith("lower:")]
+    hit = None
+    for n in exact:
+        h = raw.contains(n)
+        hit = h if hit is None else (hit | h)
+    if low is not None:
+        for n in folded:
+            hit = hit | low.contains(n)
+    else:
+        hit = hit | raw.rlike("(?i)" + "|".join(folded))
+    return hit
+
 
 def _mask(v: Column) -> Column:
     n = F.length(v)
@@ -47,14 +87,19 @@ def _tag(idx: int, code: str):
 def secret_matches(texts: DataFrame, key_cols: list[str], text_col: str = "content") -> DataFrame:
     """Raw rule hits: ``*key_cols, line, rule_idx, match_idx, code, value`` (1-based line)."""
     t = F.col(text_col)
-    lines = texts.where(t.isNotNull() & t.rlike(ANY_SECRET)).select(
-        *key_cols, F.posexplode(F.split(t, "\n", -1)).alias("line_idx", "line_text")
-    )
-    lines = lines.where(F.col("line_text").rlike(ANY_SECRET))
+    # 1) whole texts: literal needles only
+    cand = texts.where(t.isNotNull() & any_needle(t))
+    # 2) numbered lines of the candidate texts; keep lines with a needle
+    lines = cand.select(*key_cols, F.posexplode(F.split(t, "\n", -1)).alias("line_idx", "line_text"))
+    lines = lines.withColumn("_low", F.lower(F.col("line_text")))
+    raw, low = F.col("line_text"), F.col("_low")
+    lines = lines.where(any_needle(raw, low))
+    # 3) per rule, the regex runs only where that rule's needle is present
+    empty = F.array().cast("array<struct<rule_idx:int,match_idx:int,code:string,value:string>>")
     per_rule = []
     for idx, (code, regex, group, _sev, _what, _checked) in enumerate(SECRET_RULES):
-        hits = F.regexp_extract_all(F.col("line_text"), F.lit(regex), group)
-        per_rule.append(F.transform(hits, _tag(idx, code)))
+        hits = F.transform(F.regexp_extract_all(raw, F.lit(regex), group), _tag(idx, code))
+        per_rule.append(F.when(_needle_hit(raw, low, RULE_NEEDLES[idx]), hits).otherwise(empty))
     return lines.select(
         *key_cols,
         (F.col("line_idx") + 1).cast("int").alias("line"),

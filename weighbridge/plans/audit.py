@@ -21,6 +21,21 @@ from weighbridge.operators.findings import size_findings, union_findings, unreso
 from weighbridge.operators.imports import claim_imports, extract_edges, import_closure, unresolved_imports
 from weighbridge.operators.mcp import mcp_costs, mcp_servers
 from weighbridge.operators.secrets import secret_findings
+from weighbridge.session import ensure_checkpoint_dir
+
+
+def ensure_parallelism(files: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Hash-partition a snapshot read as too few partitions for its text work.
+
+    The scans that follow are CPU-bound (regex, tokenizer); a snapshot stored as
+    a handful of large row groups would leave cores idle. On a cluster reading
+    many files the input already has far more partitions and this is a no-op.
+    """
+    spark = files.sparkSession
+    target = min_partitions or 2 * spark.sparkContext.defaultParallelism
+    if files.rdd.getNumPartitions() >= target:
+        return files
+    return files.repartition(target, "repo_id", "rel_path")
 
 
 class Audit:
@@ -39,7 +54,7 @@ class Audit:
         max_bytes: int = dims.MAX_BYTES,
         keep_reserved_email: bool = False,
     ):
-        self.files = files.select("repo_id", "rel_path", "content")
+        self.files = ensure_parallelism(files.select("repo_id", "rel_path", "content"))
         self._repos = repos
         self.model = model
         self.window = window
@@ -64,7 +79,10 @@ class Audit:
     # ---- imports ---------------------------------------------------------------
     @cached_property
     def edges(self) -> DataFrame:
-        return extract_edges(self.files)
+        """Import edges, computed once (one narrow regex pass) and checkpointed:
+        the closure, unresolved specs and budget all read this short table."""
+        ensure_checkpoint_dir(self.files.sparkSession)
+        return extract_edges(self.files).checkpoint(eager=True)
 
     @cached_property
     def reach(self) -> DataFrame:
