@@ -43,8 +43,9 @@ def mcp_servers(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
     ev = F.try_parse_json(F.col("entry"))
     is_obj = _vtype(ev).startswith("OBJECT")
     inline = F.get_json_object(F.col("entry"), "$.tools")
-    inline_ok = is_obj & _vtype(F.try_variant_get(ev, "$.tools", "variant")).startswith("ARRAY") & (
-        F.json_array_length(inline) > 0
+    inline_ok = F.coalesce(
+        is_obj & _vtype(F.try_variant_get(ev, "$.tools", "variant")).startswith("ARRAY") & (F.json_array_length(inline) > 0),
+        F.lit(False),
     )
     tf = F.try_variant_get(ev, "$.toolsFile", "variant")
     mf = F.try_variant_get(ev, "$.manifest", "variant")

@@ -266,7 +266,7 @@ SELECT s.repo_id, s.server, CAST(s.ord AS INTEGER) AS ord,
   END AS tools_json
 FROM (
   SELECT repo_id, config_path, server, ord, entry,
-    (json_type(entry) = 'OBJECT' AND json_type(entry, '$.tools') = 'ARRAY' AND json_array_length(entry, '$.tools') > 0) AS inline_ok,
+    coalesce(json_type(entry) = 'OBJECT' AND json_type(entry, '$.tools') = 'ARRAY' AND json_array_length(entry, '$.tools') > 0, false) AS inline_ok,
     json_extract(entry, '$.tools')::VARCHAR AS inline_tools,
     CASE WHEN json_type(entry) = 'OBJECT' AND json_type(coalesce(
            CASE WHEN json_type(entry, '$.toolsFile') IS NOT NULL AND json_type(entry, '$.toolsFile') <> 'NULL' THEN json_extract(entry, '$.toolsFile') END,
