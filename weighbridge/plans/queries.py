@@ -477,3 +477,32 @@ def q_study_prevalence(spark, sf):
 )
 def q_study_ranking(spark, sf):
     return S.study_ranking(_results(spark, sf))
+
+
+@register(
+    "q_scan_results",
+    O.build(
+        "SELECT repo_id, status, grade, always_on_tokens, truncates, has_email, has_private_ip, has_credential FROM results",
+        "results",
+    ),
+)
+def q_scan_results(spark, sf):
+    r = _results(spark, sf)
+    return r.select("repo_id", "status", "grade", "always_on_tokens", "truncates", "has_email", "has_private_ip", "has_credential")
+
+
+@register("q_sarif")
+def q_sarif(spark, sf):
+    """SARIF 2.1.0 text per repository (rows only; structure is covered by pytest)."""
+    from weighbridge.sinks.sarif import sarif_documents
+
+    a = fixture_audit(spark, sf)
+    return sarif_documents(a.findings, a.health)
+
+
+@register("q_json_report")
+def q_json_report(spark, sf):
+    """Per-repository JSON summary documents (rows only)."""
+    from weighbridge.sinks.json_report import report_documents
+
+    return report_documents(fixture_audit(spark, sf))

@@ -69,6 +69,7 @@ def scan_result_schema() -> T.StructType:
     )
 
 
-def read_scan_results(spark: SparkSession, path: str) -> DataFrame:
-    """Read per-repository result documents (pretty-printed JSON, one per file)."""
-    return spark.read.schema(scan_result_schema()).option("multiLine", "true").json(path)
+def read_scan_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Read per-repository result documents: pretty-printed JSON, one per file
+    (``multi_line``), or JSON lines as written by :func:`scan_result_documents`."""
+    return spark.read.schema(scan_result_schema()).option("multiLine", str(multi_line).lower()).json(path)
