@@ -94,7 +94,7 @@ def with_secret_features(df: DataFrame, value_col: str, prefix: str = "_s") -> D
     """
     t, ph, ln, en = (f"{prefix}_trim", f"{prefix}_placeholder", f"{prefix}_len16", f"{prefix}_entropy")
     out = df.withColumn(t, js_trim(F.col(value_col)))
-    out = out.withColumn(ph, is_placeholder(F.col(t), trimmed=True)).withColumn(ln, utf16_length(F.col(t)))
+    out = out.withColumns({ph: is_placeholder(F.col(t), trimmed=True), ln: utf16_length(F.col(t))})
     needs_entropy = ~F.col(ph) & (F.col(ln) >= MIN_SECRET_LEN)
     out = out.withColumn(en, F.when(needs_entropy, shannon_entropy(F.col(t))))
     return out.withColumn(f"{prefix}_real", F.coalesce(needs_entropy & (F.col(en) >= MIN_SECRET_ENTROPY), F.lit(False)))

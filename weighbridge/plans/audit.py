@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +26,21 @@ from weighbridge.session import ensure_checkpoint_dir
 
 
 def ensure_parallelism(files: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition a snapshot read as too few partitions for its text work.
+    """Hash-partition (and keep) a snapshot read as too few partitions for its text work.
 
     The scans that follow are CPU-bound (regex, tokenizer); a snapshot stored as
-    a handful of large row groups would leave cores idle. On a cluster reading
-    many files the input already has far more partitions and this is a no-op.
+    a handful of large row groups would leave cores idle. Fewer input partitions
+    than ``2 x cores`` also bounds the input (each scan partition holds at most
+    ``spark.sql.files.maxPartitionBytes``), so the reshuffled copy is persisted
+    (memory and disk) for the audit's several passes. On a cluster reading many
+    files the input already has far more partitions and this is a no-op: no
+    shuffle, no cache.
     """
     spark = files.sparkSession
     target = min_partitions or 2 * spark.sparkContext.defaultParallelism
     if files.rdd.getNumPartitions() >= target:
         return files
-    return files.repartition(target, "repo_id", "rel_path")
+    return files.repartition(target, "repo_id", "rel_path").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 class Audit:
@@ -106,7 +111,9 @@ class Audit:
             "repo_id", "rel_path", F.lit(False).alias("is_context"), F.lit(None).cast("string").alias("load"), "content"
         )
         t = with_tokens(ctx.unionByName(folded), "content", "tokens", weigher=self.weigher, **self.token_opts)
-        return t.select("repo_id", "rel_path", "is_context", "load", F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("tokens"))
+        out = t.select("repo_id", "rel_path", "is_context", "load", F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("tokens"))
+        # keys and counts only (no text): kept for the budget's several readers
+        return out.persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def imported(self) -> DataFrame:
@@ -121,11 +128,13 @@ class Audit:
     # ---- health ----------------------------------------------------------------
     @cached_property
     def findings(self) -> DataFrame:
+        """All findings; persisted (they are short rows, read by health, gate,
+        summaries, SARIF and the study flags)."""
         return union_findings(
             size_findings(self.context, self.max_lines, self.max_bytes),
             secret_findings(self.context, self.keep_reserved_email),
             unresolved_findings(self.unresolved),
-        )
+        ).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def health(self) -> DataFrame:
