@@ -74,3 +74,14 @@ def test_incremental_scan_batch_and_stream(spark):
     assert sorted(r["repo_id"] for r in rows) == ["r1", "r2"]  # r1 already had a result: skipped
     repos = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "repo_id string")
     assert [r[0] for r in pending_repos(repos, spark.read.parquet(res)).collect()] == ["r3"]
+
+
+def test_write_lines_buckets(spark):
+    from weighbridge.sinks.json_report import finding_lines
+    from weighbridge.sinks.writers import write_lines
+
+    a = _audit(spark)
+    out = os.path.join(tempfile.mkdtemp(prefix="wb-lines-"), "findings")
+    write_lines(finding_lines(a.findings), out, buckets=4)
+    back = [json.loads(r["value"]) for r in spark.read.text(out).collect()]
+    assert sorted(x["code"] for x in back) == ["budget/too-long", "imports/unresolved"]

@@ -8,7 +8,6 @@ literals beats any join) or as tiny dimension DataFrames for reports.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 # ---- fixed values: context file names and their kind -------------------------
 EXACT_KINDS = {
@@ -87,18 +86,24 @@ SARIF_LEVEL = {"error": "error", "warn": "warning", "info": "note"}
 SARIF_NO_CONTEXT = "No agent context files found — nothing to audit (health is N/A)."
 
 
+def _literal_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small fixed table built JVM-side (no Python data transfer)."""
+    from pyspark.sql import functions as F
+
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def kind_dim(spark: SparkSession) -> DataFrame:
     rows = [(name, kind, "always") for name, kind in EXACT_KINDS.items()]
     rows.append((SKILL_NAME, "skill", "ondemand"))
     rows.append(("*" + RULE_SUFFIX, "cursor", "ondemand"))
-    schema = "name string, kind string, load string"
-    return spark.createDataFrame(rows, schema)
+    return _literal_table(spark, ["name", "kind", "load"], rows)
 
 
 def price_dim(spark: SparkSession) -> DataFrame:
-    schema = T.StructType([T.StructField("model", T.StringType()), T.StructField("usd_per_mtok", T.DoubleType())])
-    return spark.createDataFrame(list(PRICING_USD_PER_MTOK.items()), schema)
+    return _literal_table(spark, ["model", "usd_per_mtok"], list(PRICING_USD_PER_MTOK.items()))
 
 
 def grade_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(g, i) for i, g in enumerate(GRADES)], "grade string, grade_ord int")
+    return _literal_table(spark, ["grade", "grade_ord"], [(g, i) for i, g in enumerate(GRADES)])

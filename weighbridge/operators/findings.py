@@ -115,6 +115,13 @@ def unresolved_findings(unresolved: DataFrame) -> DataFrame:
     )
 
 
+def finding_location(file: Column, line: Column) -> Column:
+    """``file:line`` when there is a line, else the file, else empty."""
+    return F.when(file.isNotNull() & (line > 0), F.concat(file, F.lit(":"), line.cast("string"))).otherwise(
+        F.coalesce(file, F.lit(""))
+    )
+
+
 def union_findings(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -129,3 +129,21 @@ def top_suggestions(findings: DataFrame, k: int = dims.TOP_SUGGESTIONS) -> DataF
         "suggestion",
         F.greatest(F.col("n_distinct") - k, F.lit(0)).cast("long").alias("n_more"),
     )
+
+
+def distinct_first_seen(findings: DataFrame) -> DataFrame:
+    """Distinct non-null suggestions per repository in first-seen order (the report's fix list).
+
+    ``first`` is the finding order key of the first occurrence; ``pos`` numbers
+    the suggestions with the skew-safe rank (a repository's list is not
+    gathered in one task).
+    """
+    from weighbridge.plans.ranking import rank_within
+
+    firsts = (
+        findings.where(F.col("suggestion").isNotNull())
+        .groupBy("repo_id", "suggestion")
+        .agg(F.min(F.struct("file", "rule_ord", "item_ord")).alias("first"))
+    )
+    ranked = rank_within(firsts, ["repo_id"], [F.col("first"), F.col("suggestion")], out="pos")
+    return ranked.select("repo_id", "suggestion", F.col("first.file").alias("first_file"), "pos")

@@ -75,17 +75,17 @@ def import_closure(edges: DataFrame, context: DataFrame, reach_checkpoint_every:
 
     Semi-naive iteration: each round joins only the newest frontier with the
     foldable edges and drops pairs already reached (``left_anti``). Every
-    round is written with ``checkpoint()`` to the session's checkpoint folder,
-    so the plan stays short and a lost executor recomputes one round at most.
+    round is written as a table in the session's checkpoint folder
+    (:func:`weighbridge.session.materialize`), so the plan stays short and a
+    lost executor recomputes one round at most.
     """
-    from weighbridge.session import ensure_checkpoint_dir
+    from weighbridge.session import materialize
 
-    ensure_checkpoint_dir(edges.sparkSession)
-    fold = (
+    fold = materialize(
         edges.where(F.col("dst_exists") & ~F.col("dst_is_context"))
         .select("repo_id", F.col("src_path").alias("node_path"), F.col("dst_path").alias("next_path"))
-        .distinct()
-        .checkpoint(eager=True)
+        .distinct(),
+        "fold",
     )
     frontier = context.select("repo_id", F.col("rel_path").alias("root_path"), F.col("rel_path").alias("node_path"))
     reach = None
@@ -100,12 +100,12 @@ def import_closure(edges: DataFrame, context: DataFrame, reach_checkpoint_every:
         )
         if reach is not None:
             step = step.join(reach.select("repo_id", "root_path", "node_path"), ["repo_id", "root_path", "node_path"], "left_anti")
-        step = step.withColumn("depth", F.lit(depth)).checkpoint(eager=True)
+        step = materialize(step.withColumn("depth", F.lit(depth)), f"reach{depth}")
         if step.isEmpty():
             break
         reach = step if reach is None else reach.unionByName(step)
         if depth % reach_checkpoint_every == 0:
-            reach = reach.checkpoint(eager=True)
+            reach = materialize(reach, "reach")
         frontier = step.select("repo_id", "root_path", "node_path")
     if reach is None:
         schema = "repo_id string, root_path string, node_path string, depth int"

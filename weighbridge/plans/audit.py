@@ -22,7 +22,7 @@ from weighbridge.operators.findings import size_findings, union_findings, unreso
 from weighbridge.operators.imports import claim_imports, extract_edges, import_closure, unresolved_imports
 from weighbridge.operators.mcp import mcp_costs, mcp_servers
 from weighbridge.operators.secrets import secret_findings
-from weighbridge.session import ensure_checkpoint_dir
+from weighbridge.session import materialize
 
 
 def ensure_parallelism(files: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -86,8 +86,7 @@ class Audit:
     def edges(self) -> DataFrame:
         """Import edges, computed once (one narrow regex pass) and checkpointed:
         the closure, unresolved specs and budget all read this short table."""
-        ensure_checkpoint_dir(self.files.sparkSession)
-        return extract_edges(self.files).checkpoint(eager=True)
+        return materialize(extract_edges(self.files), "edges")
 
     @cached_property
     def reach(self) -> DataFrame:

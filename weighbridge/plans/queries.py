@@ -62,6 +62,7 @@ def q_scan(spark, sf):
 
 
 FINDING_OUT = ["repo_id", "file", "line", "severity", "code", "message", "suggestion"]
+_FIRST = "min({'f': file, 'r': rule_ord, 'i': item_ord})"
 SQL_FINDING_OUT = "repo_id, file, line, severity, code, message, suggestion"
 
 
@@ -190,9 +191,32 @@ def q_reserved_email(spark, sf):
 
 
 # ---- findings and health ------------------------------------------------------
-@register("q_findings", O.build(f"SELECT {SQL_FINDING_OUT}, sev_rank FROM findings", "findings"))
+@register(
+    "q_findings",
+    O.build(
+        f"SELECT {SQL_FINDING_OUT}, sev_rank, CASE WHEN file IS NOT NULL AND line > 0 THEN file || ':' || CAST(line AS VARCHAR) "
+        "ELSE coalesce(file, '') END AS location FROM findings",
+        "findings",
+    ),
+)
 def q_findings(spark, sf):
-    return fixture_audit(spark, sf).findings.select(*FINDING_OUT, "sev_rank")
+    from weighbridge.operators.findings import finding_location
+
+    f = fixture_audit(spark, sf).findings
+    return f.select(*FINDING_OUT, "sev_rank", finding_location(F.col("file"), F.col("line")).alias("location"))
+
+
+@register(
+    "q_distinct_suggestions",
+    O.build(
+        "SELECT repo_id, suggestion, first.f AS first_file, "
+        "CAST(row_number() OVER (PARTITION BY repo_id ORDER BY first, suggestion) AS BIGINT) AS pos FROM ("
+        f"SELECT repo_id, suggestion, {_FIRST} AS first FROM findings WHERE suggestion IS NOT NULL GROUP BY repo_id, suggestion)",
+        "findings",
+    ),
+)
+def q_distinct_suggestions(spark, sf):
+    return H.distinct_first_seen(fixture_audit(spark, sf).findings)
 
 
 @register("q_health", O.build("SELECT * FROM health", "health"))
@@ -225,9 +249,6 @@ def _label_case() -> str:
     return "CASE " + " ".join(parts) + " END"
 
 
-_FIRST = "min({'f': file, 'r': rule_ord, 'i': item_ord})"
-
-
 @register(
     "q_problem_summary",
     O.build(

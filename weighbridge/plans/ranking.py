@@ -7,8 +7,9 @@ instead, so a hot key is cut into many sorted slices. Each row's rank is its
 position inside its slice plus the sizes of the key's earlier slices; the
 per-(key, slice) table has at most ``keys + slices`` rows.
 
-The sorted, numbered rows are written with ``checkpoint()`` before the two
-passes that read them, so a lost executor cannot renumber them differently.
+The sorted, numbered rows are written as a table in the checkpoint folder
+before the two passes that read them, so a lost executor cannot renumber them
+differently.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weighbridge.session import ensure_checkpoint_dir
+from weighbridge.session import ensure_checkpoint_dir, materialize
 
 _LOCAL_BITS = (1 << 33) - 1  # monotonically_increasing_id: partition << 33 | row in partition
 
@@ -41,9 +42,12 @@ def rank_within(
     key_cols = [F.col(k) for k in keys]
     sort_cols = key_cols + list(order)
     ranged = df.repartitionByRange(n_slices, *sort_cols).sortWithinPartitions(*sort_cols)
-    tagged = ranged.withColumn("_slice", F.spark_partition_id()).withColumn(
-        "_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS))
-    ).checkpoint(eager=True)
+    tagged = materialize(
+        ranged.withColumn("_slice", F.spark_partition_id()).withColumn(
+            "_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS))
+        ),
+        "ranked",
+    )
     slices = tagged.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_pos0"))
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1) if keys else (
         W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)

@@ -54,3 +54,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local_dir = tempfile.mkdtemp(prefix="weighbridge-ckpt-")
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir() or local_dir
+
+
+def materialize(df, label: str = "step"):
+    """Write ``df`` as a parquet table under the checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` (the table lives in the shared
+    folder the cluster names, so it survives lost executors), but costs one
+    job: an RDD checkpoint computes its input once for the action and again to
+    write it. Each call gets a fresh folder.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/weighbridge-tables/{label}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)

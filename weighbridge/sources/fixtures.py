@@ -108,7 +108,7 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repos_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repository list: every repository with files, plus three with none."""
-    none = spark.createDataFrame([("repo_none1",), ("repo_none2",), ("repo_none3",)], "repo_id string")
+    none = spark.range(1, 4).select(F.concat(F.lit("repo_none"), F.col("id").cast("string")).alias("repo_id"))
     return files_v(spark, sf_dir).select("repo_id").distinct().unionByName(none)
 
 
