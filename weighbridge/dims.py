@@ -27,6 +27,10 @@ RULE_SUFFIX = ".mdc"  # kind "cursor", loaded on demand
 IGNORE_DIRS = ["node_modules", ".git", "dist", "build", ".next", "vendor", "coverage"]
 MAX_DEPTH = 6  # at most this many parent directories
 
+# ---- fixed values: file names an @import can reach, and config files -------
+IMPORTABLE_NAME = r"(?i)\.(markdown|mdx|mdc|md|txt|rst)\z"
+CONFIG_NAME = r"(?i)\.json\z"
+
 # ---- fixed values: health rules ----------------------------------------------
 MAX_LINES = 200
 MAX_BYTES = 32 * 1024

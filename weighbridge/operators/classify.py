@@ -45,6 +45,8 @@ def scan_context_files(files: DataFrame, max_depth: int = dims.MAX_DEPTH) -> Dat
     column is touched; the result is one row per discovered context file.
     """
     name = basename(F.col("rel_path"))
+    if "path_class" in files.columns:  # partition pruning on a laid-out snapshot
+        files = files.where(F.col("path_class") == "context")
     return (
         files.withColumn("_name", name)
         .withColumn("kind", classify_kind(F.col("_name")))
@@ -59,3 +61,19 @@ def scan_context_files(files: DataFrame, max_depth: int = dims.MAX_DEPTH) -> Dat
             "content",
         )
     )
+
+
+def path_class(rel_path: Column, max_depth: int = dims.MAX_DEPTH) -> Column:
+    """``context`` | ``importable`` | ``config`` | ``other``, from the path alone.
+
+    Used as the partition column of a laid-out snapshot
+    (:func:`weighbridge.sinks.writers.write_snapshot`): the audit's scans then
+    list only the partitions they need instead of reading every file's text.
+    """
+    is_ctx = classify_kind(basename(rel_path)).isNotNull() & discoverable(rel_path, max_depth)
+    return (
+        F.when(is_ctx, F.lit("context"))
+        .when(rel_path.rlike(dims.IMPORTABLE_NAME), F.lit("importable"))
+        .when(rel_path.rlike(dims.CONFIG_NAME), F.lit("config"))
+        .otherwise(F.lit("other"))
+    )

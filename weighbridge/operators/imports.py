@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weighbridge import dims
 from weighbridge.functions.paths import resolve_import
 from weighbridge.functions.text import basename
 from weighbridge.operators.classify import classify_kind, discoverable
@@ -25,13 +26,22 @@ from weighbridge.operators.classify import classify_kind, discoverable
 # text extension, in any case. The audited pattern ends in an ASCII word
 # boundary; Java's \b is Unicode-aware, so the boundary is spelled out.
 IMPORT_RE = r"(?im)^[ \t]*@([./\w-]+\.(?:markdown|mdx|mdc|md|txt|rst))(?![A-Za-z0-9_])"
-IMPORTABLE_NAME = r"(?i)\.(markdown|mdx|mdc|md|txt|rst)\z"
+IMPORTABLE_NAME = dims.IMPORTABLE_NAME
 
 
 def _is_context_path(path) -> F.Column:
     return classify_kind(basename(path)).isNotNull() & discoverable(path)
 
 
+def _target_scope(files: DataFrame) -> DataFrame:
+    """Files that can be import targets. A spec always ends in an importable
+    extension, so on a snapshot partitioned by ``path_class`` only those
+    partitions (plus context files) are listed."""
+    if "path_class" in files.columns:
+        return files.where(F.col("path_class").isin("context", "importable"))
+    return files
+
+
 def extract_edges(files: DataFrame) -> DataFrame:
     """One row per import line: ``repo_id, src_path, ord, spec, dst_path, dst_exists, dst_is_context``.
 
@@ -40,6 +50,8 @@ def extract_edges(files: DataFrame) -> DataFrame:
     null when the spec leaves the snapshot root.
     """
     path = F.col("rel_path")
+    if "path_class" in files.columns:  # partition pruning on a laid-out snapshot
+        files = files.where(F.col("path_class").isin("context", "importable"))
     sources = files.where(
         (_is_context_path(path) | path.rlike(IMPORTABLE_NAME)) & F.col("content").contains("@")
     ).select(
@@ -48,12 +60,15 @@ def extract_edges(files: DataFrame) -> DataFrame:
         F.posexplode(F.regexp_extract_all(F.col("content"), F.lit(IMPORT_RE), 1)).alias("ord", "spec"),
     )
     raw = sources.withColumn("dst_path", resolve_import(F.col("src_path"), F.col("spec")))
-    # Existence: stream the snapshot's keys against the (small) set of targets.
+    # Existence: stream the snapshot's keys (no text) against the set of
+    # targets; unreadable files (null content) are found with an IS NULL scan
+    # that parquet null-count statistics prune to almost nothing.
     targets = raw.where(F.col("dst_path").isNotNull()).select("repo_id", "dst_path").distinct()
+    keys = _target_scope(files).select("repo_id", F.col("rel_path").alias("dst_path"))
+    unreadable = _target_scope(files).where(F.col("content").isNull()).select("repo_id", F.col("rel_path").alias("dst_path"))
     existing = (
-        files.where(F.col("content").isNotNull())
-        .select("repo_id", F.col("rel_path").alias("dst_path"))
-        .join(targets, ["repo_id", "dst_path"], "left_semi")
+        keys.join(targets, ["repo_id", "dst_path"], "left_semi")
+        .join(unreadable, ["repo_id", "dst_path"], "left_anti")
         .withColumn("dst_exists", F.lit(True))
     )
     edges = raw.join(existing, ["repo_id", "dst_path"], "left").withColumn(

@@ -28,7 +28,8 @@ def mcp_servers(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
     ``manifest``) names a manifest relative to the config: a top-level array
     (even empty) or a non-empty ``{"tools": [...]}``.
     """
-    cfg = files.where((F.col("rel_path") == config_path) & F.col("content").isNotNull()).select(
+    scope = files.where(F.col("path_class") == "config") if ("path_class" in files.columns and config_path.lower().endswith(".json")) else files
+    cfg = scope.where((F.col("rel_path") == config_path) & F.col("content").isNotNull()).select(
         "repo_id", F.col("rel_path").alias("config_path"), "content"
     )
     servers_json = F.get_json_object(F.col("content"), "$.mcpServers")
@@ -57,10 +58,16 @@ def mcp_servers(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
         F.when(~inline_ok, resolve_import(F.col("config_path"), ref_str)).alias("manifest_path"),
     )
     # Manifest contents: stream the snapshot against the few referenced paths.
+    # On a snapshot laid out by path_class, JSON manifests are looked up in
+    # the config partition only.
     wanted = s.where(F.col("manifest_path").isNotNull()).select("repo_id", F.col("manifest_path").alias("rel_path")).distinct()
-    manifests = files.join(wanted, ["repo_id", "rel_path"], "left_semi").select(
-        "repo_id", F.col("rel_path").alias("manifest_path"), F.col("content").alias("manifest")
-    )
+    if "path_class" in files.columns:
+        is_json = F.col("rel_path").rlike(dims.CONFIG_NAME)
+        found = files.where(F.col("path_class") == "config").join(wanted.where(is_json), ["repo_id", "rel_path"], "left_semi")
+        found = found.unionByName(files.join(wanted.where(~is_json), ["repo_id", "rel_path"], "left_semi"))
+    else:
+        found = files.join(wanted, ["repo_id", "rel_path"], "left_semi")
+    manifests = found.select("repo_id", F.col("rel_path").alias("manifest_path"), F.col("content").alias("manifest"))
     mv = F.try_parse_json(F.col("manifest"))
     m_tools = F.get_json_object(F.col("manifest"), "$.tools")
     from_manifest = (

@@ -23,3 +23,24 @@ def write_lines(df: DataFrame, path: str, text_col: str = "json", buckets: int =
 def write_scan_results(docs: DataFrame, path: str, mode: str = "append") -> None:
     """Append per-repository result records (JSON lines) for a study."""
     docs.write.mode(mode).json(path)
+
+
+def write_snapshot(files: DataFrame, path: str, mode: str = "error", rows_per_file: int = 200_000) -> None:
+    """Lay a snapshot out for the audit: partitioned by ``path_class``, sorted by
+    ``(repo_id, rel_path)`` inside each file.
+
+    Context files, import candidates and configs then sit in their own
+    partitions; the audit's scans prune the rest (usually nearly all bytes of
+    a code snapshot) by directory, before any text is read.
+    """
+    from weighbridge.operators.classify import path_class
+
+    laid = files.withColumn("path_class", path_class(F.col("rel_path")))
+    (
+        laid.repartition("path_class", "repo_id")
+        .sortWithinPartitions("repo_id", "rel_path")
+        .write.mode(mode)
+        .option("maxRecordsPerFile", rows_per_file)
+        .partitionBy("path_class")
+        .parquet(path)
+    )

@@ -20,7 +20,8 @@ def load_snapshot(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     content = F.col("content")
     if dict(df.dtypes).get("content") == "binary":
         content = F.make_valid_utf8(content.cast("string"))
-    return df.select("repo_id", "rel_path", content.alias("content"))
+    extra = ["path_class"] if "path_class" in df.columns else []  # keeps partition pruning available
+    return df.select("repo_id", "rel_path", content.alias("content"), *extra)
 
 
 def lines_to_urls(lines: DataFrame, line_col: str = "line") -> DataFrame:
