@@ -130,9 +130,7 @@ def study_summary(results: DataFrame, over_low: int = 2000, over_high: int = 800
 
 def study_grade_histogram(results: DataFrame) -> DataFrame:
     """Repositories per grade A..F among the ``ok`` ones, zeros shown, fixed order."""
-    spark = results.sparkSession
-    rows = F.array(*[F.struct(F.lit(g).alias("grade"), F.lit(i).alias("grade_ord")) for i, g in enumerate(dims.GRADES)])
-    grades = spark.range(1).select(F.inline(rows))
+    grades = dims.grade_dim(results.sparkSession)
     counts = _ok(results).groupBy("grade").agg(F.count(F.lit(1)).alias("n"))
     return F.broadcast(grades).join(counts, "grade", "left").select(
         "grade", "grade_ord", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_repos")
