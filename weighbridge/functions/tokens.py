@@ -10,65 +10,66 @@ those counts instead.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Encoders live for the life of the Python worker: ranks are read once per
-# process, not once per batch.
-_ENCODERS: dict = {}
-
-
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers as P
 
     return P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
-def _encoder(ranks_path: str, pattern: str):
-    key = (ranks_path, pattern)
-    enc = _ENCODERS.get(key)
-    if enc is None:
-        import tiktoken
-
-        ranks = {}
-        with open(ranks_path, "rb") as fh:
-            for line in fh:
-                if line.strip():
-                    tok, rank = line.split()
-                    ranks[base64.b64decode(tok)] = int(rank)
-        enc = tiktoken.Encoding(
-            name=f"weighbridge_{len(_ENCODERS)}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
-        )
-        _ENCODERS[key] = enc
-    return enc
-
-
 def bpe_token_count(ranks_path: str | None = None, pattern: str | None = None):
     """A pandas UDF ``string -> long``: exact BPE token count; empty text → 0.
 
     Special-token strings in the text are encoded as ordinary text, so no
-    content can fail the job.
+    content can fail the job. The UDF is self-contained (it references no
+    module of this package), so executors need only ``tiktoken`` and the ranks
+    file; the encoder is built once per Python worker and kept in a
+    worker-level module object across tasks.
     """
     if ranks_path is None or pattern is None:
         d_path, d_pat = default_vocabulary()
         ranks_path = ranks_path or d_path
         pattern = pattern or d_pat
 
-    @F.pandas_udf("long")
     def bpe_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = _encoder(ranks_path, pattern)
+        import base64 as _b64
+        import sys as _sys
+        import types as _types
+
+        import pandas as _pd
+
+        cache = _sys.modules.get("_weighbridge_bpe_cache")
+        if cache is None:
+            cache = _types.ModuleType("_weighbridge_bpe_cache")
+            cache.encoders = {}
+            _sys.modules["_weighbridge_bpe_cache"] = cache
+        enc = cache.encoders.get((ranks_path, pattern))
+        if enc is None:
+            import tiktoken
+
+            ranks = {}
+            with open(ranks_path, "rb") as fh:
+                for line in fh:
+                    if line.strip():
+                        tok, rank = line.split()
+                        ranks[_b64.b64decode(tok)] = int(rank)
+            enc = tiktoken.Encoding(
+                name=f"weighbridge_{len(cache.encoders)}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
+            )
+            cache.encoders[(ranks_path, pattern)] = enc
         for texts in batches:
             mask = texts.isna()
             encoded = enc.encode_ordinary_batch(texts.fillna("").tolist(), num_threads=1)
-            counts = pd.Series([len(t) for t in encoded], index=texts.index, dtype="Int64")
-            counts[mask] = pd.NA
+            counts = _pd.Series([len(t) for t in encoded], index=texts.index, dtype="Int64")
+            counts[mask] = _pd.NA
             yield counts
 
-    return bpe_tokens
+    return F.pandas_udf(bpe_tokens, "long")
 
 
 def bytes4(content: Column) -> Column:
