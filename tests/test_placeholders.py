@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weighbridge.functions.placeholders import (
+    PLACEHOLDER_PATTERNS,
     is_placeholder,
     is_reserved_email_domain,
     looks_like_real_secret,
@@ -86,3 +87,20 @@ def test_entropy_matches_model(spark, values):
     got = _eval(spark, values, shannon_entropy)
     for v, g in zip(values, got):
         assert abs(g - _entropy_model(v)) < 1e-9, (v, g)
+
+
+def _py_placeholder(v: str) -> bool:
+    import re
+
+    t = v.strip()
+    return any(re.search(p.replace(r"\z", r"\Z"), t, re.ASCII) for p in PLACEHOLDER_PATTERNS)
+
+
+ALPHABET = st.sampled_from(list("xX-_*<>{}$%/aeiourstkyn0m1p ") + ["your", "key", "test", "sk-", "token", "here", "foo"])
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(ALPHABET, min_size=1, max_size=8).map("".join), min_size=1, max_size=30))
+def test_placeholder_dialect_matches_python_model(spark, values):
+    got = _eval(spark, values, is_placeholder)
+    assert got == [_py_placeholder(v) for v in values]

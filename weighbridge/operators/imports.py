@@ -33,7 +33,7 @@ def _is_context_path(path) -> F.Column:
     return classify_kind(basename(path)).isNotNull() & discoverable(path)
 
 
-def _target_scope(files: DataFrame) -> DataFrame:
+def target_scope(files: DataFrame) -> DataFrame:
     """Files that can be import targets. A spec always ends in an importable
     extension, so on a snapshot partitioned by ``path_class`` only those
     partitions (plus context files) are listed."""
@@ -64,8 +64,8 @@ def extract_edges(files: DataFrame) -> DataFrame:
     # targets; unreadable files (null content) are found with an IS NULL scan
     # that parquet null-count statistics prune to almost nothing.
     targets = raw.where(F.col("dst_path").isNotNull()).select("repo_id", "dst_path").distinct()
-    keys = _target_scope(files).select("repo_id", F.col("rel_path").alias("dst_path"))
-    unreadable = _target_scope(files).where(F.col("content").isNull()).select("repo_id", F.col("rel_path").alias("dst_path"))
+    keys = target_scope(files).select("repo_id", F.col("rel_path").alias("dst_path"))
+    unreadable = target_scope(files).where(F.col("content").isNull()).select("repo_id", F.col("rel_path").alias("dst_path"))
     existing = (
         keys.join(targets, ["repo_id", "dst_path"], "left_semi")
         .join(unreadable, ["repo_id", "dst_path"], "left_anti")

@@ -19,7 +19,7 @@ from weighbridge.operators import budget as B
 from weighbridge.operators import health as H
 from weighbridge.operators.classify import scan_context_files
 from weighbridge.operators.findings import size_findings, union_findings, unresolved_findings
-from weighbridge.operators.imports import _target_scope, claim_imports, extract_edges, import_closure, unresolved_imports
+from weighbridge.operators.imports import target_scope, claim_imports, extract_edges, import_closure, unresolved_imports
 from weighbridge.operators.mcp import mcp_costs, mcp_servers
 from weighbridge.operators.secrets import secret_findings
 from weighbridge.session import materialize
@@ -107,7 +107,7 @@ class Audit:
         """``repo_id, rel_path, is_context, load, tokens`` for context files and claimed imports."""
         ctx = self.context.select("repo_id", "rel_path", F.lit(True).alias("is_context"), "load", "content")
         wanted = self.claims.select("repo_id", F.col("imported_path").alias("rel_path")).distinct()
-        folded = _target_scope(self.files).join(wanted, ["repo_id", "rel_path"], "left_semi").select(
+        folded = target_scope(self.files).join(wanted, ["repo_id", "rel_path"], "left_semi").select(
             "repo_id", "rel_path", F.lit(False).alias("is_context"), F.lit(None).cast("string").alias("load"), "content"
         )
         t = with_tokens(ctx.unionByName(folded), "content", "tokens", weigher=self.weigher, **self.token_opts)
