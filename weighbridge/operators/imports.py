@@ -13,6 +13,7 @@ contain ``@``); everything after that joins and shuffles only short keys.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,11 @@ def extract_edges(files: DataFrame) -> DataFrame:
         path.alias("src_path"),
         F.posexplode(F.regexp_extract_all(F.col("content"), F.lit(IMPORT_RE), 1)).alias("ord", "spec"),
     )
-    raw = sources.withColumn("dst_path", resolve_import(F.col("src_path"), F.col("spec")))
+    # Extracted once: the rows (keys and specs, no text) feed both the target
+    # set and the join below, so they are kept rather than re-scanned.
+    raw = sources.withColumn("dst_path", resolve_import(F.col("src_path"), F.col("spec"))).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     # Existence: stream the snapshot's keys (no text) against the set of
     # targets; unreadable files (null content) are found with an IS NULL scan
     # that parquet null-count statistics prune to almost nothing.

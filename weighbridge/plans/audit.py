@@ -58,9 +58,11 @@ class Audit:
         max_lines: int = dims.MAX_LINES,
         max_bytes: int = dims.MAX_BYTES,
         keep_reserved_email: bool = False,
+        parallelism_floor: bool = True,
     ):
         keep = ["path_class"] if "path_class" in files.columns else []
-        self.files = ensure_parallelism(files.select("repo_id", "rel_path", "content", *keep))
+        files = files.select("repo_id", "rel_path", "content", *keep)
+        self.files = ensure_parallelism(files) if parallelism_floor else files
         self._repos = repos
         self.model = model
         self.window = window
