@@ -63,6 +63,7 @@ class Audit:
         keep = ["path_class"] if "path_class" in files.columns else []
         files = files.select("repo_id", "rel_path", "content", *keep)
         self.files = ensure_parallelism(files) if parallelism_floor else files
+        self._files_cached = self.files.storageLevel.useMemory or self.files.storageLevel.useDisk
         self._repos = repos
         self.model = model
         self.window = window
@@ -82,7 +83,13 @@ class Audit:
 
     @cached_property
     def context(self) -> DataFrame:
-        return scan_context_files(self.files)
+        """Context files with their text. Size rules, the secret scan and the
+        tokenizer all read it; instruction files are a small slice of a code
+        snapshot, so when the snapshot itself is read from storage the context
+        table is kept (memory and disk) and its text is read once per audit.
+        A snapshot already cached by the parallelism floor is simply reused."""
+        ctx = scan_context_files(self.files)
+        return ctx if self._files_cached else ctx.persist(StorageLevel.MEMORY_AND_DISK)
 
     # ---- imports ---------------------------------------------------------------
     @cached_property
