@@ -125,3 +125,17 @@ def test_laid_out_snapshot_prunes_and_agrees(spark):
     assert "PartitionFilters: [isnotnull(path_class" in ctx_plan and "= context" in ctx_plan
     edge_plan = extract_edges(laid)._jdf.queryExecution().executedPlan().toString()
     assert "path_class#" in edge_plan and "IN (context,importable)" in edge_plan
+
+
+def test_write_reports(spark):
+    from weighbridge.sinks.writers import write_reports
+
+    a = _audit(spark)
+    paths = write_reports(a, tempfile.mkdtemp(prefix="wb-reports-"), "2026-07-02T00:00:00Z", buckets=2)
+    summary = [json.loads(r["value"]) for r in spark.read.text(paths["summary"]).collect()]
+    assert sorted(x["health"]["grade"] for x in summary) == ["A", "A", "N/A"]
+    sarif = [json.loads(r["value"]) for r in spark.read.text(paths["sarif"]).collect()]
+    assert all(d["version"] == "2.1.0" for d in sarif) and len(sarif) == 3
+    entries = [json.loads(r["value"]) for r in spark.read.text(paths["entries"]).collect()]
+    assert {e["label"] for e in entries} == {"CLAUDE.md", "AGENTS.md"}
+    assert {r["repo"] for r in read_scan_results(spark, paths["results"], multi_line=False).collect()} == {"r1", "r_none", "r_clean"}

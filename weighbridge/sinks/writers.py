@@ -44,3 +44,26 @@ def write_snapshot(files: DataFrame, path: str, mode: str = "error", rows_per_fi
         .partitionBy("path_class")
         .parquet(path)
     )
+
+
+def write_reports(a, out_dir: str, scanned_at: str, buckets: int = 64, sarif_max_results: int = 10_000) -> dict[str, str]:
+    """Everything one audit run reports, as distributed datasets under ``out_dir``.
+
+    The batch counterpart of running health + budget with every output format on
+    each repository: ``summary/`` (one JSON document per repository),
+    ``findings/`` and ``entries/`` (one JSON line per finding / budget entry),
+    ``sarif/`` (SARIF documents, at most ``sarif_max_results`` results each) and
+    ``results/`` (study records). Returns the paths written.
+    """
+    import os
+
+    from weighbridge.sinks.json_report import entry_lines, finding_lines, report_documents, scan_result_documents
+    from weighbridge.sinks.sarif import sarif_documents
+
+    paths = {name: os.path.join(out_dir, name) for name in ("summary", "findings", "entries", "sarif", "results")}
+    write_lines(report_documents(a), paths["summary"], "json", buckets)
+    write_lines(finding_lines(a.findings), paths["findings"], "json", buckets)
+    write_lines(entry_lines(a.budget_entries), paths["entries"], "json", buckets)
+    write_lines(sarif_documents(a.findings, a.health, max_results=sarif_max_results), paths["sarif"], "sarif", buckets)
+    write_scan_results(scan_result_documents(a.scan_results(scanned_at), a.findings), paths["results"], mode="overwrite")
+    return paths
