@@ -116,3 +116,14 @@ def test_budget_folds_imported_tokens(spark):
     assert e["AGENTS.md"]["imported_tokens"] == 100 and e["AGENTS.md"]["n_imports"] == 1
     assert e["AGENTS.md"]["tokens"] == 2 + 100
     assert e["CLAUDE.md"]["imported_tokens"] is None and e["CLAUDE.md"]["tokens"] == 2
+
+
+def test_claim_order_collation(spark):
+    files = {"_z/CLAUDE.md": "@../shared.md\n", "A/CLAUDE.md": "@../shared.md\n", "shared.md": "x" * 40}
+    df = files_df(spark, list(files.items()))
+    binary = {r["imported_path"]: r["importer_path"] for r in audit(df, weigher="bytes4").claims.collect()}
+    icu = {r["imported_path"]: r["importer_path"] for r in audit(df, weigher="bytes4", path_collation="UNICODE").claims.collect()}
+    assert binary == {"shared.md": "A/CLAUDE.md"}  # 'A' < '_' in bytes
+    assert icu == {"shared.md": "_z/CLAUDE.md"}  # punctuation sorts first in ICU root order
+    e = {r["label"]: r["imported_tokens"] for r in audit(df, weigher="bytes4", path_collation="UNICODE").budget_entries.collect()}
+    assert e == {"_z/CLAUDE.md": 10, "A/CLAUDE.md": None}

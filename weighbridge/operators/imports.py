@@ -153,8 +153,14 @@ def unresolved_imports(edges: DataFrame, context: DataFrame, reach: DataFrame) -
     )
 
 
-def claim_imports(reach: DataFrame) -> DataFrame:
-    """``repo_id, importer_path, imported_path``: each folded file goes to its first importer in path order."""
-    return reach.groupBy("repo_id", F.col("node_path").alias("imported_path")).agg(
-        F.min("root_path").alias("importer_path")
-    ).select("repo_id", "importer_path", "imported_path")
+def claim_imports(reach: DataFrame, collation: str = "UTF8_BINARY") -> DataFrame:
+    """``repo_id, importer_path, imported_path``: each folded file goes to its first importer in path order.
+
+    Path order is binary by default (what SQL engines sort by); ``collation``
+    ``"UNICODE"`` uses ICU root collation, closer to a locale-aware compare.
+    Either way it is a partial aggregate per (repository, file).
+    """
+    first = F.min("root_path") if collation == "UTF8_BINARY" else F.min(F.collate("root_path", collation)).cast("string")
+    return reach.groupBy("repo_id", F.col("node_path").alias("imported_path")).agg(first.alias("importer_path")).select(
+        "repo_id", "importer_path", "imported_path"
+    )

@@ -59,6 +59,7 @@ class Audit:
         max_bytes: int = dims.MAX_BYTES,
         keep_reserved_email: bool = False,
         parallelism_floor: bool = True,
+        path_collation: str = "UTF8_BINARY",
     ):
         keep = ["path_class"] if "path_class" in files.columns else []
         files = files.select("repo_id", "rel_path", "content", *keep)
@@ -73,6 +74,7 @@ class Audit:
         self.max_lines = max_lines
         self.max_bytes = max_bytes
         self.keep_reserved_email = keep_reserved_email
+        self.path_collation = path_collation
 
     # ---- scan ------------------------------------------------------------------
     @cached_property
@@ -104,7 +106,7 @@ class Audit:
 
     @cached_property
     def claims(self) -> DataFrame:
-        return claim_imports(self.reach)
+        return claim_imports(self.reach, self.path_collation)
 
     @cached_property
     def unresolved(self) -> DataFrame:
