@@ -88,3 +88,12 @@ def test_fail_on_gate(spark):
     assert gate("error,imports/unresolved")["r1"] == (2, 1, 1, True)
     assert gate("secrets/unknown")["r1"] == (0, 0, 0, False)
     assert gate("info")["r_none"] == (0, 0, 0, False)
+
+
+def test_unreadable_files_are_reported_not_fatal(spark):
+    rows = [("r1", "CLAUDE.md", "fine"), ("r1", "docs/x.md", None), ("r2", "AGENTS.md", "ok")]
+    files = spark.createDataFrame(rows, "repo_id string, rel_path string, content string")
+    a = audit(files, weigher="bytes4")
+    assert [tuple(r) for r in a.errors.collect()] == [("r1", "docs/x.md", "unreadable")]
+    status = {r["repo_id"]: (r["status"], r["error"]) for r in a.scan_results("2026-07-02T00:00:00Z").collect()}
+    assert status == {"r1": ("error", "1 unreadable file(s)"), "r2": ("ok", None)}

@@ -28,7 +28,7 @@ def scan_results(a, scanned_at: str, urls: DataFrame | None = None) -> DataFrame
         F.bool_or(F.col("code") == "secrets/private-ip").alias("has_private_ip"),
         F.bool_or(F.col("code").isin(dims.CREDENTIAL_CODES)).alias("has_credential"),
     )
-    unreadable = a.files.where(F.col("content").isNull()).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_unreadable"))
+    unreadable = a.errors.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_unreadable"))
     r = (
         a.health.join(a.budget.select("repo_id", "always_on_tokens", "on_demand_tokens", "on_demand_count"), "repo_id", "left")
         .join(flags, "repo_id", "left")

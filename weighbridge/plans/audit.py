@@ -83,6 +83,14 @@ class Audit:
             return self._repos.select("repo_id")
         return self.files.select("repo_id").distinct()
 
+    @cached_property
+    def errors(self) -> DataFrame:
+        """``repo_id, rel_path, error``: files the snapshot could not read (null
+        content). The job goes on; a repository with such a file gets the
+        ``error`` status in the study. An ``IS NULL`` scan, which parquet
+        null-count statistics prune to almost nothing."""
+        return self.files.where(F.col("content").isNull()).select("repo_id", "rel_path", F.lit("unreadable").alias("error"))
+
     @cached_property
     def context(self) -> DataFrame:
         """Context files with their text. Size rules, the secret scan and the
