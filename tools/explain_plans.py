@@ -19,7 +19,7 @@ from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SCAN = re.compile(r"FileScan parquet [^\[\n]*\[([^\]]*)\][^\n]*?PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\], ReadSchema: (struct<[^>]*>)")
+SCAN = re.compile(r"FileScan parquet [^\[\n]*\[([^\]]*)\][^\n]*?PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\], ReadSchema: (struct<[^>\n]*>?)")
 NODES = [
     "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct",
     "Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange SinglePartition", "BroadcastExchange",
@@ -43,7 +43,7 @@ def summarize(name: str, df) -> list[str]:
     if scans:
         out += ["| scan columns | PartitionFilters | PushedFilters | ReadSchema |", "| --- | --- | --- | --- |"]
         for cols, part, pushed, schema in scans:
-            clean = lambda s: re.sub(r"#\d+", "", s).replace("|", "\\|")[:160]
+            clean = lambda s: re.sub(r"#\d+L?", "", s).replace("|", "\\|")[:160]
             out.append(f"| {clean(cols)} | {clean(part)} | {clean(pushed)} | `{clean(schema)}` |")
         out.append("")
     return out
