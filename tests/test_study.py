@@ -59,3 +59,41 @@ def test_even_count_median_and_empty(spark):
     assert (s["n_ok"], s["always_median"], s["always_min"], s["pct_over_low"]) == (0, 0, 0, 0)
     hist = {x["grade"]: x["n_repos"] for x in S.study_grade_histogram(none).collect()}
     assert hist == {"A": 0, "B": 0, "C": 0, "D": 0, "F": 0}
+
+
+def test_reference_shaped_documents(spark):
+    import json
+    import os
+    import tempfile
+
+    from weighbridge.sources.readers import read_scan_results
+
+    def doc(owner, repo, status, grade=None, always=0, findings=(), scanned="2026-07-02T09:00:00.000Z"):
+        report = None
+        if status != "error":
+            report = {
+                "health": {"grade": grade, "score": None, "noContext": status == "n/a",
+                           "findings": [{"severity": s, "code": c} for s, c in findings]},
+                "budget": {"alwaysOnTokens": always, "onDemandTokens": 0, "onDemandCount": 0},
+            }
+        return {"url": f"https://h/{owner}/{repo}", "owner": owner, "repo": repo, "status": status,
+                "scannedAt": scanned, "commit": None, "error": None if report else "git clone failed", "report": report}
+
+    docs = [
+        doc("o", "a", "ok", "D", 11647, [("warn", "budget/over-truncation-limit"), ("warn", "secrets/email")]),
+        doc("o", "b", "ok", "A", 900, [("info", "budget/over-truncation-limit")]),  # on-demand only: no truncation
+        doc("o", "c", "ok", "F", 3000, [("error", "secrets/aws-key"), ("info", "secrets/placeholder")]),
+        doc("o", "d", "n/a", "N/A", 0, scanned="2026-07-03T10:00:00.000Z"),
+        doc("o", "e", "error", scanned=""),
+    ]
+    folder = tempfile.mkdtemp(prefix="wb-ref-results-")
+    for d in docs:
+        with open(os.path.join(folder, f"{d['owner']}__{d['repo']}.json"), "w") as fh:
+            fh.write(json.dumps(d, indent=2) + "\n")
+    flat = S.flatten_scan_results(read_scan_results(spark, folder))
+    s = S.study_summary(flat).collect()[0]
+    assert (s["n_total"], s["n_ok"], s["n_na"], s["n_error"]) == (5, 3, 1, 1)
+    assert (s["always_median"], s["n_over_low"], s["n_over_high"], s["n_truncates"]) == (3000, 2, 1, 1)
+    assert s["scan_date"] == "2026-07-03"
+    p = S.study_prevalence(flat).collect()[0]
+    assert (p["n_email"], p["n_private_ip"], p["n_credential"], p["pct_credential"]) == (1, 0, 1, 33)
