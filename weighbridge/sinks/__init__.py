@@ -1,6 +1,17 @@
-"""Sinks: SARIF documents, JSON reports, per-repository scan results."""
+"""Sinks: SARIF documents, JSON reports, per-repository scan results, writers."""
 
-from weighbridge.sinks.json_report import finding_lines, report_documents, scan_result_documents
+from weighbridge.sinks.json_report import entry_lines, finding_lines, report_documents, scan_result_documents
 from weighbridge.sinks.sarif import sarif_documents
+from weighbridge.sinks.writers import write_lines, write_reports, write_scan_results, write_snapshot
 
-__all__ = ["finding_lines", "report_documents", "sarif_documents", "scan_result_documents"]
+__all__ = [
+    "entry_lines",
+    "finding_lines",
+    "report_documents",
+    "sarif_documents",
+    "scan_result_documents",
+    "write_lines",
+    "write_reports",
+    "write_scan_results",
+    "write_snapshot",
+]
