@@ -101,3 +101,116 @@ def op7_simhash(spark, sf):
     from weighbridge.llm.simhash import simhash_groups
 
     return simhash_groups(table(spark, sf, "documents"), shingle=4, max_bits=4)
+
+
+# ---- 2: benchmark decontamination ----------------------------------------------
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+           FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS v
+      FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+i AS (SELECT * FROM b WHERE len(v) >= 8),
+dg AS (SELECT doc_id, k, w[k:k+3] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS k FROM d)),
+ig AS (SELECT item_id, k, v[k:k+3] AS g FROM (SELECT item_id, v, unnest(range(1, len(v) - 2)) AS k FROM i)),
+a AS (SELECT DISTINCT doc_id, item_id, dg.k - ig.k AS s FROM dg JOIN ig USING (g)),
+m AS (SELECT a.doc_id, a.item_id, s, len(v) AS n, least(len(v), 13) AS sz, j,
+             CASE WHEN j + s >= 1 AND j + s <= len(w) AND w[j + s] = v[j] THEN 1 ELSE 0 END AS f
+      FROM (SELECT a.*, v, unnest(range(1, len(v) + 1)) AS j FROM a JOIN i USING (item_id)) a JOIN d USING (doc_id)),
+c AS (SELECT doc_id, item_id, s, n, sz, j,
+             sum(f) OVER p - CASE WHEN sz < 13 THEN 0 ELSE coalesce(sum(f) OVER q, 0) END AS inside, sum(f) OVER t AS total
+      FROM m WINDOW p AS (PARTITION BY doc_id, item_id, s ORDER BY j), q AS (PARTITION BY doc_id, item_id, s ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 13 PRECEDING),
+                    t AS (PARTITION BY doc_id, item_id, s)),
+e AS (SELECT doc_id, item_id, s, n, max(inside) AS wm, max(total) AS tm FROM c WHERE j >= sz GROUP BY ALL HAVING max(inside) >= max(sz) - floor(max(sz) * 2 / 13.0)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY wm DESC, tm DESC) AS rn FROM e)
+SELECT doc_id, item_id, wm::INT AS window_matches, tm::INT AS matched_tokens, n::INT AS item_tokens FROM r WHERE rn = 1
+"""
+
+
+@register("op2_decontam", OP2_SQL)
+def op2_decontam(spark, sf):
+    from weighbridge.llm.decontam import overlaps
+
+    return overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+# ---- 5: licence scan -----------------------------------------------------------
+def _op5_sql() -> str:
+    from weighbridge.llm.licenses import TEMPLATES
+
+    known = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES)
+    return (
+        f"WITH known(license, body) AS (VALUES {known}),\n"
+        + r"""
+x AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE length(text) > 0),
+blocks AS (SELECT doc_id, text, regexp_split_to_array(text, '\n[\t ]*\n\s*') AS bs FROM x),
+units AS (
+  SELECT doc_id, 'line' AS unit, unnest(range(len(ls))) AS unit_no, unnest(ls) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM x)
+  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(bs))), unnest(bs) AS body FROM blocks) WHERE contains(trim(body), chr(10))
+  UNION ALL SELECT doc_id, 'text', 0, text FROM blocks WHERE len(bs) > 1 AND contains(trim(text), chr(10))),
+uw AS (SELECT doc_id, unit, unit_no, list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda s: s <> '') AS w FROM units),
+tw AS (SELECT DISTINCT license, list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda s: s <> '') AS w FROM known),
+ug AS (SELECT doc_id, unit, unit_no, n, g, count(*) AS c FROM (SELECT doc_id, unit, unit_no, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM uw) GROUP BY ALL),
+tg AS (SELECT license, w AS t, n, g, count(*) AS c FROM (SELECT license, w, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw) GROUP BY ALL),
+s AS (SELECT doc_id, unit, unit_no, license, t, sum(least(ug.c, tg.c)) AS shared, 2.0::DOUBLE * sum(least(ug.c, tg.c)) / (ug.n + tg.n) AS dice
+      FROM ug JOIN tg USING (g) GROUP BY doc_id, unit, unit_no, license, t, ug.n, tg.n)
+SELECT doc_id, unit, unit_no::INT AS unit_no, license, shared::BIGINT AS shared, dice
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, unit_no ORDER BY dice DESC, license, shared) AS rn FROM s WHERE dice >= 0.8) WHERE rn = 1
+"""
+    )
+
+
+@register("op5_licenses", _op5_sql())
+def op5_licenses(spark, sf):
+    from weighbridge.llm.licenses import scan_licenses, templates
+
+    return scan_licenses(table(spark, sf, "documents"), templates(spark), dice=0.8)
+
+
+# ---- 8: token rollups ----------------------------------------------------------
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n1,
+                  len(regexp_extract_all(coalesce(split_part(text, chr(10), 1), ''), '[^\x20\x09-\x0D]+')) AS head,
+                  len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}+')) AS n2 FROM documents),
+t AS (SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN doc_id % 5 = 0 THEN n1 - head ELSE n1 END AS n FROM w WHERE doc_id % 11 <> 3
+      UNION ALL SELECT source, lang, 'words-2', n2 FROM w WHERE doc_id % 11 <> 3)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM t GROUP BY ALL
+"""
+
+
+@register("op8_rollups", OP8_SQL)
+def op8_rollups(spark, sf):
+    """Inserts every document, revises some (their first line taken out), deletes some, counts the rest
+    with a second tokenizer version, and replays two of the batches; then compacts."""
+    import uuid
+
+    from weighbridge.llm.rollups import RollupStore
+    from weighbridge.session import ensure_checkpoint_dir
+
+    words = lambda c: F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    old, head = words(F.col("text")), words(F.substring_index("text", "\n", 1))
+    revised = F.when(F.col("doc_id") % 5 == 0, old - head).otherwise(old)
+    none = F.lit(None).cast("long")
+
+    def batch(rows, tokenizer, op, before, after):
+        return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(op).alias("op"), before.alias("old_tokens"), after.alias("new_tokens"))
+
+    kept = docs.where(F.col("doc_id") % 11 != 3)
+    insert = batch(docs, "words-1", "insert", none, old)
+    revise = batch(docs.where(F.col("doc_id") % 5 == 0), "words-1", "revise", old, old - head)
+    delete = batch(docs.where(F.col("doc_id") % 11 == 3), "words-1", "delete", revised, none)
+    letters = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+|\p{N}+")).cast("long")
+    upgrade = batch(kept, "words-2", "insert", none, letters)
+    store = RollupStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/rollups-{uuid.uuid4().hex}")
+    for name, changes in (("load", insert), ("revise", revise), ("delete", delete), ("revise", revise), ("upgrade", upgrade), ("delete", delete)):
+        store.apply(name, changes)
+    store.compact()
+    return store.totals()
+
+
+# ---- 9: quality classifier (tests check held-out accuracy) -----------------------
+@register("op9_quality")
+def op9_quality(spark, sf):
+    from weighbridge.llm.quality import classify
+
+    return classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
