@@ -15,8 +15,16 @@ from pyspark.sql import functions as F
 from weighbridge.session import ensure_checkpoint_dir
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects; it learns from ``labels`` of the documents at hand."""
+    from weighbridge.llm.quality import accepted
+
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each SimHash group; rows without an id stay."""
+    """Keeps the document with the smallest id of each SimHash group. Rows of one id are one
+    document; rows without an id stay."""
     from weighbridge.llm.simhash import simhash_groups
 
     groups = simhash_groups(docs, shingle=4, max_bits=4)
@@ -24,7 +32,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that overlap an item of ``benchmark``; rows without an id stay."""
+    from weighbridge.llm.decontam import overlaps
+
+    leaks = overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences of at most 2048 tokens, one row per piece."""
+    from weighbridge.llm.packing import pack_documents
+
+    return pack_documents(docs, max_tokens=2048)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
+]
 
 #: Hash functions, trained models and packing have no SQL form: tests compare each stage with brute force.
 ORACLE_SQL = None

@@ -22,8 +22,9 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIM = 1 << 20
@@ -109,26 +110,30 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_docs: int = MA
     return np.frombuffer(model[0]["w"], np.float32) if model else np.zeros(DIM, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, score`` of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(weights)
+def scorer(spark: SparkSession, weights: np.ndarray):
+    """Column function: the score of a text column."""
+    model = spark.sparkContext.broadcast(weights)
 
-    def run(batches):
-        w = model.value
-        for batch in batches:
-            out = np.empty(batch.num_rows)
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                at = features(text)
-                out[i] = w[0] + w[at[1:]].sum(dtype=np.float64) / np.sqrt(max(len(at) - 1, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(out))], names=["id", "score"])
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        w, out = model.value, np.empty(len(texts))
+        for i, text in enumerate(texts):
+            at = features(text)
+            out[i] = w[0] + w[at[1:]].sum(dtype=np.float64) / np.sqrt(max(len(at) - 1, 1))
+        return pd.Series(sigmoid(out))
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return lambda text: run(text.cast("binary"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, out_fold: int = 1, max_docs: int = MAX_DOCS) -> DataFrame:
     """``doc_id, held_out, score, predicted``; learns only from labels outside ``out_fold``."""
     held = fold(F.col("doc_id"), folds) == out_fold
-    scored = score(docs, fit(docs, labels, held, max_docs))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    score = scorer(docs.sparkSession, fit(docs, labels, held, max_docs))
+    scored = docs.select("doc_id", held.alias("held_out"), score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, folds: int = 3, out_fold: int = 1, max_docs: int = MAX_DOCS) -> DataFrame:
+    """The rows of ``docs`` that the classifier predicts to be of quality 1."""
+    held = fold(F.col("doc_id"), folds) == out_fold
+    return docs.where(scorer(docs.sparkSession, fit(docs, labels, held, max_docs))(F.col("text")) >= 0.5)

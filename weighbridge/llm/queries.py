@@ -214,3 +214,20 @@ def op9_quality(spark, sf):
     from weighbridge.llm.quality import classify
 
     return classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+# ---- 3: packing (tests check an exact round trip) --------------------------------
+@register("op3_packing")
+def op3_packing(spark, sf):
+    from weighbridge.llm.packing import pack_documents
+
+    packed = pack_documents(table(spark, sf, "documents"), max_tokens=2048)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+# ---- 10: Katz backoff scores (tests compare with brute force) ----------------------
+@register("op10_katz")
+def op10_katz(spark, sf):
+    from weighbridge.llm.katz import katz_scores
+
+    return katz_scores(table(spark, sf, "documents"), folds=7, out_fold=2)
