@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from weighbridge.llm.common import materialize
 
-CHUNK = 4 << 20  # tokens
+CHUNK = 2 << 20  # tokens
 HOT = 10_000
 LOW = 5  # counts up to this are discounted
 END, START = b" end", b" start"  # no word holds a blank
