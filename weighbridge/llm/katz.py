@@ -196,8 +196,13 @@ def _by_part(batches):
 
 
 def _sum_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First index of each distinct key, each row's distinct key, and the summed counts."""
-    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    """An index of each distinct key, each row's distinct key, and the summed counts."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = np.diff(keys[order]) != 0
+    inverse = np.empty(len(keys), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    first = order[new]
     return first, inverse, np.bincount(inverse, weights=counts, minlength=len(first)).astype(np.int64)
 
 
@@ -246,7 +251,7 @@ class ChunkPairs:
         # the start mark is history number len(vocab); it is followed once by each training document
         self.hashes = np.append(vocab, np.uint64(xxhash.xxh64_intdigest(START)))
         self.counts = np.append(word_counts, word_counts[end])
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        first = np.cumsum(sizes) - sizes
         history = np.empty(len(words), np.uint64)
         history[1:] = words[:-1]
         history[first] = len(vocab)
@@ -326,18 +331,22 @@ def pair_answers(requests: DataFrame, words: Words) -> DataFrame:
             of = np.repeat(h_of, all_n)  # each pair's history
             w = np.concatenate([_unpack48(r[4]) for r in rows])
             mixed = (w ^ (w >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + h_keys[of] * np.uint64(0x9E3779B97F4A7C15)
+            del w
             first, inverse, totals = _sum_keys(mixed, np.concatenate([unpack(r[6], np.uint32) for r in rows]))
+            del mixed
+            of = of[first]  # from here on each distinct pair's history
             c_w = np.concatenate([unpack(r[5], np.uint64) for r in rows])[first].astype(np.int64)
+            del first
             seen = totals > 0
             mass = np.zeros((len(h_keys), size))
-            rows_of, c = of[first][seen], totals[seen]
+            rows_of, c = of[seen], totals[seen]
             for r in range(1, LOW + 1):
                 mass[:, r - 1] = np.bincount(rows_of[c == r], minlength=len(h_keys)) * r
             mass[:, LOW] = np.bincount(rows_of[c > LOW], weights=c[c > LOW], minlength=len(h_keys))
             mass[:, LOW + 1] = np.bincount(rows_of, weights=words.p(c_w[seen]), minlength=len(h_keys))
             full = mass[:, :LOW].sum(axis=1) == 0
             is_hot = hot_h[h_first]
-            counts = totals[inverse]
+            counts = totals[inverse].astype(np.uint32 if totals.max(initial=0) < 1 << 32 else np.uint64)
             stats, out = _counts_of_counts(totals), []
             at_pair = at_h = 0
             for i, row in enumerate(rows):
