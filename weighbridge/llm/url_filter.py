@@ -54,7 +54,7 @@ def _hashes(keys: list[str]) -> np.ndarray:
 
 def _probe(hashes: np.ndarray, level: int, bits: np.ndarray, k: int) -> np.ndarray:
     """Positions of each key in a level's bit array."""
-    h = hashes + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)  # every level hashes anew
+    h = hashes + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)  # every level hashes anew
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
