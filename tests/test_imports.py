@@ -27,30 +27,25 @@ def _resolve(src, spec):
 
 
 def model(files, context):
-    """Depth-first import trees with a visited set, first importer in path order claims."""
-    claimed, result = set(), {}
-    for start in sorted(context):
-        visited, fold, unresolved = {start}, [], []
-
-        def visit(p):
-            for spec in IMPORT.findall(files[p]):
-                t = _resolve(p, spec)
-                if t is not None and t in visited:
-                    continue
-                if t is None or t not in files:
-                    unresolved.append(spec)
-                    continue
-                visited.add(t)
-                if t in context:
-                    continue
-                fold.append(t)
-                visit(t)
-
-        visit(start)
-        fresh = [x for x in fold if x not in claimed]
-        claimed.update(fresh)
-        result[start] = (sorted(fresh), sorted(set(unresolved)))
-    return result
+    """The stated semantics as set fixpoints: what each start file folds in and misses, then
+    each folded file goes to the smallest start file that reaches it."""
+    edges = {p: [(spec, _resolve(p, spec)) for spec in IMPORT.findall(text)] for p, text in files.items()}
+    inner = {p: {t for _, t in es if t in files and t not in context} for p, es in edges.items()}
+    folded = {}
+    for start in context:
+        reached, size = inner[start] - {start}, -1
+        while len(reached) != size:
+            size = len(reached)
+            reached = reached | {t for p in reached for t in inner[p]} - {start}
+        folded[start] = reached
+    payer = {p: min(s for s in context if p in folded[s]) for p in set().union(*folded.values())}
+    return {
+        s: (
+            sorted(p for p in folded[s] if payer[p] == s),
+            sorted({spec for p in folded[s] | {s} for spec, t in edges[p] if t not in files}),
+        )
+        for s in context
+    }
 
 
 def spark_result(spark, files):

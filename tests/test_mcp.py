@@ -54,3 +54,16 @@ def test_inline_manifest_and_offline(spark):
     assert order[0] == "inline" and order[-1] == "a.b"
     e = {r["label"]: r for r in a.budget_entries.collect()}
     assert e["mcp:inline (schemas)"]["load"] == "always" and e["mcp:runtime (schemas)"]["note"] == note
+
+
+def test_odd_server_names_repeated_keys_and_order(spark):
+    cfg = (
+        '{"x":1,"x":2,"mcpServers":{"b":{"tools":[1]},"o\'k":{"tools":[{"n":1}]},"*":{"tools":[2]},"10":{"tools":[3]},'
+        '"9":{"tools":[4]},"b":{"tools":[5]},"a b":{"toolsFile":"data.txt"},"":{"command":"y"},"09":null}}'
+    )
+    rows = [(".mcp.json", cfg), ("data.txt", '[{"from":"text"}]')]
+    a = _costs(spark, rows)[1]
+    got = [(r["server"], r["tools_json"]) for r in a.mcp_servers.orderBy("ord").collect()]
+    assert got == [
+        ("9", "[4]"), ("10", "[3]"), ("b", "[5]"), ("o'k", '[{"n":1}]'), ("*", "[2]"), ("a b", '[{"from":"text"}]'), ("", None), ("09", None),
+    ]

@@ -96,4 +96,25 @@ def test_unreadable_files_are_reported_not_fatal(spark):
     a = audit(files, weigher="bytes4")
     assert [tuple(r) for r in a.errors.collect()] == [("r1", "docs/x.md", "unreadable")]
     status = {r["repo_id"]: (r["status"], r["error"]) for r in a.scan_results("2026-07-02T00:00:00Z").collect()}
-    assert status == {"r1": ("error", "1 unreadable file(s)"), "r2": ("ok", None)}
+    assert status == {"r1": ("ok", None), "r2": ("ok", None)}  # not a context file
+    files = files.unionByName(spark.createDataFrame([("r2", "a/CLAUDE.md", None)], files.schema))
+    a = audit(files, weigher="bytes4")
+    status = {r["repo_id"]: (r["status"], r["error"]) for r in a.scan_results("2026-07-02T00:00:00Z").collect()}
+    assert status == {"r1": ("ok", None), "r2": ("error", "1 unreadable file(s)")}
+
+
+def test_many_hits_on_a_line_keep_their_order_and_long_lines_are_linear(spark):
+    import time
+
+    text = " ".join(f"a{i}@b.org" for i in range(5000)) + "\n" + "x" * 1_000_000 + "@"
+    a = audit(spark.createDataFrame([("r1", "CLAUDE.md", text)], "repo_id string, rel_path string, content string"), weigher="bytes4")
+    start = time.time()
+    keys = [tuple(r["item_ord"]) for r in a.findings.where("rule_ord = 3").collect()]
+    assert len(keys) == len(set(keys)) == 5000 and time.time() - start < 60
+
+
+def test_private_addresses_and_mail_edges(spark):
+    text = "v10.0.0.1 1.10.2.3.4 10.0.0.1.5 10.0.0.2. (192.168.1.1) 10.0.0.300 p@q.io_x@y.net"
+    a = audit(spark.createDataFrame([("r1", "CLAUDE.md", text)], "repo_id string, rel_path string, content string"), weigher="bytes4")
+    got = [(r["code"], r["item_ord"][2]) for r in a.findings.where("rule_ord = 3").orderBy("item_ord").collect()]
+    assert sorted(got) == [("secrets/email", 0), ("secrets/email", 1), ("secrets/private-ip", 0), ("secrets/private-ip", 1)]

@@ -19,18 +19,20 @@ def _audit(spark):
 
 def test_sarif_structure_and_parts(spark):
     a = _audit(spark)
-    docs = {(r["repo_id"], r["part"]): json.loads(r["sarif"]) for r in sarif_documents(a.findings, a.health, max_results=1).collect()}
-    assert set(docs) == {("r1", 0), ("r1", 1), ("r_none", 0), ("r_clean", 0)}
-    run = docs[("r1", 0)]["runs"][0]
-    assert docs[("r1", 0)]["version"] == "2.1.0" and "$schema" in docs[("r1", 0)]
+    docs = {(r["repo_id"], r["file"]): json.loads(r["sarif"]) for r in sarif_documents(a.findings, a.health).collect()}
+    assert set(docs) == {("r1", "CLAUDE.md"), ("r_none", None), ("r_clean", None)}
+    one = docs[("r1", "CLAUDE.md")]
+    run = one["runs"][0]
+    assert one["version"] == "2.1.0" and "$schema" in one
     assert run["results"][0]["ruleId"] == "budget/too-long" and run["results"][0]["level"] == "warning"
     assert run["results"][0]["locations"][0]["physicalLocation"] == {"artifactLocation": {"uri": "CLAUDE.md"}}
-    assert [x["id"] for x in run["tool"]["driver"]["rules"]] == ["budget/too-long"]
+    assert [x["id"] for x in run["tool"]["driver"]["rules"]] == ["budget/too-long", "imports/unresolved"]
     assert "invocations" not in run
-    assert docs[("r1", 1)]["runs"][0]["results"][0]["level"] == "note"
-    na = docs[("r_none", 0)]["runs"][0]
+    assert run["results"][1]["level"] == "note"
+    na = docs[("r_none", None)]["runs"][0]
     assert na["results"] == [] and na["invocations"][0]["toolExecutionNotifications"][0]["level"] == "note"
-    assert docs[("r_clean", 0)]["runs"][0]["results"] == [] and "invocations" not in docs[("r_clean", 0)]["runs"][0]
+    clean = docs[("r_clean", None)]["runs"][0]
+    assert clean["results"] == [] and "invocations" not in clean
 
 
 def test_json_reports_and_scan_results_roundtrip(spark):
@@ -76,13 +78,13 @@ def test_incremental_scan_batch_and_stream(spark):
     assert [r[0] for r in pending_repos(repos, spark.read.parquet(res)).collect()] == ["r3"]
 
 
-def test_write_lines_buckets(spark):
+def test_write_lines(spark):
     from weighbridge.sinks.json_report import finding_lines
     from weighbridge.sinks.writers import write_lines
 
     a = _audit(spark)
     out = os.path.join(tempfile.mkdtemp(prefix="wb-lines-"), "findings")
-    write_lines(finding_lines(a.findings), out, buckets=4)
+    write_lines(finding_lines(a.findings), out)
     back = [json.loads(r["value"]) for r in spark.read.text(out).collect()]
     assert sorted(x["code"] for x in back) == ["budget/too-long", "imports/unresolved"]
 
@@ -117,7 +119,8 @@ def test_laid_out_snapshot_prunes_and_agrees(spark):
         )
 
     assert summary(laid) == summary(plain)
-    # large inputs skip the parallelism floor, so the operators' own scans prune by directory
+    # the scans prune by directory, and the default audit keeps no copy of the snapshot
+    assert "InMemoryRelation" not in audit(laid).edges._jdf.queryExecution().optimizedPlan().toString()
     from weighbridge.operators.classify import scan_context_files
     from weighbridge.operators.imports import extract_edges
 
@@ -131,7 +134,7 @@ def test_write_reports(spark):
     from weighbridge.sinks.writers import write_reports
 
     a = _audit(spark)
-    paths = write_reports(a, tempfile.mkdtemp(prefix="wb-reports-"), "2026-07-02T00:00:00Z", buckets=2)
+    paths = write_reports(a, tempfile.mkdtemp(prefix="wb-reports-"), "2026-07-02T00:00:00Z")
     summary = [json.loads(r["value"]) for r in spark.read.text(paths["summary"]).collect()]
     assert sorted(x["health"]["grade"] for x in summary) == ["A", "A", "N/A"]
     sarif = [json.loads(r["value"]) for r in spark.read.text(paths["sarif"]).collect()]

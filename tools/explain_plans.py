@@ -63,7 +63,7 @@ def main() -> None:
     path = os.path.join(tempfile.mkdtemp(prefix="wb-plans-"), "snapshot")
     write_snapshot(snapshot(spark, sf), path)
     files = load_snapshot(spark, path)
-    a = audit(files, repos=repos_v(spark, sf), weigher="bpe", model="claude-opus", parallelism_floor=False)
+    a = audit(files, repos=repos_v(spark, sf), weigher="bpe", model="claude-opus")
     lines = [
         "# Physical plans (summary)",
         "",

@@ -98,16 +98,5 @@ def _literal_table(spark: SparkSession, names: list[str], rows: list[tuple]) ->
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def kind_dim(spark: SparkSession) -> DataFrame:
-    rows = [(name, kind, "always") for name, kind in EXACT_KINDS.items()]
-    rows.append((SKILL_NAME, "skill", "ondemand"))
-    rows.append(("*" + RULE_SUFFIX, "cursor", "ondemand"))
-    return _literal_table(spark, ["name", "kind", "load"], rows)
-
-
-def price_dim(spark: SparkSession) -> DataFrame:
-    return _literal_table(spark, ["model", "usd_per_mtok"], list(PRICING_USD_PER_MTOK.items()))
-
-
 def grade_dim(spark: SparkSession) -> DataFrame:
     return _literal_table(spark, ["grade", "grade_ord"], [(g, i) for i, g in enumerate(GRADES)])

@@ -2,7 +2,8 @@
 
 Every finding carries ``(file, rule_ord, item_ord)``: files in path order, then
 too-long, over-truncation, secrets, unresolved, then the rule's own order.
-``ord`` is a sort key, never a dense number, so no window is needed to make it.
+``item_ord`` is a list of numbers compared in turn, never packed or dense, so no
+count can run over and no window is needed to make it.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def size_findings(context: DataFrame, max_lines: int = dims.MAX_LINES, max_bytes
         rel.alias("file"),
         F.lit(None).cast("int").alias("line"),
         F.lit(1).alias("rule_ord"),
-        F.lit(0).cast("long").alias("item_ord"),
+        F.array(F.lit(0).cast("long")).alias("item_ord"),
         severity.alias("severity"),
         F.lit(dims.CODE_TOO_LONG).alias("code"),
         F.format_string(
@@ -81,7 +82,7 @@ def size_findings(context: DataFrame, max_lines: int = dims.MAX_LINES, max_bytes
         rel.alias("file"),
         F.lit(None).cast("int").alias("line"),
         F.lit(2).alias("rule_ord"),
-        F.lit(0).cast("long").alias("item_ord"),
+        F.array(F.lit(0).cast("long")).alias("item_ord"),
         severity.alias("severity"),
         F.lit(dims.CODE_OVER_TRUNCATION).alias("code"),
         F.format_string(f"%s is %s KiB; some agents truncate past {limit_kib} KiB%s.", rel, size, hint).alias("message"),
@@ -96,7 +97,7 @@ def size_findings(context: DataFrame, max_lines: int = dims.MAX_LINES, max_bytes
 
 def unresolved_findings(unresolved: DataFrame) -> DataFrame:
     """One info finding per distinct broken spec per start file (``imports/unresolved``)."""
-    item = F.col("first_depth").cast("long") * F.lit(1 << 40) + F.col("first_ord").cast("long")
+    item = F.array(F.col("first_depth").cast("long"), F.col("first_ord").cast("long"))
     return _finish(
         unresolved.select(
             "repo_id",

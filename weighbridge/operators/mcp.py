@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weighbridge import dims
 from weighbridge.functions.paths import resolve_import
+from weighbridge.operators.classify import path_class
 from weighbridge.functions.tokens import with_tokens
 
 
@@ -16,8 +17,15 @@ def _vtype(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _json_at(doc: Column, path: Column) -> Column:
-    return F.call_function("get_json_object", doc, path)
+def _in_key_order(entries: str) -> Column:
+    """``[{n, i, name, entry}]``: a JSON object's entries as its readers list them: integer-like
+    names first in numeric order, then by first position; a repeated name has its last value."""
+    numbered = F.transform(entries, lambda e, i: F.struct(e["key"].alias("name"), e["value"].alias("entry"), i.alias("i")))
+    same = lambda e: F.filter(numbered, lambda o: o["name"] == e["name"])
+    number = lambda e: F.when(e["name"].rlike(r"^(?:0|[1-9][0-9]{0,8})$"), e["name"].cast("int")).otherwise(1_000_000_000)
+    firsts = F.filter(numbered, lambda e: F.element_at(same(e), 1)["i"] == e["i"])
+    ordered = F.transform(firsts, lambda e: F.struct(number(e).alias("n"), e["i"].alias("i"), e["name"].alias("name"), F.element_at(same(e), -1)["entry"].alias("entry")))
+    return F.array_sort(ordered)
 
 
 def mcp_servers(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
@@ -32,14 +40,11 @@ def mcp_servers(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
     cfg = scope.where((F.col("rel_path") == config_path) & F.col("content").isNotNull()).select(
         "repo_id", F.col("rel_path").alias("config_path"), "content"
     )
-    servers_json = F.get_json_object(F.col("content"), "$.mcpServers")
-    root_ok = F.try_parse_json(F.col("content")).isNotNull() & servers_json.startswith("{")
-    cfg = cfg.where(root_ok).select(
-        "repo_id", "config_path", "content", F.posexplode(F.json_object_keys(servers_json)).alias("ord", "server")
-    )
-    key_path = F.concat(F.lit("$.mcpServers['"), F.col("server"), F.lit("']"))
-    entry = _json_at(F.col("content"), key_path)
-    s = cfg.select("repo_id", "config_path", "server", F.col("ord").cast("int").alias("ord"), entry.alias("entry"))
+    valid = F.get_json_object(F.col("content"), "$").isNotNull()
+    parsed = F.from_json("content", "struct<mcpServers: map<string, string>>")["mcpServers"]
+    s = cfg.where(valid).select("repo_id", "config_path", F.map_entries(parsed).alias("all"))
+    s = s.select("repo_id", "config_path", F.posexplode(_in_key_order("all")).alias("ord", "e"))
+    s = s.select("repo_id", "config_path", F.col("e.name").alias("server"), F.col("ord").cast("int").alias("ord"), F.col("e.entry").alias("entry"))
 
     ev = F.try_parse_json(F.col("entry"))
     is_obj = _vtype(ev).startswith("OBJECT")
@@ -58,13 +63,11 @@ def mcp_servers(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
         F.when(~inline_ok, resolve_import(F.col("config_path"), ref_str)).alias("manifest_path"),
     )
     # Manifest contents: stream the snapshot against the few referenced paths.
-    # On a snapshot laid out by path_class, JSON manifests are looked up in
-    # the config partition only.
     wanted = s.where(F.col("manifest_path").isNotNull()).select("repo_id", F.col("manifest_path").alias("rel_path")).distinct()
     if "path_class" in files.columns:
-        is_json = F.col("rel_path").rlike(dims.CONFIG_NAME)
-        found = files.where(F.col("path_class") == "config").join(wanted.where(is_json), ["repo_id", "rel_path"], "left_semi")
-        found = found.unionByName(files.join(wanted.where(~is_json), ["repo_id", "rel_path"], "left_semi"))
+        # a path's class follows from its name, so the join prunes by directory too
+        wanted = wanted.withColumn("path_class", path_class(F.col("rel_path")))
+        found = files.join(wanted, ["path_class", "repo_id", "rel_path"], "left_semi")
     else:
         found = files.join(wanted, ["repo_id", "rel_path"], "left_semi")
     manifests = found.select("repo_id", F.col("rel_path").alias("manifest_path"), F.col("content").alias("manifest"))

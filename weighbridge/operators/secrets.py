@@ -26,8 +26,9 @@ SECRET_RULES = [
     ("secrets/openai-key", r"(?<![A-Za-z0-9_])sk-(?:proj-)?[A-Za-z0-9_-]{16,}", 0, "error", "API key", True),
     ("secrets/bearer", r"(?i)bearer\s+([A-Za-z0-9._~+/=-]{16,})", 1, "error", "bearer token", True),
     ("secrets/generic-token", r"""(?i)(?:api[_-]?key|token|secret|password)\s*[:=]\s*["']?([^\s"']{8,})""", 1, "error", "token", True),
-    ("secrets/email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0, "warn", "email address", False),
-    ("secrets/private-ip", r"(?<![0-9.])(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3})(?![0-9])", 0, "warn", "private IP address", False),
+    # each run of local-part characters is tried once, from its start (or the last match's end)
+    ("secrets/email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0, "warn", "email address", False),
+    ("secrets/private-ip", r"(?<![A-Za-z0-9_.])(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3})(?!\.*[A-Za-z0-9_])", 0, "warn", "private IP address", False),
 ]
 ANY_SECRET = "|".join(f"(?:{rule[1]})" for rule in SECRET_RULES)
 
@@ -151,7 +152,7 @@ def secret_findings(context: DataFrame, keep_reserved_email: bool = False) -> Da
     suggestion = F.when(F.col("final_code").isin(dims.PII_CODES), F.lit(dims.SUGGEST_SECRET_PII)).otherwise(
         F.lit(dims.SUGGEST_SECRET)
     )
-    item = F.col("line").cast("long") * F.lit(1 << 20) + F.col("rule_idx").cast("long") * F.lit(1 << 12) + F.col("match_idx").cast("long")
+    item = F.array(F.col("line").cast("long"), F.col("rule_idx").cast("long"), F.col("match_idx").cast("long"))
     return _finish(
         m.select(
             "repo_id",

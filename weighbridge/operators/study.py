@@ -18,8 +18,7 @@ from weighbridge.plans.ranking import exact_median_half_up, rank_within
 def scan_results(a, scanned_at: str, urls: DataFrame | None = None) -> DataFrame:
     """One flat row per listed repository: status, grade, budget totals and finding flags.
 
-    status: ``error`` when the snapshot holds an unreadable file for the
-    repository, else ``n/a`` without context files, else ``ok``.
+    status: ``error`` when a context file of the repository is unreadable, else ``n/a`` without context files, else ``ok``.
     """
     f = a.findings
     flags = f.groupBy("repo_id").agg(
@@ -28,7 +27,7 @@ def scan_results(a, scanned_at: str, urls: DataFrame | None = None) -> DataFrame
         F.bool_or(F.col("code") == "secrets/private-ip").alias("has_private_ip"),
         F.bool_or(F.col("code").isin(dims.CREDENTIAL_CODES)).alias("has_credential"),
     )
-    unreadable = a.errors.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_unreadable"))
+    unreadable = a.context_errors.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_unreadable"))
     r = (
         a.health.join(a.budget.select("repo_id", "always_on_tokens", "on_demand_tokens", "on_demand_count"), "repo_id", "left")
         .join(flags, "repo_id", "left")

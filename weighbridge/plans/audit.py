@@ -25,24 +25,6 @@ from weighbridge.operators.secrets import secret_findings
 from weighbridge.session import materialize
 
 
-def ensure_parallelism(files: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition (and keep) a snapshot read as too few partitions for its text work.
-
-    The scans that follow are CPU-bound (regex, tokenizer); a snapshot stored as
-    a handful of large row groups would leave cores idle. Fewer input partitions
-    than ``2 x cores`` also bounds the input (each scan partition holds at most
-    ``spark.sql.files.maxPartitionBytes``), so the reshuffled copy is persisted
-    (memory and disk) for the audit's several passes. On a cluster reading many
-    files the input already has far more partitions and this is a no-op: no
-    shuffle, no cache.
-    """
-    spark = files.sparkSession
-    target = min_partitions or 2 * spark.sparkContext.defaultParallelism
-    if files.rdd.getNumPartitions() >= target:
-        return files
-    return files.repartition(target, "repo_id", "rel_path").persist(StorageLevel.MEMORY_AND_DISK)
-
-
 class Audit:
     def __init__(
         self,
@@ -58,13 +40,10 @@ class Audit:
         max_lines: int = dims.MAX_LINES,
         max_bytes: int = dims.MAX_BYTES,
         keep_reserved_email: bool = False,
-        parallelism_floor: bool = True,
         path_collation: str = "UTF8_BINARY",
     ):
         keep = ["path_class"] if "path_class" in files.columns else []
-        files = files.select("repo_id", "rel_path", "content", *keep)
-        self.files = ensure_parallelism(files) if parallelism_floor else files
-        self._files_cached = self.files.storageLevel.useMemory or self.files.storageLevel.useDisk
+        self.files = files.select("repo_id", "rel_path", "content", *keep)
         self._repos = repos
         self.model = model
         self.window = window
@@ -86,8 +65,8 @@ class Audit:
     @cached_property
     def errors(self) -> DataFrame:
         """``repo_id, rel_path, error``: files the snapshot could not read (null
-        content). The job goes on; a repository with such a file gets the
-        ``error`` status in the study. An ``IS NULL`` scan, which parquet
+        content). The job goes on; a repository where a context file is unreadable
+        gets the ``error`` status in the study. An ``IS NULL`` scan, which parquet
         null-count statistics prune to almost nothing."""
         return self.files.where(F.col("content").isNull()).select("repo_id", "rel_path", F.lit("unreadable").alias("error"))
 
@@ -95,11 +74,15 @@ class Audit:
     def context(self) -> DataFrame:
         """Context files with their text. Size rules, the secret scan and the
         tokenizer all read it; instruction files are a small slice of a code
-        snapshot, so when the snapshot itself is read from storage the context
-        table is kept (memory and disk) and its text is read once per audit.
-        A snapshot already cached by the parallelism floor is simply reused."""
-        ctx = scan_context_files(self.files)
-        return ctx if self._files_cached else ctx.persist(StorageLevel.MEMORY_AND_DISK)
+        snapshot, so the context table is kept (memory and disk) and its text is
+        read once per audit."""
+        return scan_context_files(self.files).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def context_errors(self) -> DataFrame:
+        """``repo_id, rel_path``: unreadable context files. Any other unreadable file
+        is at most a broken import."""
+        return scan_context_files(self.files.where(F.col("content").isNull())).select("repo_id", "rel_path")
 
     # ---- imports ---------------------------------------------------------------
     @cached_property

@@ -439,7 +439,7 @@ def _results(spark, sf):
     "q_study_summary",
     O.build(
         "SELECT CAST(count(*) AS BIGINT) AS n_total, CAST(count(*) FILTER (WHERE status = 'ok') AS BIGINT) AS n_ok, "
-        "CAST(count(*) FILTER (WHERE status = 'n/a') AS BIGINT) AS n_na, CAST(0 AS BIGINT) AS n_error, "
+        "CAST(count(*) FILTER (WHERE status = 'n/a') AS BIGINT) AS n_na, CAST(count(*) FILTER (WHERE status = 'error') AS BIGINT) AS n_error, "
         "CAST(coalesce((SELECT floor(median(always_on_tokens) + 0.5) FROM results WHERE status = 'ok'), 0) AS BIGINT) AS always_median, "
         "CAST(coalesce(min(always_on_tokens) FILTER (WHERE status = 'ok'), 0) AS BIGINT) AS always_min, "
         "CAST(coalesce(max(always_on_tokens) FILTER (WHERE status = 'ok'), 0) AS BIGINT) AS always_max, "

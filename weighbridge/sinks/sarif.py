@@ -1,9 +1,8 @@
-"""SARIF 2.1.0 documents, one or more per repository.
+"""SARIF 2.1.0 documents, one per audited file with findings.
 
-A document holds at most ``max_results`` results: findings are numbered per
-repository with the skew-safe ranking (no per-repository task), then grouped
-by ``(repo_id, part)``; a repository with a million findings yields several
-valid documents instead of one unbounded group. Null optional fields (``region``
+Documents are keyed by ``(repo_id, file)``, whatever the number of findings, so
+no repository is gathered into one group; a repository without findings gets one
+document with a null file. Null optional fields (``region``
 without a line, ``locations`` without a file, ``invocations``) drop out of
 ``to_json`` by themselves.
 """
@@ -14,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weighbridge import dims
-from weighbridge.plans.ranking import rank_within
 
 TOOL_NAME = "weighbridge"
 
@@ -36,9 +34,8 @@ def _document(results, rules, no_context, version: str):
     return F.to_json(F.struct(F.lit(dims.SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs")))
 
 
-def sarif_documents(findings: DataFrame, health: DataFrame, version: str = "0.1.0", max_results: int = 10_000) -> DataFrame:
-    """``repo_id, part, sarif``: SARIF text per repository (and part)."""
-    ranked = rank_within(findings, ["repo_id"], [F.col("file"), F.col("rule_ord"), F.col("item_ord"), F.col("code"), F.col("message")], out="_r")
+def sarif_documents(findings: DataFrame, health: DataFrame, version: str = "0.1.0") -> DataFrame:
+    """``repo_id, file, sarif``: SARIF text per repository and file."""
     location = F.when(
         F.col("file").isNotNull(),
         F.array(
@@ -53,18 +50,18 @@ def sarif_documents(findings: DataFrame, health: DataFrame, version: str = "0.1.
     result = F.struct(
         F.col("code").alias("ruleId"), _level().alias("level"), F.struct(F.col("message").alias("text")).alias("message"), location.alias("locations")
     )
-    grouped = ranked.groupBy("repo_id", F.floor((F.col("_r") - 1) / max_results).cast("int").alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_r"), result.alias("res")))).alias("items")
+    grouped = findings.groupBy("repo_id", "file").agg(
+        F.array_sort(F.collect_list(F.struct("rule_ord", "item_ord", "code", "message", result.alias("res")))).alias("items")
     )
     results = F.transform(F.col("items"), lambda x: x["res"])
     codes = F.array_distinct(F.transform(F.col("items"), lambda x: x["res"]["ruleId"]))
     rules = F.transform(codes, lambda c: F.struct(c.alias("id"), c.alias("name"), F.struct(c.alias("text")).alias("shortDescription")))
     with_findings = grouped.join(health.select("repo_id", "no_context"), "repo_id", "left").select(
-        "repo_id", "part", _document(results, rules, F.coalesce(F.col("no_context"), F.lit(False)), version).alias("sarif")
+        "repo_id", "file", _document(results, rules, F.coalesce(F.col("no_context"), F.lit(False)), version).alias("sarif")
     )
     clean = health.join(findings.select("repo_id").distinct(), "repo_id", "left_anti").select(
         "repo_id",
-        F.lit(0).alias("part"),
+        F.lit(None).cast("string").alias("file"),
         _document(
             F.array().cast("array<struct<ruleId:string,level:string,message:struct<text:string>>>"),
             F.array().cast("array<struct<id:string,name:string,shortDescription:struct<text:string>>>"),

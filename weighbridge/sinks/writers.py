@@ -1,5 +1,6 @@
-"""Writers for the text sinks: one line per record, spread over hash buckets
-of the repository id so no single task or file holds the corpus."""
+"""Writers for the text sinks and the snapshot layout. Rows are dealt by
+adaptive rebalancing, which sizes partitions by bytes and splits large ones, so neither
+a repository nor a class of files fills one task, and the width grows with the data."""
 
 from __future__ import annotations
 
@@ -7,17 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_lines(df: DataFrame, path: str, text_col: str = "json", buckets: int = 64, mode: str = "overwrite") -> None:
-    """Write ``text_col`` as text lines under ``path/bucket=<n>/``, ordered by repository inside a file."""
-    out = df.select(F.pmod(F.xxhash64("repo_id"), F.lit(buckets)).alias("bucket"), "repo_id", F.col(text_col).alias("value"))
-    (
-        out.repartition(buckets, "bucket")
-        .sortWithinPartitions("repo_id")
-        .select("bucket", "value")
-        .write.mode(mode)
-        .partitionBy("bucket")
-        .text(path)
-    )
+def write_lines(df: DataFrame, path: str, text_col: str = "json", mode: str = "overwrite") -> None:
+    """Write ``text_col`` as text lines under ``path``, mostly grouped by repository."""
+    out = df.select("repo_id", F.col(text_col).alias("value")).hint("rebalance", "repo_id")
+    out.sortWithinPartitions("repo_id").select("value").write.mode(mode).text(path)
 
 
 def write_scan_results(docs: DataFrame, path: str, mode: str = "append") -> None:
@@ -37,7 +31,7 @@ def write_snapshot(files: DataFrame, path: str, mode: str = "error", rows_per_fi
 
     laid = files.withColumn("path_class", path_class(F.col("rel_path")))
     (
-        laid.repartition("path_class", "repo_id")
+        laid.hint("rebalance", "path_class", "repo_id")
         .sortWithinPartitions("repo_id", "rel_path")
         .write.mode(mode)
         .option("maxRecordsPerFile", rows_per_file)
@@ -46,13 +40,13 @@ def write_snapshot(files: DataFrame, path: str, mode: str = "error", rows_per_fi
     )
 
 
-def write_reports(a, out_dir: str, scanned_at: str, buckets: int = 64, sarif_max_results: int = 10_000) -> dict[str, str]:
+def write_reports(a, out_dir: str, scanned_at: str) -> dict[str, str]:
     """Everything one audit run reports, as distributed datasets under ``out_dir``.
 
     The batch counterpart of running health + budget with every output format on
     each repository: ``summary/`` (one JSON document per repository),
     ``findings/`` and ``entries/`` (one JSON line per finding / budget entry),
-    ``sarif/`` (SARIF documents, at most ``sarif_max_results`` results each) and
+    ``sarif/`` (SARIF documents, one per file with findings) and
     ``results/`` (study records). Returns the paths written.
     """
     import os
@@ -61,9 +55,9 @@ def write_reports(a, out_dir: str, scanned_at: str, buckets: int = 64, sarif_max
     from weighbridge.sinks.sarif import sarif_documents
 
     paths = {name: os.path.join(out_dir, name) for name in ("summary", "findings", "entries", "sarif", "results")}
-    write_lines(report_documents(a), paths["summary"], "json", buckets)
-    write_lines(finding_lines(a.findings), paths["findings"], "json", buckets)
-    write_lines(entry_lines(a.budget_entries), paths["entries"], "json", buckets)
-    write_lines(sarif_documents(a.findings, a.health, max_results=sarif_max_results), paths["sarif"], "sarif", buckets)
+    write_lines(report_documents(a), paths["summary"], "json")
+    write_lines(finding_lines(a.findings), paths["findings"], "json")
+    write_lines(entry_lines(a.budget_entries), paths["entries"], "json")
+    write_lines(sarif_documents(a.findings, a.health), paths["sarif"], "sarif")
     write_scan_results(scan_result_documents(a.scan_results(scanned_at), a.findings), paths["results"], mode="overwrite")
     return paths

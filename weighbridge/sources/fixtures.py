@@ -19,7 +19,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _repo_of(n: Column) -> Column:
-    return F.concat(F.lit("repo"), F.lpad(n.cast("bigint").cast("string"), 4, "0"))
+    return F.format_string("repo%04d", n.cast("bigint"))
+
+
+def _planted(doc: Column) -> Column:
+    """A line with a secret, personal data or a look-alike, by document; none for most."""
+    h = F.md5(doc.cast("string"))
+    n = F.floor(doc / 16) % 12
+    lines = [
+        F.lit("-----BEGIN RSA " + "PRIVATE KEY-----"),
+        F.concat(F.lit("AK" + "IA"), F.upper(F.substring(h, 1, 16)), F.lit(" x")),
+        F.concat(F.lit("use s" + "k-proj-"), h),
+        F.concat(F.lit("Authorization: Bear" + "er "), h),
+        F.concat(F.lit('api_key = "'), h, F.lit('"')),
+        F.concat(F.lit("mail dev"), doc.cast("string"), F.lit("@corp.internal.io_b@c.org, not a@example.com or x@host")),
+        F.concat(F.lit("host 10.0.0."), (doc % 300).cast("string"), F.lit(", 192.168.1.7. and 172.31.0.9")),
+        F.lit("v10.0.0.1 1.10.2.3.4 10.0.0.1.5 172.32.0.1 10.0.0.1_x"),
+        F.lit("password: changeme123 token=your-token-here"),
+    ]
+    out = F.lit("")
+    for i, line in reversed(list(enumerate(lines))):
+        out = F.when(n == i, F.concat(F.lit("\n"), line)).otherwise(out)
+    return out
 
 
 def files_v(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,25 +85,23 @@ def files_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 6, path("@n", base14, ".md\n")).otherwise(""),
         F.when(k == 14, path("@n", base6, ".md\nsee @../docs/prose.md\n")).otherwise(""),
         F.col("text"),
+        _planted(doc),
     )
+    content = F.when(doc % 151 != 6, content)  # the others are unreadable
     return d.select(_repo_of(F.floor(doc / 50)).alias("repo_id"), rel_path.alias("rel_path"), content.alias("content"))
 
 
-def _n_repos(spark: SparkSession, sf_dir: str) -> Column:
-    # scalar subquery: number of 50-document repositories
-    return _table(spark, sf_dir, "documents").select(F.count(F.lit(1)) / 50).scalar()
-
-
 def mcp_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     good = F.concat(
         F.lit('{"mcpServers":{"s'), key.cast("string"), F.lit('":{"tools":[{"name":"'), F.col("p_name"),
         F.lit('","size":'), F.col("p_size").cast("string"), F.lit('}]},"r'), key.cast("string"),
-        F.lit('":{"command":"run"},"m":{"toolsFile":"tools.json"}}}'),
+        F.lit('":{"command":"run"},"o\'k":{"tools":[{"name":"'), F.col("p_type"),
+        F.lit('"}]},"*":{"toolsFile":"tools.json"},"12":{"tools":[1]},"7":{"command":"x"},"m":{"toolsFile":"tools.json"}}}'),
     )
     content = F.when(key % 7 == 6, F.lit("{bad")).when(key % 7 == 5, F.lit('{"servers":{}}')).otherwise(good)
-    return p.where(key < _n_repos(spark, sf_dir)).select(
+    return p.select(
         _repo_of(key).alias("repo_id"), F.lit(".mcp.json").alias("rel_path"), content.alias("content")
     )
 
@@ -96,7 +115,7 @@ def tools_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 4 == 2, F.concat(F.lit('{"tools":[{"name":"'), F.col("p_type"), F.lit('"}]}')))
         .otherwise(F.lit('[{"a":1}]'))
     )
-    return p.where(key < _n_repos(spark, sf_dir)).select(
+    return p.select(
         _repo_of(key).alias("repo_id"), F.lit("tools.json").alias("rel_path"), content.alias("content")
     )
 
@@ -109,7 +128,8 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repos_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repository list: every repository with files, plus three with none."""
     none = spark.range(1, 4).select(F.concat(F.lit("repo_none"), F.col("id").cast("string")).alias("repo_id"))
-    return files_v(spark, sf_dir).select("repo_id").distinct().unionByName(none)
+    named = files_v(spark, sf_dir).select("repo_id").unionByName(mcp_v(spark, sf_dir).select("repo_id"))
+    return named.distinct().unionByName(none)
 
 
 def urls_v(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@
 repository. Unlike the ``text``/``binaryFile`` sources it keeps names that
 start with ``.`` or ``_`` (``.cursorrules``, ``.github/...``, ``.mcp.json``).
 Repositories are spread over ``partitions`` input partitions (default: one per
-repository, capped at 4096); the driver lists only the top level, executors
+repository); the driver lists only the top level, executors
 walk the trees, so every executor must see the storage. Text is decoded as
 UTF-8 with bad bytes replaced by U+FFFD; an unreadable file gets null content.
 Symbolic links to directories are not followed.
@@ -31,7 +31,7 @@ class TreeReader(DataSourceReader):
 
     def partitions(self):
         repos = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
-        n = self.n_parts or min(max(len(repos), 1), 4096)
+        n = self.n_parts or max(len(repos), 1)
         shards = [repos[i::n] for i in range(n)]
         return [_Shard(s) for s in shards if s] or [_Shard([])]
 
