@@ -21,6 +21,7 @@ from weighbridge import dims
 from weighbridge.functions.paths import resolve_import
 from weighbridge.functions.text import basename
 from weighbridge.operators.classify import classify_kind, discoverable
+from weighbridge.session import discard, materialize
 
 # ---- fixed values: the import line syntax ------------------------------------
 # An import starts its line (indent allowed): "@" + path ending in a markdown or
@@ -90,23 +91,26 @@ def extract_edges(files: DataFrame) -> DataFrame:
     )
 
 
-def import_closure(edges: DataFrame, context: DataFrame, reach_checkpoint_every: int = 8) -> DataFrame:
+def fold_edges(edges: DataFrame) -> DataFrame:
+    """``repo_id, node_path, next_path``: distinct edges to existing non-context files, as a written table."""
+    return materialize(
+        edges.where(F.col("dst_exists") & ~F.col("dst_is_context"))
+        .select("repo_id", F.col("src_path").alias("node_path"), F.col("dst_path").alias("next_path"))
+        .distinct(),
+        "fold",
+    )
+
+
+def import_closure(fold: DataFrame, context: DataFrame, reach_checkpoint_every: int = 8) -> DataFrame:
     """``repo_id, root_path, node_path, depth``: non-context files folded into each context file.
 
-    Semi-naive iteration: each round joins only the newest frontier with the
-    foldable edges and drops pairs already reached (``left_anti``). Every
+    All pairs of start and folded file, for those who ask for them; claims and broken
+    specs below do without. Semi-naive iteration: each round joins only the newest frontier with
+    the foldable edges and drops pairs already reached (``left_anti``). Every
     round is written as a table in the session's checkpoint folder
     (:func:`weighbridge.session.materialize`), so the plan stays short and a
     lost executor recomputes one round at most.
     """
-    from weighbridge.session import materialize
-
-    fold = materialize(
-        edges.where(F.col("dst_exists") & ~F.col("dst_is_context"))
-        .select("repo_id", F.col("src_path").alias("node_path"), F.col("dst_path").alias("next_path"))
-        .distinct(),
-        "fold",
-    )
     frontier = context.select("repo_id", F.col("rel_path").alias("root_path"), F.col("rel_path").alias("node_path"))
     reach = None
     depth = 0
@@ -129,38 +133,68 @@ def import_closure(edges: DataFrame, context: DataFrame, reach_checkpoint_every:
         frontier = step.select("repo_id", "root_path", "node_path")
     if reach is None:
         schema = "repo_id string, root_path string, node_path string, depth int"
-        return edges.sparkSession.createDataFrame([], schema)
+        return fold.sparkSession.createDataFrame([], schema)
     return reach
 
 
-def unresolved_imports(edges: DataFrame, context: DataFrame, reach: DataFrame) -> DataFrame:
-    """``repo_id, root_path, spec, first_depth, first_src, first_ord``: broken specs per start file."""
-    expanded = context.select(
-        "repo_id", F.col("rel_path").alias("root_path"), F.col("rel_path").alias("node_path"), F.lit(0).alias("depth")
-    ).unionByName(reach.select("repo_id", "root_path", "node_path", "depth"))
-    broken = edges.where(~F.col("dst_exists")).select(
-        "repo_id", F.col("src_path").alias("node_path"), "ord", "spec"
+def unresolved_imports(edges: DataFrame, fold: DataFrame, context: DataFrame) -> DataFrame:
+    """``repo_id, root_path, spec, first_depth, first_src, first_ord``: broken specs per start file.
+
+    Walks back from the files that hold a broken spec, breadth first, to the start
+    files that reach them; files without one cost nothing."""
+    broken = edges.where(~F.col("dst_exists")).select("repo_id", F.col("src_path").alias("src"), "ord", "spec")
+    back = fold.select("repo_id", F.col("next_path").alias("node_path"), F.col("node_path").alias("prev_path"))
+    key = ["repo_id", "src", "node_path"]
+    frontier = materialize(broken.select("repo_id", "src", F.col("src").alias("node_path"), F.lit(0).alias("depth")).distinct(), "broken")
+    reached, depth = frontier, 0
+    while not frontier.isEmpty():
+        depth += 1
+        step = frontier.join(back, ["repo_id", "node_path"]).select("repo_id", "src", F.col("prev_path").alias("node_path")).distinct()
+        frontier = materialize(step.join(reached, key, "left_anti").withColumn("depth", F.lit(depth)), "broken")
+        reached = reached.unionByName(frontier)
+        if depth % 8 == 0:
+            reached = materialize(reached, "broken")
+    roots = reached.withColumnRenamed("node_path", "root_path").join(
+        context.select("repo_id", F.col("rel_path").alias("root_path")), ["repo_id", "root_path"], "left_semi"
     )
-    hits = expanded.join(broken, ["repo_id", "node_path"])
-    first = F.min(F.struct("depth", "node_path", "ord")).alias("first")
-    return hits.groupBy("repo_id", "root_path", "spec").agg(first).select(
+    first = F.min(F.struct("depth", "src", "ord")).alias("first")
+    return roots.join(broken, ["repo_id", "src"]).groupBy("repo_id", "root_path", "spec").agg(first).select(
         "repo_id",
         "root_path",
         "spec",
         F.col("first.depth").alias("first_depth"),
-        F.col("first.node_path").alias("first_src"),
+        F.col("first.src").alias("first_src"),
         F.col("first.ord").alias("first_ord"),
     )
 
 
-def claim_imports(reach: DataFrame, collation: str = "UTF8_BINARY") -> DataFrame:
+def claim_imports(fold: DataFrame, context: DataFrame, collation: str = "UTF8_BINARY") -> DataFrame:
     """``repo_id, importer_path, imported_path``: each folded file goes to its first importer in path order.
 
-    Path order is binary by default (what SQL engines sort by); ``collation``
+    Smallest-label propagation: a file holds the first importer known to reach it and
+    hands it on when it improves, so the state is one row per file, whatever the number
+    of start files. Path order is binary by default (what SQL engines sort by); ``collation``
     ``"UNICODE"`` uses ICU root collation, closer to a locale-aware compare.
-    Either way it is a partial aggregate per (repository, file).
     """
-    first = F.min("root_path") if collation == "UTF8_BINARY" else F.min(F.collate("root_path", collation)).cast("string")
-    return reach.groupBy("repo_id", F.col("node_path").alias("imported_path")).agg(first.alias("importer_path")).select(
-        "repo_id", "importer_path", "imported_path"
-    )
+    binary = collation == "UTF8_BINARY"
+    key = ["repo_id", "node_path"]
+    order = lambda c: F.col(c) if binary else F.collate(F.col(c), collation)
+    frontier = context.select("repo_id", F.col("rel_path").alias("node_path"), F.col("rel_path").alias("importer_path"))
+    labels = None
+    while True:
+        step = frontier.join(fold, key).groupBy("repo_id", F.col("next_path").alias("node_path")).agg(
+            F.min(order("importer_path")).cast("string").alias("importer_path")
+        )
+        if labels is not None:
+            known = labels.withColumnRenamed("importer_path", "known")
+            step = step.join(known, key, "left").where(F.col("known").isNull() | (order("importer_path") < order("known"))).drop("known")
+        frontier = materialize(step, "claim")
+        if frontier.isEmpty():
+            break
+        before, labels = labels, frontier
+        if before is not None:
+            labels = materialize(before.join(frontier.select(*key), key, "left_anti").unionByName(frontier), "claims")
+            discard(before)
+    if labels is None:
+        return fold.sparkSession.createDataFrame([], "repo_id string, importer_path string, imported_path string")
+    return labels.select("repo_id", "importer_path", F.col("node_path").alias("imported_path"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from weighbridge import dims
 from weighbridge.functions.urls import owner_repo
 from weighbridge.plans.ranking import exact_median_half_up, rank_within
+from weighbridge.session import materialize
 
 
 def scan_results(a, scanned_at: str, urls: DataFrame | None = None) -> DataFrame:
@@ -95,6 +96,8 @@ def _ok(results: DataFrame) -> DataFrame:
 
 def study_summary(results: DataFrame, over_low: int = 2000, over_high: int = 8000) -> DataFrame:
     """One row: coverage counts, always-on median/min/max, threshold and truncation shares, scan date."""
+    # read by the counts and by the median: the repositories' rows are made once
+    results = materialize(results.select("status", "always_on_tokens", "truncates", "scanned_at"), "study")
     ok = F.col("status") == "ok"
     a = F.col("always_on_tokens")
     date = F.max(F.when(F.col("scanned_at") != "", F.col("scanned_at")))
@@ -131,7 +134,7 @@ def study_grade_histogram(results: DataFrame) -> DataFrame:
     """Repositories per grade A..F among the ``ok`` ones, zeros shown, fixed order."""
     grades = dims.grade_dim(results.sparkSession)
     counts = _ok(results).groupBy("grade").agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(grades).join(counts, "grade", "left").select(
+    return grades.join(counts, "grade", "left").select(
         "grade", "grade_ord", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_repos")
     )
 

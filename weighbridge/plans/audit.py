@@ -19,7 +19,7 @@ from weighbridge.operators import budget as B
 from weighbridge.operators import health as H
 from weighbridge.operators.classify import scan_context_files
 from weighbridge.operators.findings import size_findings, union_findings, unresolved_findings
-from weighbridge.operators.imports import target_scope, claim_imports, extract_edges, import_closure, unresolved_imports
+from weighbridge.operators.imports import target_scope, claim_imports, extract_edges, fold_edges, import_closure, unresolved_imports
 from weighbridge.operators.mcp import mcp_costs, mcp_servers
 from weighbridge.operators.secrets import secret_findings
 from weighbridge.session import materialize
@@ -93,15 +93,19 @@ class Audit:
 
     @cached_property
     def reach(self) -> DataFrame:
-        return import_closure(self.edges, self.context.select("repo_id", "rel_path"))
+        return import_closure(self.fold, self.context.select("repo_id", "rel_path"))
+
+    @cached_property
+    def fold(self) -> DataFrame:
+        return fold_edges(self.edges)
 
     @cached_property
     def claims(self) -> DataFrame:
-        return claim_imports(self.reach, self.path_collation)
+        return claim_imports(self.fold, self.context.select("repo_id", "rel_path"), self.path_collation)
 
     @cached_property
     def unresolved(self) -> DataFrame:
-        return unresolved_imports(self.edges, self.context.select("repo_id", "rel_path"), self.reach)
+        return unresolved_imports(self.edges, self.fold, self.context.select("repo_id", "rel_path"))
 
     # ---- tokens ----------------------------------------------------------------
     @cached_property
@@ -164,7 +168,8 @@ class Audit:
 
     @cached_property
     def mcp_costs(self) -> DataFrame:
-        return mcp_costs(self.mcp_servers, self.weigher, **self.token_opts)
+        # one short row per server, read by every budget output: kept, so configs are parsed once
+        return mcp_costs(self.mcp_servers, self.weigher, **self.token_opts).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def budget_entries(self) -> DataFrame:

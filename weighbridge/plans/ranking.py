@@ -60,15 +60,22 @@ def rank_within(
 
 
 def exact_median_half_up(df: DataFrame, value: str, out: str = "median") -> DataFrame:
-    """One row: the exact median of ``value`` (mean of the middle two, rounded half up; empty → 0).
+    """One row: the exact median of ``value`` (mean of the middle two, rounded half up; none → 0).
 
-    The values are ranked by a distributed sort (``rank_within`` with no key);
-    only the one or two middle rows reach the final aggregate.
+    Equal values are counted first (partial sums per task), so a hot value is one row;
+    the distinct values are then range-partitioned and their counts summed along the slices.
     """
-    ranked = rank_within(df.select(F.col(value).cast("long").alias("_v")), [], [F.col("_v")], out="_r")
-    n = df.select(F.count(F.lit(1))).scalar()
-    lo = F.floor((n - 1) / 2) + 1
-    hi = F.floor(n / 2) + 1
-    mids = ranked.where((F.col("_r") == lo) | (F.col("_r") == hi))
-    avg = F.avg("_v")
-    return mids.agg(F.coalesce(F.floor(avg + F.lit(0.5)), F.lit(0)).cast("long").alias(out))
+    spark = df.sparkSession
+    n_slices = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    counts = df.select(F.col(value).cast("long").alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = materialize(counts.repartitionByRange(n_slices, "_v").withColumn("_slice", F.spark_partition_id()), "values")
+    slices = ranged.groupBy("_slice").agg(F.sum("_n").alias("_s"))  # at most n_slices rows
+    before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = slices.select("_slice", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    inside = W.partitionBy("_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    last = F.col("_off") + F.sum("_n").over(inside)
+    placed = ranged.join(slices, "_slice").withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    n = ranged.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    at = lambda k: F.max(F.when(F.lit(k).between(F.col("_first"), F.col("_last")), F.col("_v")))
+    middle = (at((n - 1) // 2 + 1) + at(n // 2 + 1)) / 2
+    return placed.agg(F.coalesce(F.floor(middle + F.lit(0.5)), F.lit(0)).cast("long").alias(out))

@@ -70,4 +70,15 @@ def materialize(df, label: str = "step"):
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/weighbridge-tables/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Remove tables that :func:`materialize` wrote and nothing will read again."""
+    for df in tables:
+        spark, name = df.sparkSession, getattr(df, "table_path", None)
+        if name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
