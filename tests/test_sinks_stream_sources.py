@@ -38,13 +38,16 @@ def test_sarif_structure_and_parts(spark):
 def test_json_reports_and_scan_results_roundtrip(spark):
     a = _audit(spark)
     rep = {r["repo_id"]: json.loads(r["json"]) for r in report_documents(a).collect()}
-    assert rep["r_none"]["health"]["grade"] == "N/A" and rep["r1"]["health"]["findings"] == 2
+    assert rep["r_none"]["health"]["grade"] == "N/A" and rep["r1"]["health"]["nFindings"] == 2 and rep["r_none"]["health"]["score"] is None
     out = tempfile.mkdtemp(prefix="wb-results-")
     docs = scan_result_documents(a.scan_results("2026-07-02T00:00:00Z"), a.findings)
     docs.write.mode("overwrite").json(out)
     back = {r["repo"]: r for r in read_scan_results(spark, out, multi_line=False).collect()}
     assert back["r1"]["report"]["health"]["findings"][0]["code"] in ("budget/too-long", "imports/unresolved")
     assert back["r_none"]["status"] == "n/a"
+    urls = spark.createDataFrame([("r1", "https://host/o/r1", "abc123")], "repo_id string, url string, commit string")
+    docs = scan_result_documents(a.scan_results("2026-07-02T00:00:00Z", urls), a.findings)
+    assert {r["repo"]: r["commit"] for r in docs.collect()}["r1"] == "abc123"
 
 
 def test_tree_source_reads_dotfiles(spark):
@@ -62,18 +65,28 @@ def test_tree_source_reads_dotfiles(spark):
 
 
 def test_incremental_scan_batch_and_stream(spark):
-    snap = tempfile.mkdtemp(prefix="wb-snap-")
+    snap, man = tempfile.mkdtemp(prefix="wb-snap-"), tempfile.mkdtemp(prefix="wb-man-")
     res = os.path.join(tempfile.mkdtemp(prefix="wb-res-"), "results")
-    files_df(spark, [("CLAUDE.md", "one")], repo="r1").write.mode("append").parquet(snap)
-    incremental_scan(spark, snap, res, "2026-07-02T00:00:00Z", weigher="bytes4")
-    first = spark.read.parquet(res)
-    assert [r["repo_id"] for r in first.collect()] == ["r1"]
-    files_df(spark, [("AGENTS.md", "two")], repo="r2").unionByName(files_df(spark, [("CLAUDE.md", "again")], repo="r1")).write.mode(
-        "append"
-    ).parquet(snap)
-    incremental_scan(spark, snap, res, "2026-07-03T00:00:00Z", weigher="bytes4")
-    rows = spark.read.parquet(res).collect()
-    assert sorted(r["repo_id"] for r in rows) == ["r1", "r2"]  # r1 already had a result: skipped
+
+    def arrive(repo, rows, n_files=None):
+        files_df(spark, rows, repo=repo).write.mode("append").parquet(snap)
+        if n_files:
+            spark.createDataFrame([(repo, n_files)], "repo_id string, n_files long").coalesce(1).write.mode("append").parquet(man)
+
+    def scan():
+        incremental_scan(spark, snap, man, res, "2026-07-02T00:00:00Z", weigher="bytes4")
+        return {r["repo_id"]: r["always_on_tokens"] for r in spark.read.parquet(res).collect()}
+
+    arrive("r1", [("CLAUDE.md", "one " * 4)], 1)
+    arrive("r2", [("AGENTS.md", "two " * 4)], 2)  # its second file is still to come
+    assert scan() == {"r1": 4}
+    arrive("r2", [("a/AGENTS.md", "more" * 4)])
+    assert scan() == {"r1": 4}  # a restart without new manifest rows reads nothing again
+    arrive("r1", [("b/CLAUDE.md", "late")], 2)
+    arrive("r4", [("README.md", "none")], 1)
+    assert scan() == {"r1": 4, "r2": 8, "r4": 0}  # r1 already had a result: skipped
+    assert spark.read.parquet(res).count() == 3
+
     repos = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "repo_id string")
     assert [r[0] for r in pending_repos(repos, spark.read.parquet(res)).collect()] == ["r3"]
 

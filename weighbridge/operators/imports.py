@@ -80,7 +80,7 @@ def extract_edges(files: DataFrame) -> DataFrame:
     edges = raw.join(existing, ["repo_id", "dst_path"], "left").withColumn(
         "dst_exists", F.coalesce(F.col("dst_exists"), F.lit(False))
     )
-    return edges.select(
+    out = edges.select(
         "repo_id",
         "src_path",
         F.col("ord").cast("int").alias("ord"),
@@ -89,6 +89,8 @@ def extract_edges(files: DataFrame) -> DataFrame:
         "dst_exists",
         (F.col("dst_exists") & _is_context_path(F.col("dst_path"))).alias("dst_is_context"),
     )
+    out.raw_rows = raw  # for the caller to unpersist
+    return out
 
 
 def fold_edges(edges: DataFrame) -> DataFrame:

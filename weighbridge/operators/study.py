@@ -35,7 +35,7 @@ def scan_results(a, scanned_at: str, urls: DataFrame | None = None) -> DataFrame
         .join(unreadable, "repo_id", "left")
     )
     if urls is not None:
-        r = r.join(urls.select("repo_id", "url"), "repo_id", "left")
+        r = r.join(urls.select("repo_id", "url", *[c for c in urls.columns if c == "commit"]), "repo_id", "left")
     else:
         r = r.withColumn("url", F.col("repo_id"))
     owner, repo = owner_repo(F.coalesce(F.col("url"), F.col("repo_id")))
@@ -48,6 +48,7 @@ def scan_results(a, scanned_at: str, urls: DataFrame | None = None) -> DataFrame
         repo.alias("repo"),
         status.alias("status"),
         F.lit(scanned_at).alias("scanned_at"),
+        (F.col("commit") if "commit" in r.columns else F.lit(None)).cast("string").alias("commit"),
         F.when(err, F.format_string("%d unreadable file(s)", F.col("n_unreadable"))).alias("error"),
         "grade",
         "score",

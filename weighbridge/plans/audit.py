@@ -55,6 +55,12 @@ class Audit:
         self.keep_reserved_email = keep_reserved_email
         self.path_collation = path_collation
 
+    def release(self) -> None:
+        """Give back what the audit keeps on executors; its tables can still be used."""
+        for name in ("context", "token_table", "findings", "mcp_costs"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()
+
     # ---- scan ------------------------------------------------------------------
     @cached_property
     def repos(self) -> DataFrame:
@@ -89,7 +95,10 @@ class Audit:
     def edges(self) -> DataFrame:
         """Import edges, computed once (one narrow regex pass) and checkpointed:
         the closure, unresolved specs and budget all read this short table."""
-        return materialize(extract_edges(self.files), "edges")
+        edges = extract_edges(self.files)
+        out = materialize(edges, "edges")
+        edges.raw_rows.unpersist()
+        return out
 
     @cached_property
     def reach(self) -> DataFrame:

@@ -6,7 +6,8 @@ per finding or budget entry, so a repository with millions of findings is
 never gathered into one record. ``scan_result_documents``: the per-repository
 result record of a corpus study; its findings are the distinct
 ``(severity, code)`` pairs (at most one per code and severity), which is all
-the study statistics read.
+the study statistics read. Counts stand under ``n...`` names, never under the names of
+lists; null values are written as null.
 """
 
 from __future__ import annotations
@@ -15,32 +16,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
 def report_documents(a) -> DataFrame:
     h, b = a.health, a.budget
     j = h.join(b, "repo_id", "left")
     health = F.struct(
         F.col("grade").alias("grade"), F.col("score").alias("score"), F.col("no_context").alias("noContext"),
-        F.col("n_files").alias("files"), F.col("n_findings").alias("findings"),
+        F.col("n_files").alias("nFiles"), F.col("n_findings").alias("nFindings"),
     )
     budget = F.struct(
         F.col("always_on_tokens").alias("alwaysOnTokens"), F.col("on_demand_tokens").alias("onDemandTokens"),
         F.col("on_demand_count").alias("onDemandCount"), F.col("context_window").alias("contextWindow"),
         F.col("est_cost_usd").alias("estCostUsd"),
     )
-    return j.select("repo_id", F.to_json(F.struct(health.alias("health"), budget.alias("budget"))).alias("json"))
+    return j.select("repo_id", F.to_json(F.struct(health.alias("health"), budget.alias("budget")), KEEP_NULLS).alias("json"))
 
 
 def finding_lines(findings: DataFrame) -> DataFrame:
     rec = F.struct("severity", "code", "message", "suggestion", "file", F.when(F.col("line") > 0, F.col("line")).alias("line"))
-    return findings.select("repo_id", "file", "rule_ord", "item_ord", F.to_json(rec).alias("json"))
+    return findings.select("repo_id", "file", "rule_ord", "item_ord", F.to_json(rec, KEEP_NULLS).alias("json"))
 
 
 def entry_lines(entries: DataFrame) -> DataFrame:
     rec = F.struct(
         "label", "tokens", "load", "note", F.col("own_tokens").alias("ownTokens"),
-        F.col("imported_tokens").alias("importedTokens"), F.col("n_imports").alias("imports"),
+        F.col("imported_tokens").alias("importedTokens"), F.col("n_imports").alias("nImports"),
     )
-    return entries.select("repo_id", F.to_json(rec).alias("json"))
+    return entries.select("repo_id", F.to_json(rec, KEEP_NULLS).alias("json"))
+
+
+def import_lines(claims: DataFrame) -> DataFrame:
+    """One line per file an entry pays for: an entry's list of imported files, as rows."""
+    rec = F.struct(F.col("importer_path").alias("label"), F.col("imported_path").alias("imports"))
+    return claims.select("repo_id", F.to_json(rec).alias("json"))
 
 
 def scan_result_documents(results: DataFrame, findings: DataFrame) -> DataFrame:
@@ -63,6 +73,6 @@ def scan_result_documents(results: DataFrame, findings: DataFrame) -> DataFrame:
         ),
     )
     return r.select(
-        "url", "owner", "repo", "status", F.col("scanned_at").alias("scannedAt"), F.lit(None).cast("string").alias("commit"),
+        "url", "owner", "repo", "status", F.col("scanned_at").alias("scannedAt"), (F.col("commit") if "commit" in r.columns else F.lit(None)).cast("string").alias("commit"),
         "error", report.alias("report"),
     )

@@ -3,41 +3,54 @@
 Batch: ``pending_repos`` is a ``left_anti`` join of the snapshot's repositories
 against the result table (any existing result counts as done, errors too).
 
-Stream: snapshot files arriving in a folder (each file holds whole
-repositories) are read with ``readStream``; every micro-batch is audited by the
-batch plan and appended to the result table inside ``foreachBatch``. The
-stream's checkpoint lives under the session's checkpoint folder, and each
-batch first anti-joins against the results already written, so a replayed
-batch after a failure appends nothing twice.
+Stream: files of a snapshot arrive in any order and any number of micro-batches, so
+what the stream reads is the manifest: one row ``(repo_id, n_files)`` per repository.
+Each micro-batch audits, inside ``foreachBatch``, every listed repository
+that has no result and whose ``n_files`` files are all in the snapshot by then;
+the others wait for a later batch. The stream's checkpoint lives beside the results
+(``_stream``, which readers of the table skip), so a restart goes on where it ended, and
+a replayed batch finds its results and appends nothing twice.
 """
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weighbridge.plans.audit import audit
-from weighbridge.session import ensure_checkpoint_dir
+from weighbridge.session import ensure_checkpoint_dir, materialize
 
 SNAPSHOT_SCHEMA = "repo_id string, rel_path string, content string"
+MANIFEST_SCHEMA = "repo_id string, n_files long"
 
 
 def pending_repos(repos: DataFrame, results: DataFrame) -> DataFrame:
     return repos.select("repo_id").distinct().join(results.select("repo_id").distinct(), "repo_id", "left_anti")
 
 
-def _existing(spark: SparkSession, results_dir: str) -> DataFrame | None:
+def _existing(spark: SparkSession, results_dir: str) -> DataFrame:
+    """Repositories with results; none where the table does not exist yet. Other faults are raised."""
     try:
-        return spark.read.parquet(results_dir).select("repo_id")
-    except Exception:  # noqa: BLE001 - no result table yet
-        return None
+        return spark.read.schema("repo_id string").parquet(results_dir)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "repo_id string")
+
+
+def complete_repos(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """Repositories of the manifest whose files are all there; keys only, no text."""
+    wanted = manifest.groupBy("repo_id").agg(F.max("n_files").alias("n_files"))
+    there = files.select("repo_id", "rel_path").join(wanted, "repo_id", "left_semi").distinct()
+    there = there.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+    return wanted.join(there, "repo_id", "left").where(F.coalesce("n", F.lit(0)) >= F.col("n_files")).select("repo_id")
 
 
 def incremental_scan(
     spark: SparkSession,
     snapshot_dir: str,
+    manifest_dir: str,
     results_dir: str,
     scanned_at: str,
     checkpoint_location: str | None = None,
@@ -45,22 +58,20 @@ def incremental_scan(
     **audit_options,
 ):
     """Start (and, with ``available_now``, finish) the stream; returns the query handle."""
-    if checkpoint_location is None:
-        base = ensure_checkpoint_dir(spark)
-        checkpoint_location = os.path.join(base, "weighbridge-incremental-scan")
-    else:
-        ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(spark)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        done = _existing(batch.sparkSession, results_dir)
-        files = batch if done is None else batch.join(done.distinct(), "repo_id", "left_anti")
-        repos = files.select("repo_id").distinct()
-        a = audit(files, repos=repos, **audit_options)
-        out = a.scan_results(scanned_at).withColumn("batch_id", F.lit(batch_id))
-        out.write.mode("append").parquet(results_dir)
-
-    stream = spark.readStream.schema(SNAPSHOT_SCHEMA).parquet(snapshot_dir)
-    writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
+        session = batch.sparkSession
+        manifest = session.read.schema(MANIFEST_SCHEMA).parquet(manifest_dir)
+        manifest = manifest.join(pending_repos(manifest, _existing(session, results_dir)), "repo_id", "left_semi")
+        files = session.read.schema(SNAPSHOT_SCHEMA).parquet(snapshot_dir)
+        ready = materialize(complete_repos(manifest, files), "ready")
+        a = audit(files.join(ready, "repo_id", "left_semi"), repos=ready, **audit_options)
+        a.scan_results(scanned_at).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(results_dir)
+        a.release()
+
+    stream = spark.readStream.schema(MANIFEST_SCHEMA).parquet(manifest_dir)
+    writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location or f"{results_dir}/_stream")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     query = writer.start()
     if available_now:
