@@ -527,3 +527,48 @@ def q_json_report(spark, sf):
     from weighbridge.sinks.json_report import report_documents
 
     return report_documents(fixture_audit(spark, sf))
+
+
+@register(
+    "q_sarif_results",
+    O.build(
+        "SELECT repo_id, file AS uri, code AS rule_id, CASE severity WHEN 'error' THEN 'error' WHEN 'warn' THEN 'warning' ELSE 'note' END AS level, "
+        "CASE WHEN line > 0 THEN line END AS start_line, message, "
+        "CAST(row_number() OVER (PARTITION BY repo_id, file ORDER BY rule_ord, item_ord, code, message) - 1 AS INTEGER) AS position FROM findings",
+        "findings",
+    ),
+)
+def q_sarif_results(spark, sf):
+    """The results of the SARIF documents, read back from their text, with their positions."""
+    from weighbridge.sinks.sarif import sarif_documents
+
+    a = fixture_audit(spark, sf)
+    place = "physicalLocation struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>"
+    result = f"struct<ruleId: string, level: string, message: struct<text: string>, locations: array<struct<{place}>>>"
+    runs = F.from_json("sarif", f"struct<runs: array<struct<results: array<{result}>>>>")["runs"]
+    rows = sarif_documents(a.findings, a.health).select("repo_id", F.posexplode(runs[0]["results"]).alias("position", "r"))
+    spot = F.col("r.locations")[0]["physicalLocation"]
+    return rows.select(
+        "repo_id",
+        spot["artifactLocation"]["uri"].alias("uri"),
+        F.col("r.ruleId").alias("rule_id"),
+        F.col("r.level").alias("level"),
+        spot["region"]["startLine"].alias("start_line"),
+        F.col("r.message.text").alias("message"),
+        "position",
+    )
+
+
+@register("q_snapshot_scan", O.build("SELECT repo_id, rel_path, kind, load, bytes, lines FROM ctx", "ctx"))
+def q_snapshot_scan(spark, sf):
+    """The context scan over a snapshot laid out by path class, written and loaded again."""
+    import uuid
+
+    from weighbridge.operators.classify import scan_context_files
+    from weighbridge.session import ensure_checkpoint_dir
+    from weighbridge.sinks.writers import write_snapshot
+    from weighbridge.sources.readers import load_snapshot
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    write_snapshot(snapshot(spark, sf), path)
+    return scan_context_files(load_snapshot(spark, path)).select("repo_id", "rel_path", "kind", "load", "bytes", "lines")
