@@ -122,3 +122,51 @@ def test_claim_order_collation(spark):
     assert icu == {"shared.md": "_z/CLAUDE.md"}  # punctuation sorts first in ICU root order
     e = {r["label"]: r["imported_tokens"] for r in audit(df, weigher="bytes4", path_collation="UNICODE").budget_entries.collect()}
     assert e == {"_z/CLAUDE.md": 10, "A/CLAUDE.md": None}
+
+
+def _first_places(files, context):
+    """Every simple path from each start file, by brute force: the smallest position list of each broken spec."""
+    edges = {p: [(spec, _resolve(p, spec)) for spec in IMPORT.findall(text)] for p, text in files.items()}
+    best, todo = {}, [((), (c,)) for c in context]
+    while todo:
+        place, trail = todo.pop()
+        for at, (spec, target) in enumerate(edges[trail[-1]]):
+            here = (*place, at)
+            if target not in files:
+                best[trail[0], spec] = min(best.get((trail[0], spec), here), here)
+            elif target not in context and target not in trail:
+                todo.append((here, (*trail, target)))
+    return best
+
+
+def test_broken_specs_in_tree_order(spark):
+    files = [("CLAUDE.md", "@a.md\n@missing2.md\n"), ("a.md", "@missing1.md\n")]
+    a = audit(files_df(spark, files), weigher="bytes4")
+    rows = a.findings.where("rule_ord = 4").orderBy("item_ord").collect()
+    assert [(r["item_ord"], r["message"].split('"')[1]) for r in rows] == [([0, 0], "@missing1.md"), ([1], "@missing2.md")]
+
+
+def test_broken_spec_places_match_all_simple_paths(spark):
+    import random
+
+    rng, repos = random.Random(5), {}
+    for k in range(8):
+        names = ["CLAUDE.md", "AGENTS.md", *[f"n{i}.md" for i in range(6)]]
+        targets = [*names, "gone1.md", "gone2.md", "gone3.md"]
+        repos[f"r{k}"] = {n: "".join(f"@{rng.choice(targets)}\n" for _ in range(rng.randint(0, 4))) for n in names}
+    rows = [(r, p, t) for r, files in repos.items() for p, t in files.items()]
+    df = spark.createDataFrame(rows, "repo_id string, rel_path string, content string")
+    got = {(r["repo_id"], r["root_path"], r["spec"]): tuple(r["place"]) for r in audit(df, weigher="bytes4").unresolved.collect()}
+    want = {(k, *key): v for k, files in repos.items() for key, v in _first_places(files, {"CLAUDE.md", "AGENTS.md"}).items()}
+    assert got == want and len(want) > 15
+
+
+def test_one_path_order_for_ties_and_findings(spark):
+    gone = "@gone.md\n"
+    df = files_df(spark, [("_z/CLAUDE.md", gone), ("A/CLAUDE.md", gone)])
+    for collation, first in (("UTF8_BINARY", "A/CLAUDE.md"), ("UNICODE", "_z/CLAUDE.md")):
+        a = audit(df, weigher="bytes4", path_collation=collation)
+        assert a.budget_ranked.orderBy("rank").first()["label"] == first
+        assert [r["first_file"] for r in a.finding_groups.collect()] == [first]
+        assert [r["first_file"] for r in a.distinct_suggestions.collect()] == [first]
+        assert a.problem_summary.count() == 1 and a.top_suggestions.count() == 1

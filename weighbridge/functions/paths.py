@@ -34,3 +34,8 @@ def resolve_import(importer_path: Column, spec: Column) -> Column:
     folded = F.aggregate(F.split(joined, "/"), start, step)
     ok = ~spec.startswith("/") & ~folded["bad"] & (F.size(folded["st"]) > 0)
     return F.when(ok, F.array_join(folded["st"], "/"))
+
+
+def path_order(path: Column, collation: str = "UTF8_BINARY") -> Column:
+    """The key that sorts paths: binary, or by an ICU collation (``"UNICODE"``)."""
+    return path if collation == "UTF8_BINARY" else F.collate(path, collation)

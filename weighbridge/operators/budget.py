@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weighbridge import dims
+from weighbridge.functions.paths import path_order
 from weighbridge.plans.ranking import rank_within
 
 ENTRY_COLUMNS = [
@@ -67,14 +68,17 @@ def budget_entries(context_tokens: DataFrame, imported: DataFrame, mcp: DataFram
     return files_e.unionByName(mcp_e).select(*ENTRY_COLUMNS)
 
 
-def _entry_order() -> list:
-    load_ord = F.when(F.col("load") == "always", F.lit(0)).otherwise(F.lit(1))
-    return [load_ord, F.desc("tokens"), F.col("src_ord"), F.col("file_path"), F.col("server_ord")]
+def _weight_order(collation: str) -> list:
+    """Heaviest first, ties in input order: files in path order, then tool servers."""
+    path = F.col("file_path")
+    paths = [path] if collation == "UTF8_BINARY" else [path_order(path, collation), path]
+    return [F.desc("tokens"), F.col("src_ord"), *paths, F.col("server_ord")]
 
 
-def budget_rank(entries: DataFrame) -> DataFrame:
+def budget_rank(entries: DataFrame, collation: str = "UTF8_BINARY") -> DataFrame:
     """Entries with ``rank``: always-on first, heaviest first, ties in input order (skew-safe)."""
-    return rank_within(entries, ["repo_id"], _entry_order(), out="rank")
+    load_ord = F.when(F.col("load") == "always", F.lit(0)).otherwise(F.lit(1))
+    return rank_within(entries, ["repo_id"], [load_ord, *_weight_order(collation)], out="rank")
 
 
 def budget_totals(
@@ -118,7 +122,7 @@ def budget_share(entries: DataFrame, totals: DataFrame) -> DataFrame:
     ).drop("_grand")
 
 
-def budget_top_on_demand(entries: DataFrame, k: int = dims.ON_DEMAND_TOP) -> DataFrame:
+def budget_top_on_demand(entries: DataFrame, k: int = dims.ON_DEMAND_TOP, collation: str = "UTF8_BINARY") -> DataFrame:
     """Every always-on entry, the ``k`` heaviest on-demand ones, and one remainder row
     (``label = "more"``, count and token sum of the rest) where any are left.
 
@@ -126,7 +130,7 @@ def budget_top_on_demand(entries: DataFrame, k: int = dims.ON_DEMAND_TOP) -> Dat
     remainder is totals minus the kept rows, both plain partial aggregates.
     """
     ondemand = entries.where(F.col("load") == "ondemand")
-    w = W.partitionBy("repo_id").orderBy(F.desc("tokens"), F.col("src_ord"), F.col("file_path"), F.col("server_ord"))
+    w = W.partitionBy("repo_id").orderBy(*_weight_order(collation))
     top = ondemand.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
     always = entries.where(F.col("load") == "always").withColumn("pos", F.lit(None).cast("int"))
     kept = always.unionByName(top).select(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weighbridge import dims
+from weighbridge.functions.paths import path_order
 from weighbridge.functions.text import kib
 
 FINDING_COLUMNS = [
@@ -96,15 +97,14 @@ def size_findings(context: DataFrame, max_lines: int = dims.MAX_LINES, max_bytes
 
 
 def unresolved_findings(unresolved: DataFrame) -> DataFrame:
-    """One info finding per distinct broken spec per start file (``imports/unresolved``)."""
-    item = F.array(F.col("first_depth").cast("long"), F.col("first_ord").cast("long"))
+    """One info finding per distinct broken spec per start file (``imports/unresolved``), in import-tree order."""
     return _finish(
         unresolved.select(
             "repo_id",
             F.col("root_path").alias("file"),
             F.lit(None).cast("int").alias("line"),
             F.lit(4).alias("rule_ord"),
-            item.alias("item_ord"),
+            F.col("place").cast("array<bigint>").alias("item_ord"),
             F.lit("info").alias("severity"),
             F.lit(dims.CODE_UNRESOLVED).alias("code"),
             F.format_string(
@@ -123,6 +123,12 @@ def finding_location(file: Column, line: Column) -> Column:
     )
 
 
+def finding_place(collation: str = "UTF8_BINARY") -> list[Column]:
+    """The columns that order findings: files in path order, then each file's rules and items."""
+    order = [] if collation == "UTF8_BINARY" else [path_order(F.col("file"), collation).alias("file_order")]
+    return [*order, F.col("file"), F.col("rule_ord"), F.col("item_ord")]
+
+
 def union_findings(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

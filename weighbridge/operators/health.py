@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weighbridge import dims
-from weighbridge.operators.findings import sev_penalty
+from weighbridge.operators.findings import finding_place, sev_penalty
 
 
 def grade_for(score: Column) -> Column:
@@ -64,7 +64,7 @@ def fail_on_gate(repos: DataFrame, findings: DataFrame, spec: str) -> DataFrame:
     return out.select("repo_id", *cols).withColumn("tripped", F.col("matched") > 0)
 
 
-def problem_summary(findings: DataFrame) -> DataFrame:
+def problem_summary(findings: DataFrame, collation: str = "UTF8_BINARY") -> DataFrame:
     """Counts per problem code (placeholder left out) with worst severity and the summary text."""
     codes = list(dims.PROBLEM_LABELS)
     per = (
@@ -73,7 +73,7 @@ def problem_summary(findings: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.max("sev_rank").alias("worst_rank"),
-            F.min(F.struct("file", "rule_ord", "item_ord")).alias("first"),
+            F.min(F.struct(*finding_place(collation))).alias("first"),
         )
     )
     label = None
@@ -91,12 +91,12 @@ def problem_summary(findings: DataFrame) -> DataFrame:
     )
 
 
-def finding_groups(findings: DataFrame) -> DataFrame:
+def finding_groups(findings: DataFrame, collation: str = "UTF8_BINARY") -> DataFrame:
     """All codes with count, worst severity and first-seen order (members stay in ``findings``)."""
     per = findings.groupBy("repo_id", "code").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("sev_rank").alias("worst_rank"),
-        F.min(F.struct("file", "rule_ord", "item_ord")).alias("first"),
+        F.min(F.struct(*finding_place(collation))).alias("first"),
     )
     order = W.partitionBy("repo_id").orderBy(F.desc("worst_rank"), F.desc("n"), F.col("first"))
     return per.select(
@@ -109,7 +109,7 @@ def finding_groups(findings: DataFrame) -> DataFrame:
     )
 
 
-def top_suggestions(findings: DataFrame, k: int = dims.TOP_SUGGESTIONS) -> DataFrame:
+def top_suggestions(findings: DataFrame, k: int = dims.TOP_SUGGESTIONS, collation: str = "UTF8_BINARY") -> DataFrame:
     """Distinct suggestions, most severe first (stable), first ``k`` per repository, plus how many more.
 
     The top-k window is cut map-side (a partial group limit runs before the
@@ -118,7 +118,7 @@ def top_suggestions(findings: DataFrame, k: int = dims.TOP_SUGGESTIONS) -> DataF
     per_text = (
         findings.where(F.col("suggestion").isNotNull())
         .groupBy("repo_id", "suggestion")
-        .agg(F.min(F.struct((-F.col("sev_rank")).alias("neg_rank"), "file", "rule_ord", "item_ord")).alias("key"))
+        .agg(F.min(F.struct((-F.col("sev_rank")).alias("neg_rank"), *finding_place(collation))).alias("key"))
     )
     n_distinct = per_text.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_distinct"))
     order = W.partitionBy("repo_id").orderBy("key")
@@ -131,7 +131,7 @@ def top_suggestions(findings: DataFrame, k: int = dims.TOP_SUGGESTIONS) -> DataF
     )
 
 
-def distinct_first_seen(findings: DataFrame) -> DataFrame:
+def distinct_first_seen(findings: DataFrame, collation: str = "UTF8_BINARY") -> DataFrame:
     """Distinct non-null suggestions per repository in first-seen order (the report's fix list).
 
     ``first`` is the finding order key of the first occurrence; ``pos`` numbers
@@ -143,7 +143,7 @@ def distinct_first_seen(findings: DataFrame) -> DataFrame:
     firsts = (
         findings.where(F.col("suggestion").isNotNull())
         .groupBy("repo_id", "suggestion")
-        .agg(F.min(F.struct("file", "rule_ord", "item_ord")).alias("first"))
+        .agg(F.min(F.struct(*finding_place(collation))).alias("first"))
     )
     ranked = rank_within(firsts, ["repo_id"], [F.col("first"), F.col("suggestion")], out="pos")
     return ranked.select("repo_id", "suggestion", F.col("first.file").alias("first_file"), "pos")

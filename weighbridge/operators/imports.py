@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weighbridge import dims
-from weighbridge.functions.paths import resolve_import
+from weighbridge.functions.paths import path_order, resolve_import
 from weighbridge.functions.text import basename
 from weighbridge.operators.classify import classify_kind, discoverable
 from weighbridge.session import discard, materialize
@@ -94,11 +94,11 @@ def extract_edges(files: DataFrame) -> DataFrame:
 
 
 def fold_edges(edges: DataFrame) -> DataFrame:
-    """``repo_id, node_path, next_path``: distinct edges to existing non-context files, as a written table."""
+    """``repo_id, node_path, next_path, ord``: edges to existing non-context files, each with its first position, as a written table."""
     return materialize(
         edges.where(F.col("dst_exists") & ~F.col("dst_is_context"))
-        .select("repo_id", F.col("src_path").alias("node_path"), F.col("dst_path").alias("next_path"))
-        .distinct(),
+        .groupBy("repo_id", F.col("src_path").alias("node_path"), F.col("dst_path").alias("next_path"))
+        .agg(F.min("ord").alias("ord")),
         "fold",
     )
 
@@ -139,35 +139,77 @@ def import_closure(fold: DataFrame, context: DataFrame, reach_checkpoint_every:
     return reach
 
 
-def unresolved_imports(edges: DataFrame, fold: DataFrame, context: DataFrame) -> DataFrame:
-    """``repo_id, root_path, spec, first_depth, first_src, first_ord``: broken specs per start file.
-
-    Walks back from the files that hold a broken spec, breadth first, to the start
-    files that reach them; files without one cost nothing."""
-    broken = edges.where(~F.col("dst_exists")).select("repo_id", F.col("src_path").alias("src"), "ord", "spec")
+def leading_to_broken(broken: DataFrame, fold: DataFrame) -> DataFrame:
+    """``repo_id, node_path``: files that hold a broken spec or reach one. One row per file, found backwards."""
+    key = ["repo_id", "node_path"]
     back = fold.select("repo_id", F.col("next_path").alias("node_path"), F.col("node_path").alias("prev_path"))
-    key = ["repo_id", "src", "node_path"]
-    frontier = materialize(broken.select("repo_id", "src", F.col("src").alias("node_path"), F.lit(0).alias("depth")).distinct(), "broken")
-    reached, depth = frontier, 0
+    frontier = materialize(broken.select(*key).distinct(), "live")
+    live, tables, rounds = frontier, [frontier], 0
     while not frontier.isEmpty():
-        depth += 1
-        step = frontier.join(back, ["repo_id", "node_path"]).select("repo_id", "src", F.col("prev_path").alias("node_path")).distinct()
-        frontier = materialize(step.join(reached, key, "left_anti").withColumn("depth", F.lit(depth)), "broken")
-        reached = reached.unionByName(frontier)
-        if depth % 8 == 0:
-            reached = materialize(reached, "broken")
-    roots = reached.withColumnRenamed("node_path", "root_path").join(
-        context.select("repo_id", F.col("rel_path").alias("root_path")), ["repo_id", "root_path"], "left_semi"
-    )
-    first = F.min(F.struct("depth", "src", "ord")).alias("first")
-    return roots.join(broken, ["repo_id", "src"]).groupBy("repo_id", "root_path", "spec").agg(first).select(
+        rounds += 1
+        step = frontier.join(back, key).select("repo_id", F.col("prev_path").alias("node_path")).distinct()
+        frontier = materialize(step.join(live, key, "left_anti"), "live")
+        live = live.unionByName(frontier)
+        tables.append(frontier)
+        if rounds % 8 == 0:
+            live = materialize(live, "live")
+            discard(*tables[:-1])
+            tables = [tables[-1], live]
+    out = materialize(live, "live")
+    discard(*tables)
+    return out
+
+
+def unresolved_imports(edges: DataFrame, fold: DataFrame, context: DataFrame) -> DataFrame:
+    """``repo_id, root_path, spec, place``: broken specs per start file, each at its first place in the import tree.
+
+    The tree is walked depth first, each file once. A file's way in that walk is its
+    smallest simple path by the positions of the imports on it, so ``place``, those
+    positions and the spec's own, sorts broken specs as the walk meets them. Paths are
+    handed on from file to file while they improve (a written table per round, as many
+    rounds as the longest way has files), and only through files that lead to a
+    broken spec; start files without one cost nothing.
+    """
+    at = ["repo_id", "node_path"]
+    broken = edges.where(~F.col("dst_exists")).groupBy("repo_id", F.col("src_path").alias("node_path"), "spec")
+    broken = broken.agg(F.min("ord").alias("ord"))
+    live = leading_to_broken(broken, fold)
+    steps = fold.join(live.withColumnRenamed("node_path", "next_path"), ["repo_id", "next_path"], "left_semi")
+    start = context.select("repo_id", F.col("rel_path").alias("node_path")).join(live, at, "left_semi").select(
         "repo_id",
-        "root_path",
-        "spec",
-        F.col("first.depth").alias("first_depth"),
-        F.col("first.src").alias("first_src"),
-        F.col("first.ord").alias("first_ord"),
+        F.col("node_path").alias("root_path"),
+        "node_path",
+        F.array().cast("array<int>").alias("place"),
+        F.array("node_path").alias("trail"),
     )
+    key = ["repo_id", "root_path", "node_path"]
+    way = F.struct(F.concat("place", F.array("ord")).alias("place"), F.concat("trail", F.array("next_path")).alias("trail"))
+    frontier = ways = materialize(start, "ways")
+    tables, rounds = [ways], 0
+    while not frontier.isEmpty():
+        rounds += 1
+        known = ways.groupBy(*key).agg(F.min("place").alias("known"))  # ways that were improved on stay, and never win
+        step = (
+            frontier.join(steps, at)
+            .where(~F.array_contains("trail", F.col("next_path")))
+            .groupBy("repo_id", "root_path", F.col("next_path").alias("node_path"))
+            .agg(F.min(way).alias("way"))
+            .select(*key, "way.place", "way.trail")
+            .join(known, key, "left")
+        )
+        better = step.where(F.col("known").isNull() | (F.col("place") < F.col("known"))).drop("known")
+        frontier = materialize(better, "ways")
+        ways = ways.unionByName(frontier)
+        tables.append(frontier)
+        if rounds % 8 == 0:
+            best = ways.groupBy(*key).agg(F.min(F.struct("place", "trail")).alias("way")).select(*key, "way.place", "way.trail")
+            ways = materialize(best, "ways")
+            discard(*tables[:-1])
+            tables = [frontier, ways]
+    first = F.min(F.concat("place", F.array("ord"))).alias("place")
+    out = materialize(ways.join(broken, at).groupBy("repo_id", "root_path", "spec").agg(first), "unresolved")
+    discard(live, *tables)
+    return out
 
 
 def claim_imports(fold: DataFrame, context: DataFrame, collation: str = "UTF8_BINARY") -> DataFrame:
@@ -178,9 +220,8 @@ def claim_imports(fold: DataFrame, context: DataFrame, collation: str = "UTF8_BI
     of start files. Path order is binary by default (what SQL engines sort by); ``collation``
     ``"UNICODE"`` uses ICU root collation, closer to a locale-aware compare.
     """
-    binary = collation == "UTF8_BINARY"
     key = ["repo_id", "node_path"]
-    order = lambda c: F.col(c) if binary else F.collate(F.col(c), collation)
+    order = lambda c: path_order(F.col(c), collation)
     frontier = context.select("repo_id", F.col("rel_path").alias("node_path"), F.col("rel_path").alias("importer_path"))
     labels = None
     while True:
@@ -190,8 +231,11 @@ def claim_imports(fold: DataFrame, context: DataFrame, collation: str = "UTF8_BI
         if labels is not None:
             known = labels.withColumnRenamed("importer_path", "known")
             step = step.join(known, key, "left").where(F.col("known").isNull() | (order("importer_path") < order("known"))).drop("known")
-        frontier = materialize(step, "claim")
+        before, frontier = frontier, materialize(step, "claim")
+        if labels is not None and before is not labels:
+            discard(before)
         if frontier.isEmpty():
+            discard(frontier)
             break
         before, labels = labels, frontier
         if before is not None:

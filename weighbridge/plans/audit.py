@@ -160,15 +160,19 @@ class Audit:
 
     @cached_property
     def problem_summary(self) -> DataFrame:
-        return H.problem_summary(self.findings)
+        return H.problem_summary(self.findings, collation=self.path_collation)
 
     @cached_property
     def finding_groups(self) -> DataFrame:
-        return H.finding_groups(self.findings)
+        return H.finding_groups(self.findings, collation=self.path_collation)
+
+    @cached_property
+    def distinct_suggestions(self) -> DataFrame:
+        return H.distinct_first_seen(self.findings, collation=self.path_collation)
 
     @cached_property
     def top_suggestions(self) -> DataFrame:
-        return H.top_suggestions(self.findings)
+        return H.top_suggestions(self.findings, collation=self.path_collation)
 
     # ---- tool servers and budget ----------------------------------------------
     @cached_property
@@ -191,7 +195,7 @@ class Audit:
 
     @cached_property
     def budget_ranked(self) -> DataFrame:
-        return B.budget_rank(self.budget_entries)
+        return B.budget_rank(self.budget_entries, self.path_collation)
 
     @cached_property
     def budget_shares(self) -> DataFrame:
@@ -199,7 +203,7 @@ class Audit:
 
     @cached_property
     def budget_top(self) -> DataFrame:
-        return B.budget_top_on_demand(self.budget_entries)
+        return B.budget_top_on_demand(self.budget_entries, collation=self.path_collation)
 
     # ---- corpus ----------------------------------------------------------------
     def scan_results(self, scanned_at: str, urls: DataFrame | None = None) -> DataFrame:

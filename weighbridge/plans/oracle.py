@@ -198,13 +198,17 @@ UNION
 SELECT r.repo_id, r.root_path, f.nxt FROM reach r JOIN fold f ON f.repo_id = r.repo_id AND f.node = r.node_path WHERE f.nxt <> r.root_path""")
 block("claims", ["reach(repo_id, root_path, node_path)"], """
 SELECT repo_id, min(root_path) AS importer_path, node_path AS imported_path FROM reach GROUP BY repo_id, node_path""")
-block("unres", ["reach(repo_id, root_path, node_path)", "edges", "ctx"], """
-SELECT repo_id, root_path, spec, min({'d': depth, 's': src, 'o': ord}) AS first FROM (
-  SELECT x.repo_id, x.root_path, x.depth, e.src_path AS src, e.ord, e.spec
-  FROM (SELECT repo_id, rel_path AS root_path, rel_path AS node_path, 0 AS depth FROM ctx
-        UNION ALL SELECT repo_id, root_path, node_path, 1 AS depth FROM reach) x
-  JOIN edges e ON e.repo_id = x.repo_id AND e.src_path = x.node_path AND NOT e.dst_exists
-) GROUP BY repo_id, root_path, spec""")
+block("fold_at", ["edges"], """
+SELECT repo_id, src_path AS node, dst_path AS nxt, min(ord) AS o FROM edges WHERE dst_exists AND NOT dst_is_context GROUP BY ALL""")
+block("walk(repo_id, root_path, node_path, place, trail)", ["ctx", "fold_at"], """
+SELECT repo_id, rel_path, rel_path, CAST([] AS INTEGER[]), [rel_path] FROM ctx
+UNION ALL
+SELECT w.repo_id, w.root_path, f.nxt, list_append(w.place, f.o), list_append(w.trail, f.nxt)
+FROM walk w JOIN fold_at f ON f.repo_id = w.repo_id AND f.node = w.node_path WHERE NOT list_contains(w.trail, f.nxt)""")
+block("unres", ["walk(repo_id, root_path, node_path, place, trail)", "edges"], """
+SELECT w.repo_id, w.root_path, e.spec, min(list_append(w.place, e.ord)) AS place
+FROM walk w JOIN edges e ON e.repo_id = w.repo_id AND e.src_path = w.node_path AND NOT e.dst_exists
+GROUP BY w.repo_id, w.root_path, e.spec""")
 block("sl", ["ctx"], """
 SELECT repo_id, rel_path, unnest(string_split(content, chr(10))) AS line_text,
   CAST(generate_subscripts(string_split(content, chr(10)), 1) AS INTEGER) AS line FROM ctx""")
@@ -242,7 +246,7 @@ SELECT repo_id, rel_path AS file, line, 3 AS rule_ord,
 FROM sc""")
 block("unres_f", ["unres"], f"""
 SELECT repo_id, root_path AS file, CAST(NULL AS INTEGER) AS line, 4 AS rule_ord,
-  [CAST(first.d AS BIGINT), CAST(first.o AS BIGINT)] AS item_ord, 'info' AS severity, 'imports/unresolved' AS code,
+  CAST(place AS BIGINT[]) AS item_ord, 'info' AS severity, 'imports/unresolved' AS code,
   concat(root_path, ' imports "@', spec, '" which could not be resolved (file missing or unreadable).') AS message,
   {q(dims.SUGGEST_UNRESOLVED)} AS suggestion
 FROM unres""")

@@ -90,9 +90,10 @@ def q_import_closure(spark, sf):
     return fixture_audit(spark, sf).reach.select("repo_id", "root_path", "node_path")
 
 
-@register("q_unresolved", O.build("SELECT repo_id, root_path, spec FROM unres", "unres"))
+@register("q_unresolved", O.build("SELECT repo_id, root_path, spec, array_to_string(place, '.') AS place FROM unres", "unres"))
 def q_unresolved(spark, sf):
-    return fixture_audit(spark, sf).unresolved.select("repo_id", "root_path", "spec")
+    place = F.array_join(F.transform("place", lambda x: x.cast("string")), ".").alias("place")
+    return fixture_audit(spark, sf).unresolved.select("repo_id", "root_path", "spec", place)
 
 
 @register(
@@ -195,7 +196,7 @@ def q_reserved_email(spark, sf):
     "q_findings",
     O.build(
         f"SELECT {SQL_FINDING_OUT}, sev_rank, CASE WHEN file IS NOT NULL AND line > 0 THEN file || ':' || CAST(line AS VARCHAR) "
-        "ELSE coalesce(file, '') END AS location FROM findings",
+        "ELSE coalesce(file, '') END AS location, array_to_string(item_ord, '.') AS place FROM findings",
         "findings",
     ),
 )
@@ -203,7 +204,8 @@ def q_findings(spark, sf):
     from weighbridge.operators.findings import finding_location
 
     f = fixture_audit(spark, sf).findings
-    return f.select(*FINDING_OUT, "sev_rank", finding_location(F.col("file"), F.col("line")).alias("location"))
+    place = F.array_join(F.transform("item_ord", lambda x: x.cast("string")), ".").alias("place")
+    return f.select(*FINDING_OUT, "sev_rank", finding_location(F.col("file"), F.col("line")).alias("location"), place)
 
 
 @register(
@@ -216,7 +218,7 @@ def q_findings(spark, sf):
     ),
 )
 def q_distinct_suggestions(spark, sf):
-    return H.distinct_first_seen(fixture_audit(spark, sf).findings)
+    return fixture_audit(spark, sf).distinct_suggestions
 
 
 @register("q_health", O.build("SELECT * FROM health", "health"))
