@@ -64,6 +64,21 @@ def test_tree_source_reads_dotfiles(spark):
     assert ("a", ".github/copilot-instructions.md") in rows
 
 
+def test_tree_source_splits_a_repository_and_skips_unaudited_names(spark):
+    root = tempfile.mkdtemp(prefix="wb-tree-")
+    want = {f"p{i}/d{j}/{name}" for i in range(5) for j in range(2) for name in ("CLAUDE.md", ".mcp.json", ".cursorrules")} | {"AGENTS.md", "p0/n.MD"}
+    for rel in want | {"p0/logo.png", "p1/d0/main.py"}:
+        os.makedirs(os.path.dirname(os.path.join(root, "mono", rel)), exist_ok=True)
+        with open(os.path.join(root, "mono", rel), "w") as fh:
+            fh.write("x")
+    register(spark)
+    for depth, tasks in (("0", 1), ("1", 6), ("2", 16)):
+        df = spark.read.format("weighbridge_tree").option("depth", depth).option("only", "audit").load(root)
+        assert df.rdd.getNumPartitions() == tasks
+        assert sorted(r["rel_path"] for r in df.collect()) == sorted(want)
+    assert spark.read.format("weighbridge_tree").option("partitions", "3").load(root).count() == len(want) + 2
+
+
 def test_incremental_scan_batch_and_stream(spark):
     snap, man = tempfile.mkdtemp(prefix="wb-snap-"), tempfile.mkdtemp(prefix="wb-man-")
     res = os.path.join(tempfile.mkdtemp(prefix="wb-res-"), "results")

@@ -13,9 +13,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers as P
 
@@ -27,14 +28,16 @@ def bpe_token_count(ranks_path: str | None = None, pattern: str | None = None):
 
     Special-token strings in the text are encoded as ordinary text, so no
     content can fail the job. The UDF is self-contained (it references no
-    module of this package), so executors need only ``tiktoken`` and the ranks
-    file; the encoder is built once per Python worker and kept in a
-    worker-level module object across tasks.
+    module of this package), so executors need only ``tiktoken``: the ranks file (a few
+    MB at most, whatever the data) is read by the driver and broadcast; the encoder is built
+    once per Python worker and kept in a worker-level module object across tasks.
     """
     if ranks_path is None or pattern is None:
         d_path, d_pat = default_vocabulary()
         ranks_path = ranks_path or d_path
         pattern = pattern or d_pat
+    with open(ranks_path, "rb") as fh:
+        ranks_file = SparkSession.active().sparkContext.broadcast(fh.read())
 
     def bpe_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import base64 as _b64
@@ -53,11 +56,10 @@ def bpe_token_count(ranks_path: str | None = None, pattern: str | None = None):
             import tiktoken
 
             ranks = {}
-            with open(ranks_path, "rb") as fh:
-                for line in fh:
-                    if line.strip():
-                        tok, rank = line.split()
-                        ranks[_b64.b64decode(tok)] = int(rank)
+            for line in ranks_file.value.splitlines():
+                if line.strip():
+                    tok, rank = line.split()
+                    ranks[_b64.b64decode(tok)] = int(rank)
             enc = tiktoken.Encoding(
                 name=f"weighbridge_{len(cache.encoders)}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
             )

@@ -4,51 +4,100 @@
 ``(repo_id, rel_path, content)``: every top-level folder of ``root`` is one
 repository. Unlike the ``text``/``binaryFile`` sources it keeps names that
 start with ``.`` or ``_`` (``.cursorrules``, ``.github/...``, ``.mcp.json``).
-Repositories are spread over ``partitions`` input partitions (default: one per
-repository); the driver lists only the top level, executors
-walk the trees, so every executor must see the storage. Text is decoded as
-UTF-8 with bad bytes replaced by U+FFFD; an unreadable file gets null content.
-Symbolic links to directories are not followed.
+
+Input partitions are folders, not repositories: the driver lists ``depth`` levels of
+folders below each repository (default 1) and every folder at that depth is a piece of
+its own, as are the files above it, so a repository with a third of all files is read by many tasks.
+``partitions`` deals the pieces over that many tasks (default: one each). Executors walk
+the folders, so every executor must see the storage, and yield Arrow batches of about
+``BATCH_BYTES``.
+
+``only`` = ``"audit"`` leaves out files that no audit reads (neither context nor
+importable nor JSON by name) without opening them; the default ``"all"`` reads every file.
+Text is decoded as UTF-8 with bad bytes replaced by U+FFFD; an unreadable file gets null
+content. Symbolic links to directories are not followed.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from weighbridge import dims
+
+BATCH_BYTES = 8 << 20
+COLUMNS = pa.schema([("repo_id", pa.string()), ("rel_path", pa.string()), ("content", pa.string())])
+AUDITED = re.compile(r"\.(markdown|mdx|mdc|md|txt|rst|json)\Z", re.I)
+
 
 class _Shard(InputPartition):
-    def __init__(self, repos):
-        super().__init__(repos)
-        self.repos = repos
+    """``pieces``: (repository, folder in it, whether folders below it belong to the piece)."""
+
+    def __init__(self, pieces):
+        super().__init__(pieces)
+        self.pieces = pieces
+
+
+def _folders(path: str) -> list[str]:
+    try:
+        return sorted(e.name for e in os.scandir(path) if e.is_dir(follow_symlinks=False))
+    except PermissionError:
+        return []
+
+
+def _pieces(root: str, repo: str, folder: str, depth: int):
+    yield repo, folder, depth == 0
+    if depth:
+        for name in _folders(os.path.join(root, repo, folder)):
+            yield from _pieces(root, repo, os.path.join(folder, name), depth - 1)
 
 
 class TreeReader(DataSourceReader):
     def __init__(self, options):
         self.root = options.get("path")
         self.n_parts = int(options.get("partitions", "0") or 0)
+        self.depth = int(options.get("depth", "1"))
+        self.only = options.get("only", "all")
+        if self.only not in ("all", "audit"):
+            raise ValueError(f"only: {self.only!r} is neither 'all' nor 'audit'")
 
     def partitions(self):
-        repos = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
-        n = self.n_parts or max(len(repos), 1)
-        shards = [repos[i::n] for i in range(n)]
+        pieces = [p for repo in _folders(self.root) for p in _pieces(self.root, repo, "", self.depth)]
+        n = self.n_parts or max(len(pieces), 1)
+        shards = [pieces[i::n] for i in range(n)]
         return [_Shard(s) for s in shards if s] or [_Shard([])]
 
-    def read(self, partition):
-        for repo in partition.repos:
+    def _rows(self, pieces):
+        for repo, folder, deep in pieces:
             base = os.path.join(self.root, repo)
-            for dirpath, dirnames, filenames in os.walk(base, followlinks=False):
+            for dirpath, dirnames, filenames in os.walk(os.path.join(base, folder), followlinks=False):
+                if not deep:
+                    dirnames.clear()
                 dirnames.sort()
                 for name in sorted(filenames):
+                    if self.only == "audit" and name not in dims.EXACT_KINDS and not AUDITED.search(name):
+                        continue
                     full = os.path.join(dirpath, name)
-                    rel = os.path.relpath(full, base).replace(os.sep, "/")
                     try:
                         with open(full, "rb") as fh:
                             text = fh.read().decode("utf-8", errors="replace")
                     except OSError:
                         text = None
-                    yield (repo, rel, text)
+                    yield repo, os.path.relpath(full, base).replace(os.sep, "/"), text
+
+    def read(self, partition):
+        rows, held = [], 0
+        for row in self._rows(partition.pieces):
+            rows.append(row)
+            held += len(row[1]) + len(row[2] or "")
+            if held >= BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=COLUMNS)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=COLUMNS)
 
 
 class TreeSource(DataSource):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weighbridge.plans.audit import audit
-from weighbridge.session import ensure_checkpoint_dir, materialize
+from weighbridge.session import discard, ensure_checkpoint_dir, materialize
 
 SNAPSHOT_SCHEMA = "repo_id string, rel_path string, content string"
 MANIFEST_SCHEMA = "repo_id string, n_files long"
@@ -47,6 +47,16 @@ def complete_repos(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(there, "repo_id", "left").where(F.coalesce("n", F.lit(0)) >= F.col("n_files")).select("repo_id")
 
 
+def scan_pending(manifest: DataFrame, files: DataFrame, results_dir: str, scanned_at: str, batch_id: int = 0, **audit_options) -> None:
+    """Audits the listed repositories that have no result and whose files are all there, and appends their results."""
+    pending = manifest.join(pending_repos(manifest, _existing(manifest.sparkSession, results_dir)), "repo_id", "left_semi")
+    ready = materialize(complete_repos(pending, files), "ready")
+    a = audit(files.join(ready, "repo_id", "left_semi"), repos=ready, **audit_options)
+    a.scan_results(scanned_at).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(results_dir)
+    a.release()
+    discard(ready)
+
+
 def incremental_scan(
     spark: SparkSession,
     snapshot_dir: str,
@@ -63,12 +73,8 @@ def incremental_scan(
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         manifest = session.read.schema(MANIFEST_SCHEMA).parquet(manifest_dir)
-        manifest = manifest.join(pending_repos(manifest, _existing(session, results_dir)), "repo_id", "left_semi")
         files = session.read.schema(SNAPSHOT_SCHEMA).parquet(snapshot_dir)
-        ready = materialize(complete_repos(manifest, files), "ready")
-        a = audit(files.join(ready, "repo_id", "left_semi"), repos=ready, **audit_options)
-        a.scan_results(scanned_at).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(results_dir)
-        a.release()
+        scan_pending(manifest, files, results_dir, scanned_at, batch_id, **audit_options)
 
     stream = spark.readStream.schema(MANIFEST_SCHEMA).parquet(manifest_dir)
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location or f"{results_dir}/_stream")
