@@ -103,3 +103,54 @@ def test_empty_and_untrained(spark):
     out_id = next(i for i in range(100) if held(i))
     got = katz.katz_scores(spark.createDataFrame([(out_id, "a b")], "doc_id long, text string"), parts=2).collect()
     assert [(r["score"], r["base_score"], r["n_known"]) for r in got] == [(0.0, 0.0, 0)]
+
+
+def good_turing(of):
+    """Katz's discounts for counts 1 .. 5, in plain arithmetic."""
+    seen = [r for r in range(1, 7) if of[r]]
+    gap = [(nxt - prev) / 2 for prev, nxt in zip([0, *seen], [*seen[1:], 2 * seen[-1] - seen[-2]], strict=False)]
+    x, y = [math.log(r) for r in seen], [math.log(of[r] / g) for r, g in zip(seen, gap, strict=True)]
+    mx, my = sum(x) / len(x), sum(y) / len(y)
+    slope = sum((a - mx) * (b - my) for a, b in zip(x, y, strict=True)) / sum((a - mx) ** 2 for a in x)
+    assert slope < -1
+    fitted = {r: r**slope for r in range(1, 7)}
+    out, raw = [], True
+    for r in range(1, 6):
+        for n in (of, fitted):
+            if n is of and not (raw and of[r]):
+                continue
+            cut = 6 * n[6] / n[1]
+            d = ((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut)
+            if 0 < d < 1:
+                break
+            raw = False
+        out.append(d)
+    return out
+
+
+def test_discounts_are_good_turing_on_documents(spark):
+    uni, pairs = Counter(), Counter()
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").toLocalIterator():
+        if not held(r["doc_id"]):
+            ts = tokens(r["text"])
+            uni.update(ts)
+            pairs.update(zip(["START", *ts], ts, strict=False))
+    for counts, as_is in ((uni, 3), (pairs, 3)):
+        of = Counter(counts.values())
+        n = [of[r] for r in range(1, LOW + 2)]
+        d = katz.discounts(n)[1:]
+        assert d == pytest.approx(good_turing(of)) and ((d > 0) & (d < 1)).all()
+        half = [(r - 0.5) / r for r in range(1, LOW + 1)]
+        assert all(abs(a - b) > 1e-3 for a, b in zip(d, half, strict=True))
+        cut = 6 * n[5] / n[0]
+        turing = [((r + 1) * n[r] / (r * n[r - 1]) - cut) / (1 - cut) for r in range(1, LOW + 1)]
+        assert d[:as_is] == pytest.approx(turing[:as_is]) and not 0 < turing[as_is] < 1
+
+
+def test_discounts_of_small_data():
+    half = [(r - 0.5) / r for r in range(1, LOW + 1)]
+    for n in ([0, 4, 2, 1, 1, 1], [4, 0, 2, 1, 1, 1], [0] * 6, [10, 8, 0, 0, 0, 0]):  # the last: no fall as fast as 1 / r
+        assert katz.discounts(n)[1:] == pytest.approx(half)
+    for n in ([10, 2, 0, 0, 0, 0], [100, 30, 0, 8, 9, 1], [9, 1, 5, 1, 1, 0]):
+        d = katz.discounts(n)[1:]
+        assert ((d > 0) & (d < 1)).all() and d != pytest.approx(half)

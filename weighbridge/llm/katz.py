@@ -8,8 +8,11 @@ end; the first token's history is a start mark. With ``c`` the training counts,
     p(w)     = d(c(w)) c(w) / N              if the word was seen
              = what is left of 1             for all unseen words as one outcome
 
-``d`` is Katz's discount from the Good-Turing estimate for counts up to 5
-(for data too small to estimate it, half a count is taken off). A
+``d`` is Katz's discount from the Good-Turing estimate for counts up to 5: from the counts
+of counts as they are up to the first ``r`` whose discount is not between 0 and 1, and from
+there on from a log-linear fit of them (Simple Good-Turing). Half a count is taken off only where
+no type was seen once or twice, or where the fit does not fall as fast as ``1 / r``, so that Good-Turing
+estimates discount nothing. A
 distribution in which no count is low enough to be discounted divides by one more, so that
 something is always left. ``alpha(h)`` is what the seen pairs leave of 1 over the mass
 of the words not seen after ``h``: every history's probabilities add up to 1.
@@ -82,12 +85,28 @@ def discounts(counts_of_counts) -> np.ndarray:
     """``d[0..LOW]`` (``d[0]`` unused) from the numbers of types seen 1 .. LOW + 1 times."""
     n = np.concatenate([[0.0], np.asarray(counts_of_counts, float)])
     r = np.arange(1, LOW + 1)
-    if (n[1:] > 0).all():
-        cut = (LOW + 1) * n[LOW + 1] / n[1]
-        d = ((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut) if cut != 1 else np.zeros(LOW)
-        if (d > 0).all() and (d <= 1).all() and (d < 1).any():
-            return np.concatenate([[1.0], d])
-    return np.concatenate([[1.0], (r - 0.5) / r])
+    half = np.concatenate([[1.0], (r - 0.5) / r])
+    if not n[1] or not n[2]:
+        return half
+
+    def katz(ratio, cut):  # ratio: the estimated count over the count
+        return (ratio - cut) / (1 - cut) if cut < 1 else np.zeros(LOW)
+
+    turing = katz((r + 1) * n[2:] / (r * np.maximum(n[1:-1], 1)), (LOW + 1) * n[LOW + 1] / n[1])
+    usable = np.logical_and.accumulate((turing > 0) & (turing < 1) & (n[1:-1] > 0))
+    slope = _fall(n)
+    smooth = katz((1 + 1 / r) ** (slope + 1), (LOW + 1.0) ** (slope + 1)) if slope < -1 else half[1:]
+    return np.concatenate([[1.0], np.where(usable, turing, smooth)])
+
+
+def _fall(n: np.ndarray) -> float:
+    """Slope of the least-squares line through ``log Z_r`` over ``log r``: each ``n[r] > 0`` averaged over
+    the gap to its neighbours that are not 0."""
+    r = np.flatnonzero(n).astype(float)
+    below = np.append(0.0, r[:-1])
+    z = n[n > 0] / ((np.append(r[1:], 2 * r[-1] - below[-1]) - below) / 2)
+    x, y = np.log(r) - np.log(r).mean(), np.log(z)
+    return float((x * y).sum() / (x * x).sum())
 
 
 def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
