@@ -44,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of at most 2048 tokens, one row per piece."""
     from weighbridge.llm.packing import pack_documents
 
-    return pack_documents(docs, max_tokens=2048)
+    return pack_documents(docs, max_tokens=2048, as_loaded=True)
 
 
 STAGES = [

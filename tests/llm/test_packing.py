@@ -72,3 +72,28 @@ def test_empty_null_ids_and_impossible_limits(spark):
     packer.add([(1, 0, np.arange(3), 0, 3)])
     with pytest.raises(ValueError, match="no room"):
         packer.fill(8)
+
+
+def test_query_and_stage_have_the_ids_of_the_file_as_loaded(spark, tmp_path):
+    import corpus_pipeline
+    from weighbridge.llm import queries
+
+    end = "<|endoftext|>"
+    given = [f"a {end} b", end, f"{end}{end}\n", f"你好{end} \U0001f600", f"{end} word " * 900, end[:-1], "< |endoftext|>", "plain", None]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(given)}
+    assert want[0] == [64, 220, 50256, 275, 1] and 50256 not in want[5] + want[6]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (queries.op3_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        length = dict.fromkeys(want, 0)
+        for r in out.collect():
+            ids = want[r["doc_id"]]
+            piece = ids[r["start"] : r["start"] + r["length"]]
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(piece, "<u4").tobytes())
+            length[r["doc_id"]] += r["length"]
+        assert length == {i: len(ids) for i, ids in want.items()}
+    path, ranks = packing.default_tokenizer()
+    both = packing.Encoder(path, ranks, public_tokenizers.PATTERN, as_loaded=True)
+    for text in [*given, *texts(300)]:
+        assert both.encode(text).tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids

@@ -11,7 +11,8 @@ tokens, end at a power of two, where no padding is due; what is over goes back t
 
 Tokenizing: the ids are those of the tokenizer file. Plain texts (:data:`PLAIN`) may be encoded
 by a second library from the same vocabulary, which tests hold to be equal; all others are
-encoded by the tokenizer's own.
+encoded by the tokenizer's own. The string of an added token (``<|endoftext|>``) in a text is ordinary text,
+or with ``as_loaded`` that token's id, as the file has it when loaded.
 
 Defined cases: null and empty texts are the end id alone; a null id is packed like any
 other; repeated rows are packed as often as they occur; with ``loss_from`` (a column of
@@ -50,16 +51,18 @@ class Encoder:
     """Ids of texts as the tokenizer file at ``path`` has them, as little-endian unsigned 32-bit.
 
     ``ranks`` (optional) names the same vocabulary as ranks with the tokenizer's split ``pattern``: a second
-    library then encodes plain texts several times faster, with the same ids."""
+    library then encodes plain texts several times faster, with the same ids. ``as_loaded``: strings of added
+    tokens in a text are those tokens, not ordinary text."""
 
-    def __init__(self, path: str, ranks: str | None, pattern: str | None):
+    def __init__(self, path: str, ranks: str | None, pattern: str | None, as_loaded: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.exact, self.quick = Tokenizer.from_file(path), None
-        self.exact.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.exact.encode_special_tokens = not as_loaded
+        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values()] if as_loaded else []
         if ranks:
             import base64
 
@@ -81,7 +84,7 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
-        if self.quick and PLAIN.fullmatch(text):
+        if self.quick and not any(t in text for t in self.added) and PLAIN.fullmatch(text):
             return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -181,8 +184,10 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     loss_from: str | None = None,
+    as_loaded: bool = False,
 ) -> DataFrame:
-    """``tokenizer``: the tokenizer file, and the same vocabulary as ranks or None.
+    """``tokenizer``: the tokenizer file, and the same vocabulary as ranks or None. ``as_loaded``: added tokens'
+    strings in a text get those tokens' ids.
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens``, one row per piece."""
     (path, ranks), max_loss = tokenizer or default_tokenizer(), max_loss or max_tokens
@@ -194,7 +199,7 @@ def pack_documents(
 
         import public_tokenizers
 
-        encoder, packer = Encoder.of_worker(path, ranks, ranks and public_tokenizers.PATTERN), Packer(max_tokens, max_segments, max_loss)
+        encoder, packer = Encoder.of_worker(path, ranks, ranks and public_tokenizers.PATTERN, as_loaded), Packer(max_tokens, max_segments, max_loss)
         sequence = TaskContext.get().partitionId() << 33
         end = np.array([end_id], "<u4")
 

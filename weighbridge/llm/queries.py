@@ -221,7 +221,7 @@ def op9_quality(spark, sf):
 def op3_packing(spark, sf):
     from weighbridge.llm.packing import pack_documents
 
-    packed = pack_documents(table(spark, sf, "documents"), max_tokens=2048)
+    packed = pack_documents(table(spark, sf, "documents"), max_tokens=2048, as_loaded=True)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
