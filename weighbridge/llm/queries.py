@@ -231,3 +231,11 @@ def op10_katz(spark, sf):
     from weighbridge.llm.katz import katz_scores
 
     return katz_scores(table(spark, sf, "documents"), folds=7, out_fold=2)
+
+
+# ---- 13: cross-tokenizer alignment (tests compare with brute force) -----------------
+@register("op13_align")
+def op13_align(spark, sf):
+    from weighbridge.llm.align import align_tokenizers
+
+    return align_tokenizers(table(spark, sf, "documents"))
