@@ -3,11 +3,15 @@ connected components over link tables."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weighbridge.session import materialize
+from weighbridge.session import ensure_checkpoint_dir, materialize
 
 #: A key is hot when it holds more than this share of the rows, so at most
 #: ``HOT_KEYS`` keys are hot: the proven bound of the broadcast side.
@@ -91,3 +95,17 @@ def components(links: DataFrame, label: str) -> DataFrame:
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@contextmanager
+def bucketed(df: DataFrame, buckets: int, key: str, label: str) -> Iterator[DataFrame]:
+    """``df`` as a table bucketed by ``key``, its files below the checkpoint folder, for as long as the context lasts."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/weighbridge-tables/{name}"
+    try:
+        df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

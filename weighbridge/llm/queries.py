@@ -239,3 +239,54 @@ def op13_align(spark, sf):
     from weighbridge.llm.align import align_tokenizers
 
     return align_tokenizers(table(spark, sf, "documents"))
+
+
+# ---- 11: conversation prefix trie --------------------------------------------------
+# turns of equal number have an order of their own (see the operator), so the SQL is for tables without them
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, count(*) AS n, c - c % 20 AS b,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+                 lambda crc, s: list_reduce(list_prepend(xor(crc, s), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 4 AS h
+      FROM t GROUP BY c),
+re AS (SELECT k.c, t.i AS d, t.r, t.x FROM k JOIN t ON t.c = k.b AND t.i <= k.h
+       UNION ALL SELECT k.c, t.i - k.h + least(k.h, coalesce(kb.n, 0)), t.r, t.x FROM k JOIN t ON t.c = k.c AND t.i > k.h LEFT JOIN k kb ON kb.c = k.b),
+p AS (SELECT c, d, sha256(string_agg(sha256(length(r) || ':' || r || x), '') OVER (PARTITION BY c ORDER BY d)) AS key,
+             len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM re
+      UNION ALL SELECT c, 0, '', 0 FROM k),
+a AS (SELECT *, lag(key) OVER o AS up, max(d) OVER (PARTITION BY c) AS last FROM p WINDOW o AS (PARTITION BY c ORDER BY d)),
+n AS (SELECT d, key, min(c) AS conv_id, any_value(up) AS up, count(*) AS n_convs, any_value(w) AS w, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = last) AS ends FROM a GROUP BY d, key),
+kids AS (SELECT d - 1 AS d, up AS key, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM n LEFT JOIN kids ON kids.d = n.d AND kids.key = n.key),
+s AS (SELECT a.d, a.key, sum((m.n_children = 0)::INT) AS n_leaves, sum((m.n_convs - 1) * m.w) AS saved FROM m JOIN a ON a.c = m.conv_id AND a.d <= m.d GROUP BY ALL)
+SELECT m.conv_id, m.d::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN s ON s.d = m.d AND s.key = m.key LEFT JOIN m u ON u.d = m.d - 1 AND u.key = m.up
+"""
+
+
+@register("op11_prefix_trie", OP11_SQL)
+def op11_prefix_trie(spark, sf):
+    from weighbridge.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf, "conversations"))
+
+
+# ---- 12: repeated passages -----------------------------------------------------------
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE doc_id IS NOT NULL)),
+f AS (SELECT k, min(doc_id) AS low FROM s GROUP BY k),
+gone AS (SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + 50)) AS j FROM s JOIN f USING (k) WHERE doc_id > low)),
+words AS (SELECT d.r, u.j, u.x FROM d, (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d) u WHERE u.r = d.r),
+kept AS (SELECT words.r, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS t FROM words ANTI JOIN gone ON gone.r = words.r AND gone.j = words.j GROUP BY words.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
+@register("op12_window_dedup", OP12_SQL)
+def op12_window_dedup(spark, sf):
+    from weighbridge.llm.window_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf, "documents"))
