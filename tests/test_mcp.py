@@ -67,3 +67,34 @@ def test_odd_server_names_repeated_keys_and_order(spark):
     assert got == [
         ("9", "[4]"), ("10", "[3]"), ("b", "[5]"), ("o'k", '[{"n":1}]'), ("*", "[2]"), ("a b", '[{"from":"text"}]'), ("", None), ("09", None),
     ]
+
+
+def test_entries_of_any_shape(spark):
+    cfg = (
+        '{"mcpServers":{"n":5,"l":[{"tools":[1]}],"z":null,"s":{"tools":"[1]","manifest":"m.json"},"d":{"tools":[],"toolsFile":"no.json","manifest":"m.json"},'
+        '"t":{"tools":{"a":1},"toolsFile":["m.json"]},"e":{"tools":[null]},"u":{"command":"x","tools":[{"b":1,"a":[2, "q"]}],"toolsFile":"m.json"}}}'
+    )
+    rows = [(".mcp.json", cfg), ("m.json", ' {"other":1,"tools":[{"k":"v"}]}')]
+    got = {r["server"]: r["tools_json"] for r in _costs(spark, rows)[1].mcp_servers.collect()}
+    assert got == {"n": None, "l": None, "z": None, "s": '[{"k":"v"}]', "d": None, "t": None, "e": "[null]", "u": '[{"b":1,"a":[2,"q"]}]'}
+    for bad in ('[{"mcpServers":{"a":{"tools":[1]}}}]', '{"mcpServers":{"a":{"tools":[1]}},', "null", "", "{}", '{"mcpServers":null}', '{"mcpServers":{}}'):
+        assert _costs(spark, [(".mcp.json", bad)])[0] == {}
+
+
+def test_config_of_many_servers_and_repeated_names(spark):
+    import json
+    import random
+    import time
+
+    rnd = random.Random(8)
+    names = [str(rnd.randrange(3000)) if i % 3 else f"s{rnd.randrange(6000)}" for i in range(20_000)]
+    cfg = '{"mcpServers":{' + ",".join(f'{json.dumps(n)}:{{"tools":[{i}]}}' for i, n in enumerate(names)) + "}}"
+    t0 = time.time()
+    got = [(r["server"], r["tools_json"]) for r in _costs(spark, [(".mcp.json", cfg)])[1].mcp_servers.orderBy("ord").collect()]
+    assert time.time() - t0 < 30  # quadratic work takes minutes
+    first, last = {}, {}
+    for i, n in enumerate(names):
+        first.setdefault(n, i)
+        last[n] = i
+    order = sorted(first, key=lambda n: (int(n), 0) if n.isdigit() else (10**9, first[n]))
+    assert got == [(n, f"[{last[n]}]") for n in order]

@@ -11,21 +11,74 @@ from weighbridge import dims
 from weighbridge.functions.paths import resolve_import
 from weighbridge.operators.classify import path_class
 from weighbridge.functions.tokens import with_tokens
+from weighbridge.session import materialize
 
 
 def _vtype(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _in_key_order(entries: str) -> Column:
-    """``[{n, i, name, entry}]``: a JSON object's entries as its readers list them: integer-like
-    names first in numeric order, then by first position; a repeated name has its last value."""
-    numbered = F.transform(entries, lambda e, i: F.struct(e["key"].alias("name"), e["value"].alias("entry"), i.alias("i")))
-    same = lambda e: F.filter(numbered, lambda o: o["name"] == e["name"])
+def _in_key_order(configs: DataFrame, entries: str) -> DataFrame:
+    """``configs`` with one row per server: ``server, ord, entry`` of the JSON object's ``entries``.
+
+    Servers come as JSON readers list them: integer-like names first in numeric order, then by first
+    position; a repeated name has its last value. Names are brought together by one sort of the row's array, whose
+    neighbours tell the first and last of each name, so the work is linear in the servers but for two sorts.
+    Each step is a column of its own: what a lambda names must not be an expression that is evaluated anew per element.
+    """
+    numbered = F.transform(entries, lambda e, i: F.struct(e["key"].alias("name"), i.alias("i"), e["value"].alias("entry")))
+    by_name = configs.withColumn("_s", F.array_sort(numbered))
+    names = F.transform("_s", lambda e: e["name"])
+    none = F.array(F.lit(None).cast("string"))
+    beside = by_name.withColumns(
+        {
+            # one longer than the array: the last pair has no entry
+            "_first": F.zip_with("_s", F.concat(none, names), lambda e, before: F.when(e.isNotNull() & ~before.eqNullSafe(e["name"]), e)),
+            "_last": F.zip_with("_s", F.concat(F.slice(names, 2, F.greatest(F.size("_s"), F.lit(1))), none), lambda e, after: F.when(e.isNotNull() & ~after.eqNullSafe(e["name"]), e)),
+        }
+    )
     number = lambda e: F.when(e["name"].rlike(r"^(?:0|[1-9][0-9]{0,8})$"), e["name"].cast("int")).otherwise(1_000_000_000)
-    firsts = F.filter(numbered, lambda e: F.element_at(same(e), 1)["i"] == e["i"])
-    ordered = F.transform(firsts, lambda e: F.struct(number(e).alias("n"), e["i"].alias("i"), e["name"].alias("name"), F.element_at(same(e), -1)["entry"].alias("entry")))
-    return F.array_sort(ordered)
+    whole = F.zip_with(
+        F.array_compact("_first"),
+        F.array_compact("_last"),
+        lambda f, z: F.struct(number(f).alias("n"), f["i"].alias("i"), f["name"].alias("name"), z["entry"].alias("entry")),
+    )
+    ordered = beside.withColumn("_o", F.array_sort(whole))
+    return ordered.select(*[c for c in configs.columns if c != entries], F.posexplode("_o").alias("ord", "e")).select(
+        *[c for c in configs.columns if c != entries], F.col("e.name").alias("server"), F.col("ord").cast("int").alias("ord"), F.col("e.entry").alias("entry")
+    )
+
+
+def server_table(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
+    """``repo_id, config_path, server, ord, inline_tools, manifest_path``, written once: the manifest lookup and its join read it.
+
+    A config is parsed once, into its servers' raw text; a server is parsed once, into the three fields that name its tools;
+    only a non-empty inline list is then cut out as JSON.
+    """
+    scope = files.where(F.col("path_class") == "config") if ("path_class" in files.columns and config_path.lower().endswith(".json")) else files
+    cfg = scope.where((F.col("rel_path") == config_path) & F.col("content").isNotNull()).select(
+        "repo_id", F.col("rel_path").alias("config_path"), "content"
+    )
+    corrupt = {"columnNameOfCorruptRecord": "_bad"}
+    parsed = cfg.withColumn("p", F.from_json("content", "struct<mcpServers: map<string, string>, _bad: string>", corrupt))
+    good = parsed.where(F.col("p._bad").isNull() & F.col("p.mcpServers").isNotNull())
+    s = _in_key_order(good.select("repo_id", "config_path", F.map_entries("p.mcpServers").alias("all")), "all")
+    # an entry is an object's text; anything else (a number, a list, null) declares no tools
+    fields = "struct<tools: array<string>, toolsFile: variant, manifest: variant>"
+    s = s.withColumn("f", F.when(F.col("entry").startswith("{"), F.from_json("entry", fields)))
+    inline = F.coalesce(F.size("f.tools") > 0, F.lit(False))
+    ref = F.when(F.col("f.toolsFile").isNotNull() & ~F.is_variant_null("f.toolsFile"), F.col("f.toolsFile")).otherwise(F.col("f.manifest"))
+    s = s.withColumns({"inline": inline, "ref": ref})
+    path = F.when(~F.col("inline") & (_vtype(F.col("ref")) == "STRING"), F.try_variant_get("ref", "$", "string"))
+    s = s.withColumn("ref", path)
+    return materialize(
+        s.select(
+            "repo_id", "config_path", "server", "ord",
+            F.when(F.col("inline"), F.get_json_object("entry", "$.tools")).alias("inline_tools"),
+            F.when(F.col("ref").isNotNull(), resolve_import(F.col("config_path"), F.col("ref"))).alias("manifest_path"),
+        ),
+        "servers",
+    )
 
 
 def mcp_servers(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
@@ -36,32 +89,7 @@ def mcp_servers(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
     ``manifest``) names a manifest relative to the config: a top-level array
     (even empty) or a non-empty ``{"tools": [...]}``.
     """
-    scope = files.where(F.col("path_class") == "config") if ("path_class" in files.columns and config_path.lower().endswith(".json")) else files
-    cfg = scope.where((F.col("rel_path") == config_path) & F.col("content").isNotNull()).select(
-        "repo_id", F.col("rel_path").alias("config_path"), "content"
-    )
-    valid = F.get_json_object(F.col("content"), "$").isNotNull()
-    parsed = F.from_json("content", "struct<mcpServers: map<string, string>>")["mcpServers"]
-    s = cfg.where(valid).select("repo_id", "config_path", F.map_entries(parsed).alias("all"))
-    s = s.select("repo_id", "config_path", F.posexplode(_in_key_order("all")).alias("ord", "e"))
-    s = s.select("repo_id", "config_path", F.col("e.name").alias("server"), F.col("ord").cast("int").alias("ord"), F.col("e.entry").alias("entry"))
-
-    ev = F.try_parse_json(F.col("entry"))
-    is_obj = _vtype(ev).startswith("OBJECT")
-    inline = F.get_json_object(F.col("entry"), "$.tools")
-    inline_ok = F.coalesce(
-        is_obj & _vtype(F.try_variant_get(ev, "$.tools", "variant")).startswith("ARRAY") & (F.json_array_length(inline) > 0),
-        F.lit(False),
-    )
-    tf = F.try_variant_get(ev, "$.toolsFile", "variant")
-    mf = F.try_variant_get(ev, "$.manifest", "variant")
-    ref = F.when(tf.isNotNull() & ~F.is_variant_null(tf), tf).otherwise(mf)
-    ref_str = F.when(is_obj & (_vtype(ref) == "STRING"), F.try_variant_get(ref, "$", "string"))
-    s = s.select(
-        "repo_id", "config_path", "server", "ord",
-        F.when(inline_ok, inline).alias("inline_tools"),
-        F.when(~inline_ok, resolve_import(F.col("config_path"), ref_str)).alias("manifest_path"),
-    )
+    s = server_table(files, config_path)
     # Manifest contents: stream the snapshot against the few referenced paths.
     wanted = s.where(F.col("manifest_path").isNotNull()).select("repo_id", F.col("manifest_path").alias("rel_path")).distinct()
     if "path_class" in files.columns:
@@ -70,22 +98,15 @@ def mcp_servers(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
         found = files.join(wanted, ["path_class", "repo_id", "rel_path"], "left_semi")
     else:
         found = files.join(wanted, ["repo_id", "rel_path"], "left_semi")
-    manifests = found.select("repo_id", F.col("rel_path").alias("manifest_path"), F.col("content").alias("manifest"))
-    mv = F.try_parse_json(F.col("manifest"))
-    m_tools = F.get_json_object(F.col("manifest"), "$.tools")
-    from_manifest = (
-        F.when(_vtype(mv).startswith("ARRAY"), F.get_json_object(F.col("manifest"), "$"))
-        .when(
-            _vtype(mv).startswith("OBJECT")
-            & _vtype(F.try_variant_get(mv, "$.tools", "variant")).startswith("ARRAY")
-            & (F.json_array_length(m_tools) > 0),
-            m_tools,
-        )
-    )
+    # one parse tells a manifest's shape; its tools are cut out of the text of the few that have some
+    m = found.select("repo_id", F.col("rel_path").alias("manifest_path"), F.col("content").alias("manifest"))
+    m = m.withColumn("mv", F.try_parse_json("manifest"))
+    listed = F.size(F.try_variant_get("mv", "$.tools", "array<variant>"))
+    m = m.withColumns({"is_list": _vtype(F.col("mv")).startswith("ARRAY"), "listed": F.coalesce(listed, F.lit(-1))})
+    from_manifest = F.when(F.col("is_list"), F.get_json_object("manifest", "$")).when(F.col("listed") > 0, F.get_json_object("manifest", "$.tools"))
+    manifests = m.select("repo_id", "manifest_path", from_manifest.alias("manifest_tools"))
     joined = s.join(manifests, ["repo_id", "manifest_path"], "left")
-    return joined.select(
-        "repo_id", "config_path", "server", "ord", F.coalesce(F.col("inline_tools"), from_manifest).alias("tools_json")
-    )
+    return joined.select("repo_id", "config_path", "server", "ord", F.coalesce("inline_tools", "manifest_tools").alias("tools_json"))
 
 
 def mcp_costs(servers: DataFrame, weigher: str = "bpe", **token_opts) -> DataFrame:
