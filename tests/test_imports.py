@@ -170,3 +170,92 @@ def test_one_path_order_for_ties_and_findings(spark):
         assert [r["first_file"] for r in a.finding_groups.collect()] == [first]
         assert [r["first_file"] for r in a.distinct_suggestions.collect()] == [first]
         assert a.problem_summary.count() == 1 and a.top_suggestions.count() == 1
+
+
+def _model_walk(files, context):
+    """Claims and broken specs by the plain walk, with an explicit stack: ``{spec: place}`` per start file."""
+    found, claimed = {}, {}
+    for start in sorted(context):
+        visited, stack, out = {start}, [(start, (), 0)], {}
+        while stack:
+            node, place, i = stack.pop()
+            specs = IMPORT.findall(files[node])
+            if i == len(specs):
+                continue
+            stack.append((node, place, i + 1))
+            target = _resolve(node, specs[i])
+            if target not in files:
+                out.setdefault(specs[i], (*place, i))
+            elif target not in visited:
+                visited.add(target)
+                if target not in context:
+                    claimed.setdefault(target, start)
+                    stack.append((target, (*place, i), 0))
+        found[start] = out
+    return found, claimed
+
+
+def _rounds(monkeypatch):
+    from weighbridge.operators import imports
+
+    labels, write = [], imports.materialize
+    monkeypatch.setattr(imports, "materialize", lambda df, label="step": labels.append(label) or write(df, label))
+    return labels
+
+
+def _check_walk(spark, repos):
+    rows = [(r, p, t) for r, files in repos.items() for p, t in files.items()]
+    df = spark.createDataFrame(rows, "repo_id string, rel_path string, content string")
+    context = {"CLAUDE.md", "AGENTS.md"}
+    a = audit(df, weigher="bytes4")
+    got = {(r["repo_id"], r["root_path"], r["spec"]): tuple(r["place"]) for r in a.unresolved.collect()}
+    claims = {(r["repo_id"], r["imported_path"]): r["importer_path"] for r in a.claims.collect()}
+    want, want_claims = {}, {}
+    for k, files in repos.items():
+        found, claimed = _model_walk(files, context & set(files))
+        want |= {(k, root, spec): place for root, out in found.items() for spec, place in out.items()}
+        want_claims |= {(k, f): root for f, root in claimed.items()}
+    assert got == want and claims == want_claims
+    return want
+
+
+def test_long_chain_in_few_rounds(spark, monkeypatch):
+    n = 2000
+    chain = {"CLAUDE.md": "@c0.md\n", "AGENTS.md": f"@c{n // 2}.md\n@c0.md\n"}
+    for i in range(n):
+        chain[f"c{i}.md"] = f"@c{i + 1}.md\n" if i + 1 < n else "@gone.md\n@c5.md\n"
+    chain["c1500.md"] += "@gone2.md\n"
+    labels = _rounds(monkeypatch)
+    want = _check_walk(spark, {"r": chain})
+    assert len(want["r", "CLAUDE.md", "gone.md"]) == n + 1
+    jumps = labels.count("forest-jump")
+    assert jumps < 30 and labels.count("ways") + labels.count("live") + labels.count("claim") < 15, labels
+
+
+def test_trees_ladders_cycles_and_dead_ends_contract(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    tree = {"CLAUDE.md": "@t1.md\n"} | {f"t{i}.md": f"@t{2 * i}.md\n@t{2 * i + 1}.md\n" for i in range(1, 64)} | {f"t{i}.md": rng.choice(["", f"@gone{i % 5}.md\n"]) for i in range(64, 128)}
+    spine = {"CLAUDE.md": "@s0.md\n"} | {f"s{i}.md": f"@l{i}.md\n@s{i + 1}.md\n@m{i}.md\n" for i in range(60)}
+    spine |= {f"l{i}.md": "" for i in range(60)} | {f"m{i}.md": f"@gone{i % 7}.md\n" for i in range(60)} | {"s60.md": "@last.md\n"}
+    ladder = {"AGENTS.md": "@d0.md\n"}
+    for i in range(40):
+        ladder |= {f"d{i}.md": f"@a{i}.md\n@b{i}.md\n", f"a{i}.md": f"@d{i + 1}.md\n", f"b{i}.md": f"@d{i + 1}.md\n"}
+    ladder["d40.md"] = "@gone.md\n@d3.md\n"
+    circle = {"CLAUDE.md": "@a.md\n@x.md\n", "a.md": "@b.md\n", "b.md": "@c.md\n@gone1.md\n", "c.md": "@a.md\n@gone2.md\n", "x.md": "@c.md\n"}
+    circle |= {f"o{i}.md": f"@o{(i + 1) % 5}.md\n@gone{i}.md\n" for i in range(5)} | {"p.md": "@q.md\n", "q.md": "@b.md\n"}  # not reached
+    labels = _rounds(monkeypatch)
+    _check_walk(spark, {"tree": tree, "spine": spine, "ladder": ladder, "circle": circle, "none": {"CLAUDE.md": "x"}, "loop": {"CLAUDE.md": "@e.md\n", "e.md": "@e.md\n@gone.md\n"}})
+    assert labels.count("ways") < 10
+
+
+def test_random_graphs_match_the_walk(spark):
+    import random
+
+    rng, repos = random.Random(11), {}
+    for k in range(40):
+        names = ["CLAUDE.md", "AGENTS.md", *[f"n{i}.md" for i in range(rng.choice([4, 9, 14]))]]
+        targets = [*names, "gone1.md", "gone2.md", "gone3.md"]
+        repos[f"r{k}"] = {n: "".join(f"@{rng.choice(targets)}\n" for _ in range(rng.choice([0, 1, 1, 2, 3]))) for n in names}
+    assert len(_check_walk(spark, repos)) > 40

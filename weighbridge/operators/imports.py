@@ -139,10 +139,107 @@ def import_closure(fold: DataFrame, context: DataFrame, reach_checkpoint_every:
     return reach
 
 
-def leading_to_broken(broken: DataFrame, fold: DataFrame) -> DataFrame:
+class ImportForest:
+    """The files of an import graph that one file only imports, each below the file that heads its tree.
+
+    Such a file is reached through its one importer alone, so whatever is true of the ways to it follows from the
+    ways to its ``head``: the first file above that is imported by several files or by none. Heads are found by pointer
+    doubling: table ``k`` of ``jumps`` leads ``2^k`` files up, and a tree of depth ``n`` takes ``log2(n)`` written tables, however many
+    files it has. Files on or below a cycle of such files have no head, cannot be reached from outside, and are left out.
+    """
+
+    def __init__(self, edges: DataFrame):
+        """``edges``: ``repo_id, node_path, next_path, place`` (positions of the imports it stands for), without loops."""
+        one = edges.groupBy("repo_id", F.col("next_path").alias("node_path")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node_path", "place")).alias("e"))
+        self.inner = materialize(one.where("n = 1").select("repo_id", "node_path", F.col("e.node_path").alias("prev_path"), "e.place"), "forest")
+        self.jumps: list[DataFrame] = []
+        up = self.inner.select("repo_id", "node_path", F.col("prev_path").alias("up"))
+        jump = materialize(up.join(self.inner.select("repo_id", F.col("node_path").alias("up")), ["repo_id", "up"], "left_semi"), "forest-jump")
+        n = jump.count()
+        while n:
+            above = jump.select("repo_id", F.col("node_path").alias("up"), F.col("up").alias("next_up"))
+            twice = jump.join(above, ["repo_id", "up"]).select("repo_id", "node_path", F.col("next_up").alias("up"))
+            twice = materialize(twice, "forest-jump")
+            m = twice.count()
+            if m == n:  # a tree loses files at each step up; what loses none runs in circles
+                self.inner = materialize(self.inner.join(jump, ["repo_id", "node_path"], "left_anti"), "forest")
+                break
+            self.jumps.append(jump)
+            jump, n = twice, m
+        self.heads = materialize(self._heads(), "forest-heads")
+
+    def _climb(self, rows: DataFrame, step) -> DataFrame:
+        """Moves column ``at`` of ``rows`` up by each table of jumps, the longest first; ``step(k, up)`` has the new columns."""
+        for k in reversed(range(len(self.jumps))):
+            jump = self.jumps[k].select("repo_id", F.col("node_path").alias("at"), "up")
+            rows = rows.join(jump, ["repo_id", "at"], "left").withColumns(step(k, F.col("up"))).drop("up")
+        return rows
+
+    def _heads(self) -> DataFrame:
+        rows = self.inner.select("repo_id", "node_path", F.col("node_path").alias("at"), F.lit(0).alias("depth"))
+        rows = self._climb(rows, lambda k, up: {"at": F.coalesce(up, "at"), "depth": F.col("depth") + F.when(up.isNull(), 0).otherwise(1 << k)})
+        top = self.inner.select("repo_id", F.col("node_path").alias("at"), F.col("prev_path").alias("head"))
+        return rows.join(top, ["repo_id", "at"]).select("repo_id", "node_path", "head", "depth")
+
+    def ways(self, nodes: DataFrame) -> DataFrame:
+        """``repo_id, node_path, head, way``: for those of ``nodes`` that have a head, the positions from it down to them."""
+        rows = self.heads.join(nodes, ["repo_id", "node_path"], "left_semi")
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), "depth")).alias("above"), F.col("node_path").alias("at"))
+        rows = self._climb(rows, lambda k, up: {"at": F.when(F.col("above").bitwiseAND(F.lit(1 << k)) != 0, up).otherwise(F.col("at"))})
+        rows = rows.join(self.inner.select("repo_id", F.col("node_path").alias("at"), "place"), ["repo_id", "at"])
+        steps = F.sort_array(F.collect_list(F.struct((-F.col("above")).alias("o"), "place")))
+        return rows.groupBy("repo_id", "node_path", "head").agg(F.flatten(F.transform(steps, lambda s: s["place"])).alias("way"))
+
+    def discard(self) -> None:
+        discard(self.inner, self.heads, *self.jumps)
+
+
+def import_forest(fold: DataFrame) -> ImportForest:
+    return ImportForest(_placed(fold))
+
+
+def _placed(fold: DataFrame) -> DataFrame:
+    return fold.where(F.col("node_path") != F.col("next_path")).select("repo_id", "node_path", "next_path", F.array("ord").alias("place"))
+
+
+def contract(edges: DataFrame, broken: DataFrame, starts: DataFrame, forest: ImportForest) -> tuple[DataFrame, DataFrame]:
+    """``edges`` and ``broken`` (``repo_id, node_path, spec, place``) with every tree of the forest drawn into its head.
+
+    What a file of a tree imports, or holds broken, becomes its head's, at the positions on the way down. Two ways
+    between the same files become the smaller one, which can leave a file with one importer again, so this is
+    repeated, without files that no start file or no broken spec needs, until no tree is left. Trees, chains and ladders
+    of any length vanish in a few rounds; left are files with several importers each.
+    """
+    at, last = ["repo_id", "node_path"], None
+    while not forest.inner.isEmpty():
+        leaving = edges.join(forest.inner.select("repo_id", F.col("node_path").alias("next_path")), ["repo_id", "next_path"], "left_anti")
+        needed = leaving.select(*at).unionByName(broken.select(*at)).distinct()
+        ways = materialize(forest.ways(needed), "forest-ways")
+
+        def to_head(rows, ways=ways):
+            moved = rows.join(ways, at, "left")
+            place = F.when(F.col("way").isNull(), F.col("place")).otherwise(F.concat("way", "place"))
+            return moved.withColumns({"node_path": F.coalesce("head", "node_path"), "place": place}).drop("head", "way")
+
+        edges = to_head(leaving).where(F.col("node_path") != F.col("next_path")).groupBy(*at, "next_path").agg(F.min("place").alias("place"))
+        broken = materialize(to_head(broken).groupBy(*at, "spec").agg(F.min("place").alias("place")), "broken")
+        edges = materialize(edges, "core")
+        useful = edges.select(*at).unionByName(broken.select(*at)).distinct().withColumnRenamed("node_path", "next_path")
+        reached = edges.select("repo_id", F.col("next_path").alias("node_path")).unionByName(starts.select(*at)).distinct()
+        pruned = edges.join(useful, ["repo_id", "next_path"], "left_semi").join(reached, at, "left_semi")
+        pruned = materialize(pruned.select(*at, "next_path", "place"), "core")
+        discard(ways, edges)
+        if last is not None:
+            last.discard()
+        edges, forest = pruned, ImportForest(pruned)
+        last = forest
+    return edges, broken
+
+
+def leading_to_broken(broken: DataFrame, edges: DataFrame) -> DataFrame:
     """``repo_id, node_path``: files that hold a broken spec or reach one. One row per file, found backwards."""
     key = ["repo_id", "node_path"]
-    back = fold.select("repo_id", F.col("next_path").alias("node_path"), F.col("node_path").alias("prev_path"))
+    back = edges.select("repo_id", F.col("next_path").alias("node_path"), F.col("node_path").alias("prev_path"))
     frontier = materialize(broken.select(*key).distinct(), "live")
     live, tables, rounds = frontier, [frontier], 0
     while not frontier.isEmpty():
@@ -160,22 +257,27 @@ def leading_to_broken(broken: DataFrame, fold: DataFrame) -> DataFrame:
     return out
 
 
-def unresolved_imports(edges: DataFrame, fold: DataFrame, context: DataFrame) -> DataFrame:
+def unresolved_imports(edges: DataFrame, fold: DataFrame, context: DataFrame, forest: ImportForest | None = None) -> DataFrame:
     """``repo_id, root_path, spec, place``: broken specs per start file, each at its first place in the import tree.
 
     The tree is walked depth first, each file once. A file's way in that walk is its
     smallest simple path by the positions of the imports on it, so ``place``, those
-    positions and the spec's own, sorts broken specs as the walk meets them. Paths are
-    handed on from file to file while they improve (a written table per round, as many
-    rounds as the longest way has files), and only through files that lead to a
-    broken spec; start files without one cost nothing.
+    positions and the spec's own, sorts broken specs as the walk meets them. Files with one importer are
+    first drawn into the heads of their trees (:func:`contract`), a number of rounds that grows with the logarithm of the
+    trees' depth. Among what is left, files with several importers each, paths are handed on while they
+    improve (a written table per round), and only through files that lead to a broken spec.
     """
     at = ["repo_id", "node_path"]
     broken = edges.where(~F.col("dst_exists")).groupBy("repo_id", F.col("src_path").alias("node_path"), "spec")
-    broken = broken.agg(F.min("ord").alias("ord"))
-    live = leading_to_broken(broken, fold)
-    steps = fold.join(live.withColumnRenamed("node_path", "next_path"), ["repo_id", "next_path"], "left_semi")
-    start = context.select("repo_id", F.col("rel_path").alias("node_path")).join(live, at, "left_semi").select(
+    broken = materialize(broken.agg(F.array(F.min("ord")).alias("place")), "broken")
+    starts = context.select("repo_id", F.col("rel_path").alias("node_path"))
+    core, broken = contract(_placed(fold), broken, starts, forest or import_forest(fold))
+    own = broken.join(starts, at, "left_semi").withColumnRenamed("node_path", "root_path")
+    if core.isEmpty():
+        return own.select("repo_id", "root_path", "spec", "place")
+    live = leading_to_broken(broken, core)
+    steps = core.withColumnRenamed("place", "step").join(live.withColumnRenamed("node_path", "next_path"), ["repo_id", "next_path"], "left_semi")
+    start = starts.join(live, at, "left_semi").select(
         "repo_id",
         F.col("node_path").alias("root_path"),
         "node_path",
@@ -183,7 +285,7 @@ def unresolved_imports(edges: DataFrame, fold: DataFrame, context: DataFrame) ->
         F.array("node_path").alias("trail"),
     )
     key = ["repo_id", "root_path", "node_path"]
-    way = F.struct(F.concat("place", F.array("ord")).alias("place"), F.concat("trail", F.array("next_path")).alias("trail"))
+    way = F.struct(F.concat("place", "step").alias("place"), F.concat("trail", F.array("next_path")).alias("trail"))
     frontier = ways = materialize(start, "ways")
     tables, rounds = [ways], 0
     while not frontier.isEmpty():
@@ -206,31 +308,38 @@ def unresolved_imports(edges: DataFrame, fold: DataFrame, context: DataFrame) ->
             ways = materialize(best, "ways")
             discard(*tables[:-1])
             tables = [frontier, ways]
-    first = F.min(F.concat("place", F.array("ord"))).alias("place")
-    out = materialize(ways.join(broken, at).groupBy("repo_id", "root_path", "spec").agg(first), "unresolved")
+    held = broken.withColumnRenamed("place", "held")
+    first = F.min(F.concat("place", "held")).alias("place")
+    out = materialize(ways.join(held, at).groupBy("repo_id", "root_path", "spec").agg(first), "unresolved")
     discard(live, *tables)
     return out
 
 
-def claim_imports(fold: DataFrame, context: DataFrame, collation: str = "UTF8_BINARY") -> DataFrame:
+def claim_imports(fold: DataFrame, context: DataFrame, collation: str = "UTF8_BINARY", forest: ImportForest | None = None) -> DataFrame:
     """``repo_id, importer_path, imported_path``: each folded file goes to its first importer in path order.
 
     Smallest-label propagation: a file holds the first importer known to reach it and
     hands it on when it improves, so the state is one row per file, whatever the number
-    of start files. Path order is binary by default (what SQL engines sort by); ``collation``
-    ``"UNICODE"`` uses ICU root collation, closer to a locale-aware compare.
+    of start files. Only files with several importers take part; the others follow the head of their tree
+    (:class:`ImportForest`). Path order is binary by default (what SQL engines sort by); ``collation``
+    ``"UNICODE"`` uses ICU root collation, closer to a locale-aware compare; paths that it holds equal are in binary order.
     """
     key = ["repo_id", "node_path"]
+    forest = forest or import_forest(fold)
     order = lambda c: path_order(F.col(c), collation)
-    frontier = context.select("repo_id", F.col("rel_path").alias("node_path"), F.col("rel_path").alias("importer_path"))
-    labels = None
+    first = lambda c: F.min(F.struct(order(c).alias("o"), F.col(c).cast("string").alias("p")))["p"]
+    heads = forest.heads.select(*key, "head")
+    inner = heads.select("repo_id", F.col("node_path").alias("next_path"))
+    core = fold.join(inner, ["repo_id", "next_path"], "left_anti").join(heads, key, "left")
+    core = materialize(core.select("repo_id", F.coalesce("head", "node_path").alias("node_path"), "next_path").distinct(), "claim-core")
+    starts = context.select("repo_id", F.col("rel_path").alias("node_path"), F.col("rel_path").alias("importer_path"))
+    frontier, labels = starts, None
     while True:
-        step = frontier.join(fold, key).groupBy("repo_id", F.col("next_path").alias("node_path")).agg(
-            F.min(order("importer_path")).cast("string").alias("importer_path")
-        )
+        step = frontier.join(core, key).groupBy("repo_id", F.col("next_path").alias("node_path")).agg(first("importer_path").alias("importer_path"))
         if labels is not None:
             known = labels.withColumnRenamed("importer_path", "known")
-            step = step.join(known, key, "left").where(F.col("known").isNull() | (order("importer_path") < order("known"))).drop("known")
+            earlier = F.struct(order("importer_path"), F.col("importer_path")) < F.struct(order("known"), F.col("known"))
+            step = step.join(known, key, "left").where(F.col("known").isNull() | earlier).drop("known")
         before, frontier = frontier, materialize(step, "claim")
         if labels is not None and before is not labels:
             discard(before)
@@ -241,6 +350,7 @@ def claim_imports(fold: DataFrame, context: DataFrame, collation: str = "UTF8_BI
         if before is not None:
             labels = materialize(before.join(frontier.select(*key), key, "left_anti").unionByName(frontier), "claims")
             discard(before)
-    if labels is None:
-        return fold.sparkSession.createDataFrame([], "repo_id string, importer_path string, imported_path string")
-    return labels.select("repo_id", "importer_path", F.col("node_path").alias("imported_path"))
+    known = starts if labels is None else starts.unionByName(labels)
+    below = heads.join(known.withColumnRenamed("node_path", "head"), ["repo_id", "head"]).select(*key, "importer_path")
+    out = below if labels is None else below.unionByName(labels)
+    return out.select("repo_id", "importer_path", F.col("node_path").alias("imported_path"))

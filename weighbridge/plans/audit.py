@@ -19,7 +19,7 @@ from weighbridge.operators import budget as B
 from weighbridge.operators import health as H
 from weighbridge.operators.classify import scan_context_files
 from weighbridge.operators.findings import size_findings, union_findings, unresolved_findings
-from weighbridge.operators.imports import target_scope, claim_imports, extract_edges, fold_edges, import_closure, unresolved_imports
+from weighbridge.operators.imports import ImportForest, claim_imports, extract_edges, fold_edges, import_closure, import_forest, target_scope, unresolved_imports
 from weighbridge.operators.mcp import mcp_costs, mcp_servers
 from weighbridge.operators.secrets import secret_findings
 from weighbridge.session import materialize
@@ -108,13 +108,18 @@ class Audit:
     def fold(self) -> DataFrame:
         return fold_edges(self.edges)
 
+    @cached_property
+    def forest(self) -> ImportForest:
+        """Files with one importer, and the heads of their trees: read by claims and broken specs."""
+        return import_forest(self.fold)
+
     @cached_property
     def claims(self) -> DataFrame:
-        return claim_imports(self.fold, self.context.select("repo_id", "rel_path"), self.path_collation)
+        return claim_imports(self.fold, self.context.select("repo_id", "rel_path"), self.path_collation, self.forest)
 
     @cached_property
     def unresolved(self) -> DataFrame:
-        return unresolved_imports(self.edges, self.fold, self.context.select("repo_id", "rel_path"))
+        return unresolved_imports(self.edges, self.fold, self.context.select("repo_id", "rel_path"), self.forest)
 
     # ---- tokens ----------------------------------------------------------------
     @cached_property
