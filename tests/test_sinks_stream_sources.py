@@ -4,7 +4,7 @@ import tempfile
 
 from tests.conftest import files_df
 from weighbridge import audit
-from weighbridge.sinks import report_documents, sarif_documents, scan_result_documents
+from weighbridge.sinks import ResultStore, read_documents, report_documents, report_lines, sarif_lines, scan_result_documents, write_documents
 from weighbridge.sources.readers import read_scan_results
 from weighbridge.sources.tree import register
 from weighbridge.streaming import incremental_scan, pending_repos
@@ -17,22 +17,102 @@ def _audit(spark):
     return audit(files, weigher="bytes4")
 
 
-def test_sarif_structure_and_parts(spark):
+def _assembled(path):
+    """Each written document, its part files one after another in the order of their names."""
+    out = {}
+    for folder in sorted(os.listdir(path)):
+        if folder.startswith("repo_id="):
+            names = sorted((n for n in os.listdir(os.path.join(path, folder)) if n.startswith("part-")), key=lambda n: (len(n), n))
+            out[folder[8:]] = "".join(open(os.path.join(path, folder, n)).read() for n in names)
+    return out
+
+
+def test_sarif_one_document_per_repository(spark):
     a = _audit(spark)
-    docs = {(r["repo_id"], r["file"]): json.loads(r["sarif"]) for r in sarif_documents(a.findings, a.health).collect()}
-    assert set(docs) == {("r1", "CLAUDE.md"), ("r_none", None), ("r_clean", None)}
-    one = docs[("r1", "CLAUDE.md")]
-    run = one["runs"][0]
-    assert one["version"] == "2.1.0" and "$schema" in one
+    out = os.path.join(tempfile.mkdtemp(prefix="wb-sarif-"), "sarif")
+    write_documents(sarif_lines(a.findings, a.health), out)
+    docs = {repo: json.loads(text) for repo, text in _assembled(out).items()}
+    assert set(docs) == {"r1", "r_none", "r_clean"}
+    run = docs["r1"]["runs"][0]
+    assert docs["r1"]["version"] == "2.1.0" and "$schema" in docs["r1"]
     assert run["results"][0]["ruleId"] == "budget/too-long" and run["results"][0]["level"] == "warning"
     assert run["results"][0]["locations"][0]["physicalLocation"] == {"artifactLocation": {"uri": "CLAUDE.md"}}
     assert [x["id"] for x in run["tool"]["driver"]["rules"]] == ["budget/too-long", "imports/unresolved"]
-    assert "invocations" not in run
-    assert run["results"][1]["level"] == "note"
-    na = docs[("r_none", None)]["runs"][0]
+    assert "invocations" not in run and run["results"][1]["level"] == "note"
+    na = docs["r_none"]["runs"][0]
     assert na["results"] == [] and na["invocations"][0]["toolExecutionNotifications"][0]["level"] == "note"
-    clean = docs[("r_clean", None)]["runs"][0]
-    assert clean["results"] == [] and "invocations" not in clean
+    clean = docs["r_clean"]["runs"][0]
+    assert clean["results"] == [] and clean["tool"]["driver"]["rules"] == [] and "invocations" not in clean
+
+
+def test_documents_split_over_many_files_keep_their_order(spark):
+    from pyspark.sql import functions as F
+
+    from weighbridge.sinks.documents import document_lines, listed, once
+
+    repos = spark.createDataFrame([("big/one",), ("007",), ("none",)], "repo_id string")
+    items = spark.range(5000).select(F.when(F.col("id") % 50 > 0, "big/one").otherwise("007").alias("repo_id"), F.col("id")).repartition(7)
+    lines = document_lines(once(repos, F.lit('{"n":[')), listed(items, F.to_json(F.struct("id")), [F.col("id")]), once(repos, F.lit("]}")))
+    out = os.path.join(tempfile.mkdtemp(prefix="wb-doc-"), "d")
+    write_documents(lines, out, lines_per_file=300)
+    docs = {repo: json.loads(text) for repo, text in _assembled(out).items()}
+    want = {"big%2Fone": [i for i in range(5000) if i % 50], "007": list(range(0, 5000, 50)), "none": []}
+    assert {k: [x["id"] for x in d["n"]] for k, d in docs.items()} == want
+    assert len([n for n in os.listdir(os.path.join(out, "repo_id=big%2Fone")) if n.startswith("part-")]) >= 16
+    back = read_documents(spark, out).where("repo_id = 'big/one'").orderBy("position").collect()
+    assert [r["position"] for r in back] == list(range(4902)) and json.loads("".join(r["line"] for r in back))["n"][7]["id"] == 8
+    assert read_documents(spark, out).where("repo_id = '007'").count() == 102
+
+
+def test_report_payload_has_findings_entries_and_imports(spark):
+    rows = [
+        ("CLAUDE.md", "@docs/b.md\n@docs/a.md\n@gone.md\n" + "\n" * 201), ("AGENTS.md", 'say "hi"'), ("docs/a.md", "a" * 40), ("docs/b.md", "b" * 80), ("s/SKILL.md", "x"),
+        (".mcp.json", '{"mcpServers":{"m":{"command":"x"}}}'),
+    ]
+    files = files_df(spark, rows).unionByName(files_df(spark, [("README.md", "no context")], repo="r_none"))
+    a = audit(files, weigher="bytes4", model="claude-opus")
+    out = os.path.join(tempfile.mkdtemp(prefix="wb-report-"), "report")
+    write_documents(report_lines(a), out)
+    docs = {repo: json.loads(text) for repo, text in _assembled(out).items()}
+    one, none = docs["r1"], docs["r_none"]
+    assert [f["relPath"] for f in one["health"]["files"]] == ["AGENTS.md", "CLAUDE.md", "s/SKILL.md"]
+    assert [f["code"] for f in one["health"]["findings"]] == ["budget/too-long", "imports/unresolved"] and one["health"]["grade"] == "A"
+    entries = one["budget"]["entries"]
+    assert [e["label"] for e in entries] == ["CLAUDE.md", "AGENTS.md", "mcp:m (schemas)", "s/SKILL.md"]
+    assert entries[0]["imports"] == ["docs/a.md", "docs/b.md"] and entries[0]["importedTokens"] == 30 and "imports" not in entries[1]
+    assert entries[2]["note"] and one["budget"]["onDemandCount"] == 1 and one["budget"]["estCostUsd"] > 0
+    assert none == {
+        "health": {"grade": "N/A", "score": None, "noContext": True, "files": [], "findings": []},
+        "budget": {"alwaysOnTokens": 0, "onDemandTokens": 0, "onDemandCount": 0, "contextWindow": 200000, "estCostUsd": 0.0, "entries": []},
+    }
+
+
+def test_result_store_keeps_one_result_of_several_writers(spark):
+    from pyspark.sql import functions as F
+
+    store = ResultStore(spark, os.path.join(tempfile.mkdtemp(prefix="wb-store-"), "s"))
+    assert store.done().collect() == [] and store.results().count() == 0 and store.findings().count() == 0
+    a = _audit(spark)
+    results = a.scan_results("2026-07-02T00:00:00Z")
+    store.write(results.where("repo_id = 'r1'"), a.findings)
+    later = results.withColumn("grade", F.lit("Z"))
+    store.write(later, a.findings.unionByName(a.findings))  # r1 has a result; the others have none yet
+    assert {r["repo_id"]: r["grade"] for r in store.results().collect()} == {"r1": "A", "r_none": "Z", "r_clean": "Z"}
+    assert sorted(r["code"] for r in store.findings().collect()) == ["budget/too-long", "imports/unresolved"]
+    # an attempt that died before its log file, and a log file that died before its content, count never
+    other = ResultStore(spark, store.path)
+    other._commit = lambda attempt: None
+    other.write(results.withColumn("repo_id", F.concat(F.lit("x"), F.col("repo_id"))), a.findings)
+    open(os.path.join(store.path, "log", f"{2:020d}.json"), "w").close()
+    assert store.results().count() == 3
+    store.write(results.withColumn("repo_id", F.lit("r9")).limit(1), a.findings.limit(0))
+    assert sorted(os.listdir(os.path.join(store.path, "log")))[-1] == f"{3:020d}.json" and store.done().count() == 4
+    # two writers that saw the same log: the file is created once, the second takes the next number
+    jvm = spark._jvm
+    first = jvm.org.apache.hadoop.fs.Path(f"{store.path}/log/{4:020d}.json")
+    first.getFileSystem(spark._jsc.hadoopConfiguration()).create(first, False).close()
+    store._commit("late")
+    assert "late" in open(os.path.join(store.path, "log", f"{5:020d}.json")).read()
 
 
 def test_json_reports_and_scan_results_roundtrip(spark):
@@ -82,28 +162,80 @@ def test_tree_source_splits_a_repository_and_skips_unaudited_names(spark):
 def test_incremental_scan_batch_and_stream(spark):
     snap, man = tempfile.mkdtemp(prefix="wb-snap-"), tempfile.mkdtemp(prefix="wb-man-")
     res = os.path.join(tempfile.mkdtemp(prefix="wb-res-"), "results")
+    store = ResultStore(spark, res)
+
+    def files(repo, rows):
+        before = set(os.listdir(snap))
+        files_df(spark, rows, repo=repo).coalesce(1).write.mode("append").parquet(snap)
+        return [n for n in os.listdir(snap) if n.endswith(".parquet") and n not in before]
 
-    def arrive(repo, rows, n_files=None):
-        files_df(spark, rows, repo=repo).write.mode("append").parquet(snap)
-        if n_files:
-            spark.createDataFrame([(repo, n_files)], "repo_id string, n_files long").coalesce(1).write.mode("append").parquet(man)
+    def listed(repo, n_files):
+        spark.createDataFrame([(repo, n_files)], "repo_id string, n_files long").coalesce(1).write.mode("append").parquet(man)
 
     def scan():
         incremental_scan(spark, snap, man, res, "2026-07-02T00:00:00Z", weigher="bytes4")
-        return {r["repo_id"]: r["always_on_tokens"] for r in spark.read.parquet(res).collect()}
+        return {r["repo_id"]: r["always_on_tokens"] for r in store.results().collect()}
 
-    arrive("r1", [("CLAUDE.md", "one " * 4)], 1)
-    arrive("r2", [("AGENTS.md", "two " * 4)], 2)  # its second file is still to come
+    listed("r1", 1)
+    first = files("r1", [("CLAUDE.md", "one " * 4)])
+    listed("r2", 2)
+    files("r2", [("AGENTS.md", "two " * 4)])  # its second file is still to come
     assert scan() == {"r1": 4}
-    arrive("r2", [("a/AGENTS.md", "more" * 4)])
-    assert scan() == {"r1": 4}  # a restart without new manifest rows reads nothing again
-    arrive("r1", [("b/CLAUDE.md", "late")], 2)
-    arrive("r4", [("README.md", "none")], 1)
-    assert scan() == {"r1": 4, "r2": 8, "r4": 0}  # r1 already had a result: skipped
-    assert spark.read.parquet(res).count() == 3
+    assert scan() == {"r1": 4}  # nothing new
+    with open(os.path.join(snap, first[0]), "wb") as fh:
+        fh.write(b"PAR1 no longer a table")  # a finished repository is not read again
+    os.remove(os.path.join(snap, f".{first[0]}.crc"))
+    files("r2", [("a/AGENTS.md", "more" * 4)])  # a file after the last manifest row wakes its repository
+    assert scan() == {"r1": 4, "r2": 8}
+    files("r3", [("CLAUDE.md", "three" * 4), ("CLAUDE.md", "three" * 4)][:1])
+    files("r4", [("README.md", "none")])
+    assert scan() == {"r1": 4, "r2": 8}  # files without a manifest row wait
+    listed("r3", 1)
+    listed("r4", 1)
+    listed("r5", 0)
+    assert scan() == {"r1": 4, "r2": 8, "r3": 5, "r4": 0, "r5": 0}
+
+    # a batch whose end was not recorded runs again: same rows, no second result
+    commits = os.path.join(res, "_stream", "commits")
+    last = max((n for n in os.listdir(commits) if n.isdigit()), key=int)
+    os.remove(os.path.join(commits, last))
+    if os.path.exists(os.path.join(commits, f".{last}.crc")):
+        os.remove(os.path.join(commits, f".{last}.crc"))
+    logged = len(os.listdir(os.path.join(res, "log")))
+    assert scan() == {"r1": 4, "r2": 8, "r3": 5, "r4": 0, "r5": 0}
+    assert len(os.listdir(os.path.join(res, "log"))) == logged
+    versions = [n for n in os.listdir(os.path.join(res, "_pending")) if n.startswith("v=")]
+    assert len(versions) <= 2
+
+    repos = spark.createDataFrame([("r1",), ("r2",), ("r9",)], "repo_id string")
+    assert [r[0] for r in pending_repos(repos, store.done()).collect()] == ["r9"]
+
+
+def test_replay_after_a_crash_between_results_and_pending_keys(spark, monkeypatch):
+    from weighbridge.streaming import incremental
+
+    root = tempfile.mkdtemp(prefix="wb-crash-")
+    source = os.path.join(root, "snap")
+    files_df(spark, [("CLAUDE.md", "one " * 4)]).coalesce(1).write.parquet(source)
+    name = spark.read.parquet(source).select("_metadata.file_path").first()[0]
+    rows = [("r1", 1, None, None), ("r1", None, "CLAUDE.md", name), ("r2", 1, None, None)]
+    batch = spark.createDataFrame(rows, incremental.PENDING_SCHEMA)
+
+    def crash(*_):
+        raise RuntimeError("lost")
 
-    repos = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "repo_id string")
-    assert [r[0] for r in pending_repos(repos, spark.read.parquet(res)).collect()] == ["r3"]
+    with monkeypatch.context() as m:
+        m.setattr(incremental.PendingTable, "store", crash)
+        try:
+            incremental.scan_arrivals(batch, 0, f"{root}/res", "2026-07-02T00:00:00Z", weigher="bytes4")
+        except RuntimeError:
+            pass
+    incremental.scan_arrivals(batch, 0, f"{root}/res", "2026-07-02T00:00:00Z", weigher="bytes4")
+    store = ResultStore(spark, f"{root}/res")
+    assert [(r["repo_id"], r["always_on_tokens"]) for r in store.results().collect()] == [("r1", 4)]
+    assert len(os.listdir(f"{root}/res/results")) == 1
+    table = incremental.PendingTable(spark, f"{root}/res/_pending")
+    assert [tuple(r) for r in table.before(1).collect()] == [("r2", 1, None, None)]
 
 
 def test_write_lines(spark):
@@ -165,8 +297,10 @@ def test_write_reports(spark):
     paths = write_reports(a, tempfile.mkdtemp(prefix="wb-reports-"), "2026-07-02T00:00:00Z")
     summary = [json.loads(r["value"]) for r in spark.read.text(paths["summary"]).collect()]
     assert sorted(x["health"]["grade"] for x in summary) == ["A", "A", "N/A"]
-    sarif = [json.loads(r["value"]) for r in spark.read.text(paths["sarif"]).collect()]
-    assert all(d["version"] == "2.1.0" for d in sarif) and len(sarif) == 3
+    sarif = {repo: json.loads(text) for repo, text in _assembled(paths["sarif"]).items()}
+    assert all(d["version"] == "2.1.0" for d in sarif.values()) and set(sarif) == {"r1", "r_none", "r_clean"}
+    report = {repo: json.loads(text) for repo, text in _assembled(paths["report"]).items()}
+    assert [e["label"] for e in report["r1"]["budget"]["entries"]] == ["CLAUDE.md", "AGENTS.md"]
     entries = [json.loads(r["value"]) for r in spark.read.text(paths["entries"]).collect()]
     assert {e["label"] for e in entries} == {"CLAUDE.md", "AGENTS.md"}
     assert {r["repo"] for r in read_scan_results(spark, paths["results"], multi_line=False).collect()} == {"r1", "r_none", "r_clean"}

@@ -9,10 +9,12 @@ no SQL oracle.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weighbridge import dims
 from weighbridge.functions.placeholders import is_placeholder, is_reserved_email_domain, shannon_entropy, with_secret_features
@@ -26,6 +28,11 @@ from weighbridge.operators.findings import size_findings
 from weighbridge.operators.secrets import SECRET_RULES, classify_matches, secret_matches
 from weighbridge.plans import oracle as O
 from weighbridge.plans.audit import Audit, audit
+from weighbridge.session import ensure_checkpoint_dir, materialize
+from weighbridge.sinks.documents import read_documents, write_documents
+from weighbridge.sinks.json_report import report_lines
+from weighbridge.sinks.results import ResultStore
+from weighbridge.sinks.sarif import sarif_lines
 from weighbridge.sources.fixtures import repos_v, snapshot, urls_v
 from weighbridge.sources.readers import lines_to_urls
 
@@ -437,6 +444,20 @@ def _results(spark, sf):
     return fixture_audit(spark, sf).scan_results(SCANNED_AT)
 
 
+def _shared_path(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(spark, sf) -> ResultStore:
+    """A result store that two writers have filled with the same scan."""
+    a, store = fixture_audit(spark, sf), ResultStore(spark, _shared_path(spark, "results"))
+    results = materialize(a.scan_results(SCANNED_AT), "results")
+    for _ in range(2):
+        store.write(results, a.findings)
+    a.release()
+    return store
+
+
 @register(
     "q_study_summary",
     O.build(
@@ -510,8 +531,19 @@ def q_study_ranking(spark, sf):
     ),
 )
 def q_scan_results(spark, sf):
-    r = _results(spark, sf)
-    return r.select("repo_id", "status", "grade", "always_on_tokens", "truncates", "has_email", "has_private_ip", "has_credential")
+    """The study's results written to a result store by two writers, and read back: one result counts."""
+    return _stored(spark, sf).results().select(
+        "repo_id", "status", "grade", "always_on_tokens", "truncates", "has_email", "has_private_ip", "has_credential"
+    )
+
+
+@register(
+    "q_stored_findings",
+    O.build("SELECT repo_id, file, line, severity, code, message, suggestion FROM findings", "findings"),
+)
+def q_stored_findings(spark, sf):
+    """Every finding of the stored results, read back from the store."""
+    return _stored(spark, sf).findings().select("repo_id", "file", "line", "severity", "code", "message", "suggestion")
 
 
 @register(
@@ -523,36 +555,36 @@ def q_scan_results(spark, sf):
 )
 def q_incremental_scan(spark, sf):
     """The study's results built in two runs: half of the repositories first, then whichever have no result yet."""
-    import uuid
-
-    from weighbridge.session import ensure_checkpoint_dir
     from weighbridge.streaming.incremental import scan_pending
 
     files, repos = snapshot(spark, sf), repos_v(spark, sf)
     manifest = repos.join(files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")), "repo_id", "left")
     manifest = manifest.select("repo_id", F.coalesce("n", F.lit(0)).alias("n_files"))
-    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scan-{uuid.uuid4().hex}"
+    out = _shared_path(spark, "scan")
     for run in (manifest.where(F.pmod(F.xxhash64("repo_id"), F.lit(2)) == 0), manifest):
         scan_pending(run, files, out, SCANNED_AT, weigher="bytes4", model=MODEL)
-    r = spark.read.parquet(out)
+    r = ResultStore(spark, out).results()
     return r.select("repo_id", "status", "grade", "always_on_tokens", "truncates", "has_email", "has_private_ip", "has_credential")
 
 
-@register("q_sarif")
-def q_sarif(spark, sf):
-    """SARIF 2.1.0 text per repository (rows only; structure is covered by pytest)."""
-    from weighbridge.sinks.sarif import sarif_documents
+# ---- documents -----------------------------------------------------------------
+def _written(spark, lines: DataFrame, name: str) -> DataFrame:
+    """Documents written by repository, and their lines read back without leading commas."""
+    path = _shared_path(spark, name)
+    write_documents(lines, path)
+    return read_documents(spark, path).withColumn("json", F.ltrim("line", F.lit(",")))
 
-    a = fixture_audit(spark, sf)
-    return sarif_documents(a.findings, a.health)
 
+def _sarif_back(spark, sf) -> DataFrame:
+    a = fixture_audit(spark, sf)
+    return _written(spark, sarif_lines(a.findings, a.health), "sarif")
 
-@register("q_json_report")
-def q_json_report(spark, sf):
-    """Per-repository JSON summary documents (rows only)."""
-    from weighbridge.sinks.json_report import report_documents
 
-    return report_documents(fixture_audit(spark, sf))
+@register("q_sarif")
+def q_sarif(spark, sf):
+    """SARIF 2.1.0 documents, one per repository, as ordered lines (rows only; structure is covered by pytest)."""
+    a = fixture_audit(spark, sf)
+    return sarif_lines(a.findings, a.health)
 
 
 @register(
@@ -560,19 +592,15 @@ def q_json_report(spark, sf):
     O.build(
         "SELECT repo_id, file AS uri, code AS rule_id, CASE severity WHEN 'error' THEN 'error' WHEN 'warn' THEN 'warning' ELSE 'note' END AS level, "
         "CASE WHEN line > 0 THEN line END AS start_line, message, "
-        "CAST(row_number() OVER (PARTITION BY repo_id, file ORDER BY rule_ord, item_ord, code, message) - 1 AS INTEGER) AS position FROM findings",
+        "CAST(row_number() OVER (PARTITION BY repo_id ORDER BY file, rule_ord, item_ord, code, message) - 1 AS BIGINT) AS position FROM findings",
         "findings",
     ),
 )
 def q_sarif_results(spark, sf):
-    """The results of the SARIF documents, read back from their text, with their positions."""
-    from weighbridge.sinks.sarif import sarif_documents
-
-    a = fixture_audit(spark, sf)
+    """The results of the written SARIF documents, read back from their text, with their positions in the repository."""
     place = "physicalLocation struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>"
     result = f"struct<ruleId: string, level: string, message: struct<text: string>, locations: array<struct<{place}>>>"
-    runs = F.from_json("sarif", f"struct<runs: array<struct<results: array<{result}>>>>")["runs"]
-    rows = sarif_documents(a.findings, a.health).select("repo_id", F.posexplode(runs[0]["results"]).alias("position", "r"))
+    rows = _sarif_back(spark, sf).where(F.col("json").startswith('{"ruleId":')).withColumn("r", F.from_json("json", result))
     spot = F.col("r.locations")[0]["physicalLocation"]
     return rows.select(
         "repo_id",
@@ -581,20 +609,103 @@ def q_sarif_results(spark, sf):
         F.col("r.level").alias("level"),
         spot["region"]["startLine"].alias("start_line"),
         F.col("r.message.text").alias("message"),
-        "position",
+        (F.col("position") - 1).cast("long").alias("position"),
+    )
+
+
+@register(
+    "q_sarif_rules",
+    O.build(
+        "SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY first) - 1 AS INTEGER) AS position, code AS rule_id FROM "
+        "(SELECT repo_id, code, min({'file': file, 'rule_ord': rule_ord, 'item_ord': item_ord}) AS first FROM findings GROUP BY repo_id, code)",
+        "findings",
+    ),
+)
+def q_sarif_rules(spark, sf):
+    """The rules of the written SARIF documents, in the order in which their repositories' findings have them."""
+    opening = _sarif_back(spark, sf).where(F.col("position") == 0)
+    text = F.concat("json", F.lit("]}]}"))  # the opening line alone, closed
+    runs = F.from_json(text, "struct<runs: array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>>>>")["runs"]
+    return opening.select("repo_id", F.posexplode(runs[0]["tool"]["driver"]["rules"]["id"]).alias("position", "rule_id"))
+
+
+def _report_back(spark, sf) -> DataFrame:
+    return _written(spark, report_lines(fixture_audit(spark, sf)), "report")
+
+
+@register(
+    "q_json_report",
+    O.build(
+        "SELECT h.repo_id, h.grade, CAST(h.score AS BIGINT) AS score, h.no_context, t.always_on_tokens, t.on_demand_tokens, t.on_demand_count, "
+        "round(t.always_on_tokens / 1000000.0::DOUBLE * 5.0::DOUBLE, 9) AS est_cost_usd FROM health h JOIN totals t ON t.repo_id = h.repo_id",
+        "health",
+        "totals",
+    ),
+)
+def q_json_report(spark, sf):
+    """Score and totals of the written payloads, read back from their opening and middle lines."""
+    rows = _report_back(spark, sf)
+    health = F.from_json(F.concat("json", F.lit("]}}")), "struct<health: struct<grade: string, score: long, noContext: boolean>>")["health"]
+    top = rows.where(F.col("json").startswith('{"health":')).select("repo_id", health.alias("h"))
+    budget = F.from_json(
+        F.concat(F.lit("{"), F.substring("json", 4, 1_000_000), F.lit("]}}")),
+        "struct<budget: struct<alwaysOnTokens: long, onDemandTokens: long, onDemandCount: long, estCostUsd: double>>",
+    )["budget"]
+    middle = rows.where(F.col("json").startswith(']},"budget":')).select("repo_id", budget.alias("b"))
+    return top.join(middle, "repo_id").select(
+        "repo_id", F.col("h.grade").alias("grade"), F.col("h.score").alias("score"), F.col("h.noContext").alias("no_context"),
+        F.col("b.alwaysOnTokens").alias("always_on_tokens"), F.col("b.onDemandTokens").alias("on_demand_tokens"),
+        F.col("b.onDemandCount").alias("on_demand_count"), F.round("b.estCostUsd", 9).alias("est_cost_usd"),
+    )
+
+
+@register(
+    "q_json_findings",
+    O.build(
+        "SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY file, rule_ord, item_ord, code, message) AS INTEGER) AS position, "
+        "severity, code, message, suggestion, file, CASE WHEN line > 0 THEN line END AS line FROM findings",
+        "findings",
+    ),
+)
+def q_json_findings(spark, sf):
+    """The findings of the written payloads, read back from their lines, in their order."""
+    fields = "struct<severity: string, code: string, message: string, suggestion: string, file: string, line: int>"
+    rows = _report_back(spark, sf).where(F.col("json").startswith('{"severity":')).withColumn("f", F.from_json("json", fields))
+    position = F.row_number().over(W.partitionBy("repo_id").orderBy("position")).alias("position")
+    return rows.select("repo_id", position, "f.*")
+
+
+@register(
+    "q_json_entries",
+    O.build(
+        f"SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY {O.ENTRY_ORDER}) AS INTEGER) AS position, label, tokens, load, note, "
+        "own_tokens, imported_tokens, CASE WHEN n_imports IS NULL THEN NULL ELSE (SELECT string_agg(imported_path, ' ' ORDER BY imported_path) FROM claims c "
+        "WHERE c.repo_id = entries.repo_id AND c.importer_path = entries.label) END AS imports FROM entries",
+        "entries",
+        "claims",
+    ),
+)
+def q_json_entries(spark, sf):
+    """The budget entries of the written payloads with the files they fold in, read back from their lines, heaviest first."""
+    rows = _report_back(spark, sf)
+    opens, name = F.col("json").startswith('{"label":'), F.col("json").startswith('"')
+    rows = rows.where(opens | name).withColumn("position", F.sum(opens.cast("int")).over(W.partitionBy("repo_id").orderBy("position")).cast("int"))
+    closed = F.when(F.col("json").endswith("["), F.concat("json", F.lit("]}"))).otherwise(F.col("json"))
+    fields = "struct<label: string, tokens: long, load: string, note: string, ownTokens: long, importedTokens: long>"
+    heads = rows.where(opens).select("repo_id", "position", F.from_json(closed, fields).alias("e"))
+    names = rows.where(name).groupBy("repo_id", "position").agg(F.array_join(F.array_sort(F.collect_list(F.from_json(F.concat(F.lit("["), "json", F.lit("]")), "array<string>")[0])), " ").alias("imports"))
+    return heads.join(names, ["repo_id", "position"], "left").select(
+        "repo_id", "position", "e.label", "e.tokens", "e.load", "e.note", F.col("e.ownTokens").alias("own_tokens"), F.col("e.importedTokens").alias("imported_tokens"), "imports"
     )
 
 
 @register("q_snapshot_scan", O.build("SELECT repo_id, rel_path, kind, load, bytes, lines FROM ctx", "ctx"))
 def q_snapshot_scan(spark, sf):
     """The context scan over a snapshot laid out by path class, written and loaded again."""
-    import uuid
-
     from weighbridge.operators.classify import scan_context_files
-    from weighbridge.session import ensure_checkpoint_dir
     from weighbridge.sinks.writers import write_snapshot
     from weighbridge.sources.readers import load_snapshot
 
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    path = _shared_path(spark, "snapshot")
     write_snapshot(snapshot(spark, sf), path)
     return scan_context_files(load_snapshot(spark, path)).select("repo_id", "rel_path", "kind", "load", "bytes", "lines")

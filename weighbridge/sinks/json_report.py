@@ -15,6 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weighbridge.functions.paths import path_order
+from weighbridge.operators.findings import finding_place
+from weighbridge.plans.ranking import rank_within
+from weighbridge.sinks.documents import document_lines, listed, once, separated
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -53,6 +57,47 @@ def import_lines(claims: DataFrame) -> DataFrame:
     return claims.select("repo_id", F.to_json(rec).alias("json"))
 
 
+def report_lines(a) -> DataFrame:
+    """``repo_id, section, p, q, line``: one payload ``{health, budget}`` per repository, as ordered lines
+    (:mod:`weighbridge.sinks.documents`): files and findings beside the score, and entries, heaviest first, beside the
+    totals. An entry that folds in files is a line that opens it, a line for each of them in path order, and one that closes it."""
+    collation = a.path_collation
+    path = F.col("rel_path")
+    in_order = lambda c: [c] if collation == "UTF8_BINARY" else [path_order(c, collation), c]
+    open_ended = lambda struct, name: F.concat(F.expr(f"left({struct}, length({struct}) - 1)"), F.lit(f',"{name}":['))
+    score = a.health.select("repo_id", F.to_json(F.struct("grade", "score", F.col("no_context").alias("noContext")), KEEP_NULLS).alias("j"))
+    opening = once(score, F.concat(F.lit('{"health":'), open_ended("j", "files")))
+    file = F.struct(path.alias("relPath"), "kind", "load", "bytes", "lines")
+    files = listed(a.context.select("repo_id", "rel_path", "kind", "load", "bytes", "lines"), F.to_json(file), in_order(path))
+    found = F.to_json(F.struct("severity", "code", "message", "suggestion", "file", F.when(F.col("line") > 0, F.col("line")).alias("line")))
+    findings = listed(a.findings, found, [*finding_place(collation), F.col("code"), F.col("message")])
+    totals = a.budget.select(
+        "repo_id",
+        F.to_json(
+            F.struct(
+                F.col("always_on_tokens").alias("alwaysOnTokens"), F.col("on_demand_tokens").alias("onDemandTokens"),
+                F.col("on_demand_count").alias("onDemandCount"), F.col("context_window").alias("contextWindow"), F.col("est_cost_usd").alias("estCostUsd"),
+            ),
+            KEEP_NULLS,
+        ).alias("j"),
+    )
+    middle = once(totals, F.concat(F.lit(']},"budget":'), open_ended("j", "entries")))
+    ranked = a.budget_ranked
+    entry = F.to_json(F.struct("label", "tokens", "load", "note", F.col("own_tokens").alias("ownTokens"), F.col("imported_tokens").alias("importedTokens")))
+    ranked = ranked.select("repo_id", F.col("rank").alias("p"), "file_path", "n_imports", entry.alias("j"))
+    folds = F.col("n_imports").isNotNull()
+    heads = ranked.select("repo_id", "p", F.lit(0).cast("long").alias("q"), separated(F.col("p"), F.when(folds, open_ended("j", "imports")).otherwise(F.col("j"))).alias("line"))
+    within = rank_within(a.claims, ["repo_id", "importer_path"], in_order(F.col("imported_path")), out="q")
+    name = F.to_json(F.array("imported_path"))
+    within = within.select("repo_id", F.col("importer_path").alias("file_path"), "q", separated(F.col("q"), F.substring(name, 2, F.length(name) - 2)).alias("line"))
+    folded = ranked.where(folds)
+    imports = within.join(folded.select("repo_id", "file_path", "p"), ["repo_id", "file_path"]).select("repo_id", "p", "q", "line")
+    ends = folded.select("repo_id", "p", (F.col("n_imports") + 1).alias("q"), F.lit("]}").alias("line"))
+    entries = heads.unionByName(imports).unionByName(ends)
+    health_mid = once(score, F.lit('],"findings":['))
+    return document_lines(opening, files, health_mid, findings, middle, entries, once(score, F.lit("]}}")))
+
+
 def scan_result_documents(results: DataFrame, findings: DataFrame) -> DataFrame:
     """Nested study records (the shape ``read_scan_results`` reads), one per repository."""
     pairs = findings.select("repo_id", "severity", "code").distinct().groupBy("repo_id").agg(

@@ -46,19 +46,21 @@ def write_reports(a, out_dir: str, scanned_at: str) -> dict[str, str]:
     The batch counterpart of running health + budget with every output format on
     each repository: ``summary/`` (one JSON document per repository),
     ``findings/``, ``entries/`` and ``imports/`` (one JSON line per finding, budget entry and imported file),
-    ``sarif/`` (SARIF documents, one per file with findings) and
-    ``results/`` (study records). Returns the paths written.
+    ``report/`` and ``sarif/`` (one payload and one SARIF document per repository, see :mod:`weighbridge.sinks.documents`)
+    and ``results/`` (study records). Returns the paths written.
     """
     import os
 
-    from weighbridge.sinks.json_report import entry_lines, finding_lines, import_lines, report_documents, scan_result_documents
-    from weighbridge.sinks.sarif import sarif_documents
+    from weighbridge.sinks.documents import write_documents
+    from weighbridge.sinks.json_report import entry_lines, finding_lines, import_lines, report_documents, report_lines, scan_result_documents
+    from weighbridge.sinks.sarif import sarif_lines
 
-    paths = {name: os.path.join(out_dir, name) for name in ("summary", "findings", "entries", "imports", "sarif", "results")}
+    paths = {name: os.path.join(out_dir, name) for name in ("summary", "findings", "entries", "imports", "report", "sarif", "results")}
     write_lines(report_documents(a), paths["summary"], "json")
     write_lines(finding_lines(a.findings), paths["findings"], "json")
     write_lines(entry_lines(a.budget_entries), paths["entries"], "json")
     write_lines(import_lines(a.claims), paths["imports"], "json")
-    write_lines(sarif_documents(a.findings, a.health), paths["sarif"], "sarif")
+    write_documents(report_lines(a), paths["report"], mode="overwrite")
+    write_documents(sarif_lines(a.findings, a.health, collation=a.path_collation), paths["sarif"], mode="overwrite")
     write_scan_results(scan_result_documents(a.scan_results(scanned_at), a.findings), paths["results"], mode="overwrite")
     return paths
