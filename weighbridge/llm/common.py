@@ -30,9 +30,11 @@ def lookup(rows: DataFrame, entries: DataFrame, keys: list[str], values: list[st
     broadcast; their rows are then salted by ``spread`` in the shuffled join
     that serves all other keys.
     """
+    # not a literal: the optimizer would take a constant out of the join keys, and the salt with it
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
     is_hot = F.col(size) * HOT_KEYS > F.lit(int(total))
     hot = entries.where(is_hot).select(*keys, F.struct(*values).alias("_hot"))
-    cold = entries.where(~is_hot).select(*keys, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt"))
+    cold = entries.where(~is_hot).select(*keys, F.struct(*values).alias("_cold"), zero.alias("_salt"))
     salt = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(65_521))).otherwise(0).cast("int")
     out = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left")
     found = F.coalesce("_hot", "_cold")
