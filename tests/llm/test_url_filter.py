@@ -43,6 +43,22 @@ def test_verdicts_equal_plain_matching(spark, monkeypatch, max_broadcast):
     assert got == {i: plain(u) for i, u in rows}
 
 
+def test_hosts_of_many_labels_have_few_keys(spark):
+    import time
+
+    deep = ".".join(["x"] * 60_000)
+    rows = list(enumerate([f"http://{deep}.example.com/en/a", f"http://{deep}/", "http://" + "." * 60_000 + "net/es/", f"http://{deep}.y.x.net/"]))
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    rules = spark.createDataFrame([*RULES, ("block", "a.b.c.d.example.com", "/")], "action string, host string, path string")
+    assert U.judge_urls(df.limit(1), rules).count() == 1  # started
+    t0 = time.time()
+    judged = U.judge_urls(df, rules)
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judged.collect()}
+    assert got == {i: plain(u) for i, u in rows} and time.time() - t0 < 20
+    keys = U.candidate_keys(U.host_path(df, "url"), [1, 3, 4], [1, 2, 3, 6]).selectExpr("max(size(keys)) AS n").first()["n"]
+    assert keys <= 12
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "action string, host string, path string")
     one = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")

@@ -92,16 +92,22 @@ def member(hashes: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarr
     return state
 
 
-def candidate_keys(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """Adds ``keys``: the keys each row's ``host`` and ``path`` could match, longest first."""
-    labels = F.split("host", r"\.")
-    suffix = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    )
+def candidate_keys(rows: DataFrame, lengths: list[int], labels: list[int]) -> DataFrame:
+    """Adds ``keys``: the keys each row's ``host`` and ``path`` could match, longest first.
+
+    ``lengths`` and ``labels``: the path lengths and the numbers of host labels that rules have. A host's suffixes of other
+    numbers of labels match no rule, so a host of any length has as many keys as these allow."""
+    have = F.when(F.col("host") == "", 0).otherwise(F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1)
+    suffixes = [F.when(F.col("_labels") >= n, F.substring_index("host", ".", -n)) for n in sorted(labels, reverse=True)]
+    none = F.array().cast("array<string>")
     cuts = F.filter(F.array(*[F.lit(n) for n in sorted(lengths, reverse=True)]) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("path"))
-    return rows.withColumn("_cuts", F.transform(cuts, lambda n: F.substring(F.col("path"), F.lit(1), n))).withColumn(
-        "keys", F.flatten(F.transform(suffix, lambda h: F.transform(F.col("_cuts"), lambda p: F.concat(h, p))))
+    rows = rows.withColumn("_labels", have).withColumns(
+        {
+            "_hosts": F.array_compact(F.array(*suffixes)) if suffixes else none,
+            "_cuts": F.transform(cuts, lambda n: F.substring(F.col("path"), F.lit(1), n)),
+        }
     )
+    return rows.withColumn("keys", F.flatten(F.transform("_hosts", lambda h: F.transform(F.col("_cuts"), lambda p: F.concat(h, p)))))
 
 
 def _cascades(universe: DataFrame, shards: int) -> DataFrame:
@@ -132,10 +138,12 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", url_co
     """``urls`` with ``host, path, rule, verdict``; ``rules`` has ``action`` (allow or block), ``host``, ``path``."""
     spark = urls.sparkSession
     rules = rules.where((F.col("host") != "") & F.col("path").isNotNull() & F.col("action").isin("allow", "block"))
-    rules = rules.select(F.col("action"), F.concat(ascii_lower(F.col("host")), "path").alias("key"), F.length("path").alias("cut"))
+    n_labels = F.size(F.split("host", r"\.")).alias("labels")
+    rules = rules.select(F.col("action"), F.concat(ascii_lower(F.col("host")), "path").alias("key"), F.length("path").alias("cut"), n_labels)
     lengths = [r["cut"] for r in rules.select("cut").distinct().collect()]  # as many as there are path lengths
-    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "keys", "_cuts")]
-    judged = candidate_keys(host_path(urls.select(*kept), url_col), lengths)
+    labels = [r["labels"] for r in rules.select("labels").distinct().collect()]
+    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "keys", "_cuts", "_hosts", "_labels")]
+    judged = candidate_keys(host_path(urls.select(*kept), url_col), lengths, labels)
     listed = rules.groupBy("key").agg(F.max(F.col("action") == "block").alias("block"))
     seen = judged.select(F.explode("keys").alias("key")).distinct()
     universe = seen.join(listed, "key", "left").select("key", F.coalesce("block", F.lit(False)).alias("block"), F.coalesce(~F.col("block"), F.lit(False)).alias("allow"))
