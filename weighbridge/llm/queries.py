@@ -168,19 +168,18 @@ def op5_licenses(spark, sf):
 
 # ---- 8: token rollups ----------------------------------------------------------
 OP8_SQL = r"""
-WITH w AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n1,
-                  len(regexp_extract_all(coalesce(split_part(text, chr(10), 1), ''), '[^\x20\x09-\x0D]+')) AS head,
+WITH w AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n1,
                   len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}+')) AS n2 FROM documents),
-t AS (SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN doc_id % 5 = 0 THEN n1 - head ELSE n1 END AS n FROM w WHERE doc_id % 11 <> 3
-      UNION ALL SELECT source, lang, 'words-2', n2 FROM w WHERE doc_id % 11 <> 3)
+t AS (SELECT source, lang, 'words-1' AS tokenizer, n1 AS n FROM w UNION ALL SELECT source, lang, 'words-2', n2 FROM w)
 SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM t GROUP BY ALL
 """
 
 
 @register("op8_rollups", OP8_SQL)
 def op8_rollups(spark, sf):
-    """Inserts every document, revises some (their first line taken out), deletes some, counts the rest
-    with a second tokenizer version, and replays two of the batches; then compacts."""
+    """Inserts every document, revises some (their first line taken out), deletes some, counts all
+    with a second tokenizer version, puts everything back and replays three of the batches; then compacts. The totals
+    are those of all documents, whole."""
     import uuid
 
     from weighbridge.llm.rollups import RollupStore
@@ -188,22 +187,23 @@ def op8_rollups(spark, sf):
 
     words = lambda c: F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
-    old, head = words(F.col("text")), words(F.substring_index("text", "\n", 1))
-    revised = F.when(F.col("doc_id") % 5 == 0, old - head).otherwise(old)
+    full, head = words(F.col("text")), words(F.substring_index("text", "\n", 1))
+    shortened, dropped = (F.coalesce(F.col("doc_id") % m == r, F.lit(False)) for m, r in ((5, 0), (11, 3)))
     none = F.lit(None).cast("long")
 
     def batch(rows, tokenizer, op, before, after):
         return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(op).alias("op"), before.alias("old_tokens"), after.alias("new_tokens"))
 
-    kept = docs.where(F.col("doc_id") % 11 != 3)
-    insert = batch(docs, "words-1", "insert", none, old)
-    revise = batch(docs.where(F.col("doc_id") % 5 == 0), "words-1", "revise", old, old - head)
-    delete = batch(docs.where(F.col("doc_id") % 11 == 3), "words-1", "delete", revised, none)
+    insert = batch(docs, "words-1", "insert", none, full)
+    revise = batch(docs.where(shortened), "words-1", "revise", full, full - head)
+    delete = batch(docs.where(dropped), "words-1", "delete", F.when(shortened, full - head).otherwise(full), none)
     letters = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+|\p{N}+")).cast("long")
-    upgrade = batch(kept, "words-2", "insert", none, letters)
+    upgrade = batch(docs, "words-2", "insert", none, letters)
+    restore = batch(docs.where(dropped), "words-1", "insert", none, full).unionByName(batch(docs.where(shortened & ~dropped), "words-1", "revise", full - head, full))
     store = RollupStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/rollups-{uuid.uuid4().hex}")
-    for name, changes in (("load", insert), ("revise", revise), ("delete", delete), ("revise", revise), ("upgrade", upgrade), ("delete", delete)):
-        store.apply(name, changes)
+    batches = {"load": insert, "revise": revise, "delete": delete, "upgrade": upgrade, "restore": restore}
+    for name in ("load", "revise", "delete", "revise", "upgrade", "delete", "restore", "restore"):
+        store.apply(name, batches[name])
     store.compact()
     return store.totals()
 

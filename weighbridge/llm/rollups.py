@@ -13,7 +13,8 @@ commit row counts never. :meth:`compact` folds batches into one attempt that nam
 
 Defined cases: null source, language or tokenizer are groups of their own; a null count
 is 0; an unknown or null op is an error, for dropping it would falsify totals; groups
-whose documents and tokens are all 0 are not listed; empty batches commit.
+whose documents and tokens are all 0 are not listed; empty batches commit; repeated rows are changes each. Counts are
+numbers, so a very long text is no case of its own, and other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -62,14 +63,14 @@ class RollupStore:
     def _commits(self) -> DataFrame:
         return self.spark.read.schema("attempt string, batches array<string>").parquet(f"{self.path}/commits")
 
-    def _live(self) -> list[str]:
-        """Attempts that count: larger sets of batches first, then by name, none that repeats a batch."""
-        rows = sorted(self._commits().collect(), key=lambda r: (-len(r["batches"]), r["attempt"]))
+    @staticmethod
+    def _live(commits: list) -> list:
+        """Commit rows that count: larger sets of batches first, then by name, none that repeats a batch."""
         seen, live = set(), []
-        for r in rows:
+        for r in sorted(commits, key=lambda r: (-len(r["batches"]), r["attempt"])):
             if not seen & set(r["batches"]):
                 seen |= set(r["batches"])
-                live.append(r["attempt"])
+                live.append(r)
         return live
 
     def committed(self) -> set[str]:
@@ -88,14 +89,20 @@ class RollupStore:
         self._write(signed_deltas(changes), "batch", [batch])
         return True
 
-    def totals(self) -> DataFrame:
-        live = self._live()
+    def _sums(self, live: list) -> DataFrame:
         if not live:
             return self.spark.createDataFrame([], TOTALS)
-        deltas = self.spark.read.schema(TOTALS).parquet(*[f"{self.path}/deltas/{a}" for a in live])
+        deltas = self.spark.read.schema(TOTALS).parquet(*[f"{self.path}/deltas/{r['attempt']}" for r in live])
         sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
+    def totals(self) -> DataFrame:
+        return self._sums(self._live(self._commits().collect()))
+
     def compact(self) -> None:
-        """One attempt for all batches so far; older attempts no longer count."""
-        self._write(self.totals(), "base", sorted(self.committed()))
+        """One attempt for all batches so far; older attempts no longer count.
+
+        The commits are read once: the sums and the batches that the new attempt names are those of the same rows, so a batch
+        that is committed meanwhile stays an attempt of its own."""
+        live = self._live(self._commits().collect())
+        self._write(self._sums(live), "base", sorted(b for r in live for b in r["batches"]))
