@@ -29,12 +29,14 @@ so a hot word, pair or document group is one entry per chunk and owner.
 
 Defined cases: null and empty texts are the end alone; a null id counts as training data and is
 scored; repeated rows count and are scored as often as they occur; without training
-data every probability is 1 and every score 0. Other columns are ignored.
+data every probability is 1 and every score 0; a very long text is a chunk of its own, whole; ties do not arise, counts
+being all that decides. Other columns are ignored, whatever their names.
+
+The chunk table lies below the checkpoint folder and is removed when the scores are written.
 """
 
 from __future__ import annotations
 
-import uuid
 from itertools import count
 
 import numpy as np
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weighbridge.llm.common import materialize
+from weighbridge.llm.common import bucketed, materialize
 
 CHUNK = 2 << 20  # tokens
 HOT = 10_000
@@ -398,10 +400,16 @@ def katz_scores(docs: DataFrame, folds: int = 7, out_fold: int = 2, chunk_tokens
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; learns from
     rows whose id's fold is not ``out_fold``."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"katz_{uuid.uuid4().hex}"
-    chunk_rows(docs, folds, out_fold, chunk_tokens, id_col, text_col).write.bucketBy(parts, "chunk").format("parquet").saveAsTable(name)
-    chunks = spark.table(name)
+    rows = chunk_rows(docs, folds, out_fold, chunk_tokens, id_col, text_col)
+    with bucketed(rows, int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk", "katz") as chunks:
+        # as many owners as chunks: what an owner holds does not grow with the corpus
+        out, total = _scored(chunks, parts or max(1, chunks.count()))
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _scored(chunks: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """The scores of the chunks' documents, as a written table, and the number of training tokens."""
+    spark = chunks.sparkSession
     asked = materialize(word_answers(word_requests(chunks, parts)), "katz-words")
     total, types, *once = _sum_stats(asked, LOW + 3)
     words = Words(total, types, once)
@@ -452,6 +460,4 @@ def katz_scores(docs: DataFrame, folds: int = 7, out_fold: int = 2, chunk_tokens
     both = kind.unionByName(told.select("chunk", "part", F.lit(1).alias("kind"), "counts", "full", "at", "mass"), allowMissingColumns=True)
     schema = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scored = chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(run, schema)
-    out = materialize(scored, "katz-scores")
-    spark.sql(f"DROP TABLE {name}")
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return materialize(scored, "katz-scores"), total
