@@ -49,3 +49,30 @@ def test_resolve_cases(spark):
     df = spark.createDataFrame([(i, s) for i, s, _ in cases], "imp string, spec string")
     got = [r[0] for r in df.select(resolve_import(F.col("imp"), F.col("spec"))).collect()]
     assert got == [w for _, _, w in cases]
+
+
+def test_path_order_literal_rows_and_ties(spark):
+    from tests.conftest import files_df
+    from weighbridge import audit
+
+    composed, decomposed = "dé/CLAUDE.md", "dé/CLAUDE.md"  # compare equal under ICU collation
+    names = ["_z/CLAUDE.md", "A/CLAUDE.md", "a/CLAUDE.md", "B/CLAUDE.md", composed, decomposed, "e/CLAUDE.md", "z1/CLAUDE.md", "z10/CLAUDE.md", "z2/CLAUDE.md"]
+    gone = files_df(spark, [(n, "@../shared.md\n@gone.md\n") for n in reversed(names)] + [("shared.md", "s" * 40)]).repartition(4)
+    orders = {
+        "UTF8_BINARY": sorted(names),
+        "UNICODE": ["_z/CLAUDE.md", "a/CLAUDE.md", "A/CLAUDE.md", "B/CLAUDE.md", decomposed, composed, "e/CLAUDE.md", "z1/CLAUDE.md", "z10/CLAUDE.md", "z2/CLAUDE.md"],
+    }
+    for collation, want in orders.items():
+        for _ in range(2):
+            a = audit(gone, weigher="bytes4", path_collation=collation)
+            assert [(r["imported_path"], r["importer_path"]) for r in a.claims.collect()] == [("shared.md", want[0])]
+            assert [r["label"] for r in a.budget_ranked.orderBy("rank").collect()] == want  # one claims, all weigh the same but it
+            assert [r["first_file"] for r in a.finding_groups.collect()] == [want[0]]
+            from weighbridge.sinks import sarif_lines
+
+            lines = sarif_lines(a.findings, a.health, collation=collation).where("section = 1").orderBy("p").collect()
+            assert [r["line"].split('"uri":"')[1].split('"')[0] for r in lines] == want
+            a.release()
+    only = files_df(spark, [(n, "@../shared.md\n") for n in (composed, decomposed)] + [("shared.md", "s" * 40)])
+    got = audit(only, weigher="bytes4", path_collation="UNICODE").claims.collect()
+    assert [r["importer_path"] for r in got] == [decomposed]  # equal by collation: binary order decides

@@ -159,6 +159,43 @@ def test_tree_source_splits_a_repository_and_skips_unaudited_names(spark):
     assert spark.read.format("weighbridge_tree").option("partitions", "3").load(root).count() == len(want) + 2
 
 
+def test_large_trees_are_listed_and_read_by_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from weighbridge.sources import tree
+
+    root, want = tempfile.mkdtemp(prefix="wb-tree-"), {}
+
+    def put(rel, data):
+        os.makedirs(os.path.dirname(os.path.join(root, rel)), exist_ok=True)
+        with open(os.path.join(root, rel), "wb") as fh:
+            fh.write(data)
+        repo, path = rel.split("/", 1)
+        want[repo, path] = data.decode("utf-8", errors="replace")
+
+    for i in range(40):
+        put(f"mono/p{i % 4}/q{i}/.cursor/rules/r{i}.mdc", b"x" * (i * 500))
+        put(f"mono/p{i % 4}/q{i}/.mcp.json", b"{}")
+    put("mono/" + "/".join(["deep"] * 60) + "/CLAUDE.md", b"deep")
+    put("small/_x/bad.md", b"\xff\xfeok")
+    put("small/logo.png", b"\x00" * 9000)
+    os.symlink(os.path.join(root, "mono"), os.path.join(root, "small", "link"))
+    os.makedirs(os.path.join(root, "empty"))
+    scans, scandir = [], os.scandir
+    monkeypatch.setattr(os, "scandir", lambda p: scans.append(str(p)) or scandir(p))
+    listed = tree.list_tree(spark, root, folders=16)
+    assert [p for p in scans if p.startswith(root)] == [root]  # the driver lists the root alone
+    assert {(r["repo_id"], r["rel_path"]): r["bytes"] for r in listed.collect()}.keys() == want.keys()
+    df = tree.read_tree(spark, root, piece_bytes=40_000, folders=16)
+    got = {(r["repo_id"], r["rel_path"]): r["content"] for r in df.collect()}
+    assert got == want
+    per_task = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.sum(F.length("content") + tree.FILE_BYTES).alias("n")).collect()]
+    assert len(per_task) > 10 and max(per_task) < 80_000
+    audited = tree.read_tree(spark, root, only="audit")
+    assert {r["rel_path"] for r in audited.collect()} == {p for _, p in want} - {"logo.png"}
+    assert tree.read_tree(spark, tempfile.mkdtemp(prefix="wb-none-")).collect() == []
+
+
 def test_incremental_scan_batch_and_stream(spark):
     snap, man = tempfile.mkdtemp(prefix="wb-snap-"), tempfile.mkdtemp(prefix="wb-man-")
     res = os.path.join(tempfile.mkdtemp(prefix="wb-res-"), "results")
