@@ -48,20 +48,30 @@ def test_sarif_one_document_per_repository(spark):
 def test_documents_split_over_many_files_keep_their_order(spark):
     from pyspark.sql import functions as F
 
-    from weighbridge.sinks.documents import document_lines, listed, once
+    from weighbridge.sinks.documents import document_lines, listed, once, repository
 
     repos = spark.createDataFrame([("big/one",), ("007",), ("none",)], "repo_id string")
     items = spark.range(5000).select(F.when(F.col("id") % 50 > 0, "big/one").otherwise("007").alias("repo_id"), F.col("id")).repartition(7)
-    lines = document_lines(once(repos, F.lit('{"n":[')), listed(items, F.to_json(F.struct("id")), [F.col("id")]), once(repos, F.lit("]}")))
+    lines = document_lines(once(repos, F.concat(F.lit("{"), repository(), F.lit(',"n":['))), listed(items, F.to_json(F.struct("id")), [F.col("id")]), once(repos, F.lit("]}")))
     out = os.path.join(tempfile.mkdtemp(prefix="wb-doc-"), "d")
     write_documents(lines, out, lines_per_file=300)
     docs = {repo: json.loads(text) for repo, text in _assembled(out).items()}
     want = {"big%2Fone": [i for i in range(5000) if i % 50], "007": list(range(0, 5000, 50)), "none": []}
     assert {k: [x["id"] for x in d["n"]] for k, d in docs.items()} == want
     assert len([n for n in os.listdir(os.path.join(out, "repo_id=big%2Fone")) if n.startswith("part-")]) >= 16
-    back = read_documents(spark, out).where("repo_id = 'big/one'").orderBy("position").collect()
-    assert [r["position"] for r in back] == list(range(4902)) and json.loads("".join(r["line"] for r in back))["n"][7]["id"] == 8
-    assert read_documents(spark, out).where("repo_id = '007'").count() == 102
+    assert {d["repository"] for d in docs.values()} == {"big/one", "007", "none"}
+    odd = lines.withColumn("repo_id", F.when(F.col("repo_id") == "none", 'q"\\é\n').otherwise(F.col("repo_id")))
+    odd = odd.withColumn("line", F.when((F.col("section") == 0) & (F.col("repo_id") == 'q"\\é\n'), F.concat(F.lit("{"), repository(), F.lit(',"n":['))).otherwise(F.col("line")))
+    bundle = out + "-bundle"
+    write_documents(odd, bundle, by_repository=False, lines_per_file=37)
+    back = {}
+    for r in read_documents(spark, bundle).orderBy("repo_id", "position").collect():
+        back.setdefault(r["repo_id"], []).append(r)
+    assert {k: len(v) for k, v in back.items()} == {"big/one": 4902, "007": 102, 'q"\\é\n': 2}
+    for repo, rows in back.items():
+        assert [r["position"] for r in rows] == list(range(len(rows)))
+        assert json.loads("".join(r["line"] for r in rows))["repository"] == repo
+    assert json.loads("".join(r["line"] for r in back["big/one"]))["n"] == [{"id": i} for i in want["big%2Fone"]]
 
 
 def test_report_payload_has_findings_entries_and_imports(spark):
@@ -82,6 +92,7 @@ def test_report_payload_has_findings_entries_and_imports(spark):
     assert entries[0]["imports"] == ["docs/a.md", "docs/b.md"] and entries[0]["importedTokens"] == 30 and "imports" not in entries[1]
     assert entries[2]["note"] and one["budget"]["onDemandCount"] == 1 and one["budget"]["estCostUsd"] > 0
     assert none == {
+        "repository": "r_none",
         "health": {"grade": "N/A", "score": None, "noContext": True, "files": [], "findings": []},
         "budget": {"alwaysOnTokens": 0, "onDemandTokens": 0, "onDemandCount": 0, "contextWindow": 200000, "estCostUsd": 0.0, "entries": []},
     }

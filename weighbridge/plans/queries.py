@@ -569,9 +569,9 @@ def q_incremental_scan(spark, sf):
 
 # ---- documents -----------------------------------------------------------------
 def _written(spark, lines: DataFrame, name: str) -> DataFrame:
-    """Documents written by repository, and their lines read back without leading commas."""
+    """Documents written as a bundle, and their lines read back without leading commas."""
     path = _shared_path(spark, name)
-    write_documents(lines, path)
+    write_documents(lines, path, by_repository=False)
     return read_documents(spark, path).withColumn("json", F.ltrim("line", F.lit(",")))
 
 
@@ -646,7 +646,7 @@ def q_json_report(spark, sf):
     """Score and totals of the written payloads, read back from their opening and middle lines."""
     rows = _report_back(spark, sf)
     health = F.from_json(F.concat("json", F.lit("]}}")), "struct<health: struct<grade: string, score: long, noContext: boolean>>")["health"]
-    top = rows.where(F.col("json").startswith('{"health":')).select("repo_id", health.alias("h"))
+    top = rows.where(F.col("position") == 0).select("repo_id", health.alias("h"))
     budget = F.from_json(
         F.concat(F.lit("{"), F.substring("json", 4, 1_000_000), F.lit("]}}")),
         "struct<budget: struct<alwaysOnTokens: long, onDemandTokens: long, onDemandCount: long, estCostUsd: double>>",

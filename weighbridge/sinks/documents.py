@@ -2,11 +2,13 @@
 
 A document (one per repository) is a run of sections: texts that occur once, and lists with a line per
 item. Lists are numbered by a range-partitioned rank, so their separators and the lines' order are known without
-gathering a repository; all items but a list's first open with a comma. The lines of a document, one after another, are one JSON text.
+gathering a repository; all items but a list's first open with a comma. The first line names the repository; the lines
+of a document, one after another, are one JSON text.
 
-:func:`write_documents` deals all lines by range and writes them in order, a folder per repository: its part files, in the order
-of their names, are the document, and a repository with a third of all lines is written by many tasks.
-:func:`read_documents` numbers the lines again.
+:func:`write_documents` deals all lines by range and writes them in order, so a repository with a third of all lines is
+written by many tasks: by repository, a folder each, whose part files in the order of their names are the document (for tools that
+want a file per repository), or bundled, all documents one after another in the part files of one folder.
+:func:`read_documents` reads bundles and numbers their lines again.
 """
 
 from __future__ import annotations
@@ -18,6 +20,12 @@ from pyspark.sql import Window as W
 from weighbridge.plans.ranking import rank_within
 
 PLACE = ["section", "p", "q"]
+OPENS = r'^\{(?:"properties":\{)?"repository":"((?:[^"\\]|\\.)*)"'
+
+
+def repository() -> Column:
+    """The field that an opening line starts with, after its brace or that of a bag of properties."""
+    return F.concat(F.lit('"repository":'), F.expr("substring(to_json(array(repo_id)), 2, length(to_json(array(repo_id))) - 2)"))
 
 
 def once(df: DataFrame, line: Column) -> DataFrame:
@@ -47,19 +55,33 @@ def document_lines(*sections: DataFrame) -> DataFrame:
     return out
 
 
-def write_documents(lines: DataFrame, path: str, mode: str = "error", lines_per_file: int = 200_000) -> None:
-    """Every document as part files of ``path/repo_id=.../``, of at most ``lines_per_file`` lines."""
+def write_documents(lines: DataFrame, path: str, by_repository: bool = True, mode: str = "error", lines_per_file: int = 200_000) -> None:
+    """Every document in part files of at most ``lines_per_file`` lines, in ``path/repo_id=.../`` or bundled in ``path``."""
     ordered = lines.repartitionByRange("repo_id", *PLACE).sortWithinPartitions("repo_id", *PLACE)
-    out = ordered.select("repo_id", F.col("line").alias("value"))
-    out.write.mode(mode).option("maxRecordsPerFile", lines_per_file).partitionBy("repo_id").text(path)
+    if by_repository:
+        out = ordered.select("repo_id", F.col("line").alias("value")).write.partitionBy("repo_id")
+    else:
+        out = ordered.select(F.col("line").alias("value")).write
+    out.mode(mode).option("maxRecordsPerFile", lines_per_file).text(path)
 
 
 def read_documents(spark, path: str) -> DataFrame:
-    """``repo_id, position, line``: the lines of written documents, numbered from 0."""
-    files = spark.read.schema("value string, repo_id string").text(path, wholetext=True)
-    files = files.select("repo_id", F.col("_metadata.file_name").alias("file"), F.split(F.rtrim("value", F.lit("\n")), "\n").alias("lines"))
-    sizes = files.select("repo_id", "file", F.size("lines").alias("n"))
-    before = W.partitionBy("repo_id").orderBy(F.length("file"), "file").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select("repo_id", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    rows = files.select("repo_id", "file", F.posexplode("lines").alias("i", "line")).join(sizes, ["repo_id", "file"])
-    return rows.select("repo_id", (F.col("first") + F.col("i")).alias("position"), "line")
+    """``repo_id, position, line``: the lines of bundled documents, numbered from 0 in each.
+
+    A file holds a bounded number of lines; a document that began in an earlier file is found through the last
+    opening line of each file, one short row per file."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split(F.rtrim("value", F.lit("\n")), "\n").alias("lines"))
+    rows = files.select("file", F.posexplode("lines").alias("i", "line"))
+    name = F.regexp_extract("line", OPENS, 1)
+    opened = F.from_json(F.concat(F.lit('["'), name, F.lit('"]')), "array<string>")[0]
+    rows = rows.withColumn("opens", F.when(F.col("line").rlike(OPENS), opened))
+    spot = lambda at: F.when(F.col("opens").isNotNull(), F.struct(F.col("opens").alias("repo_id"), at.alias("at")))
+    each = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max_by(spot(F.col("i")), F.when(F.col("opens").isNotNull(), F.col("i"))).alias("last"))
+    before = W.orderBy(F.length("file"), "file").rowsBetween(W.unboundedPreceding, -1)  # a row per file
+    each = each.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    open_at = F.when(F.col("last").isNotNull(), F.struct(F.col("last.repo_id").alias("repo_id"), (F.col("first") + F.col("last.at")).alias("at")))
+    each = each.select("file", "first", F.last(open_at, ignorenulls=True).over(before).alias("carried"))
+    rows = rows.join(each, "file").withColumn("g", F.col("first") + F.col("i"))
+    inside = W.partitionBy("file").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("doc", F.coalesce(F.last(spot(F.col("g")), ignorenulls=True).over(inside), "carried"))
+    return rows.select(F.col("doc.repo_id").alias("repo_id"), (F.col("g") - F.col("doc.at")).alias("position"), "line")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from weighbridge.functions.paths import path_order
 from weighbridge.operators.findings import finding_place
 from weighbridge.plans.ranking import rank_within
-from weighbridge.sinks.documents import document_lines, listed, once, separated
+from weighbridge.sinks.documents import document_lines, listed, once, repository, separated
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -58,7 +58,7 @@ def import_lines(claims: DataFrame) -> DataFrame:
 
 
 def report_lines(a) -> DataFrame:
-    """``repo_id, section, p, q, line``: one payload ``{health, budget}`` per repository, as ordered lines
+    """``repo_id, section, p, q, line``: one payload ``{repository, health, budget}`` per repository, as ordered lines
     (:mod:`weighbridge.sinks.documents`): files and findings beside the score, and entries, heaviest first, beside the
     totals. An entry that folds in files is a line that opens it, a line for each of them in path order, and one that closes it."""
     collation = a.path_collation
@@ -66,7 +66,7 @@ def report_lines(a) -> DataFrame:
     in_order = lambda c: [c] if collation == "UTF8_BINARY" else [path_order(c, collation), c]
     open_ended = lambda struct, name: F.concat(F.expr(f"left({struct}, length({struct}) - 1)"), F.lit(f',"{name}":['))
     score = a.health.select("repo_id", F.to_json(F.struct("grade", "score", F.col("no_context").alias("noContext")), KEEP_NULLS).alias("j"))
-    opening = once(score, F.concat(F.lit('{"health":'), open_ended("j", "files")))
+    opening = once(score, F.concat(F.lit("{"), repository(), F.lit(',"health":'), open_ended("j", "files")))
     file = F.struct(path.alias("relPath"), "kind", "load", "bytes", "lines")
     files = listed(a.context.select("repo_id", "rel_path", "kind", "load", "bytes", "lines"), F.to_json(file), in_order(path))
     found = F.to_json(F.struct("severity", "code", "message", "suggestion", "file", F.when(F.col("line") > 0, F.col("line")).alias("line")))

@@ -1,6 +1,6 @@
 """SARIF 2.1.0: one document per repository, as ordered lines (:mod:`weighbridge.sinks.documents`).
 
-The first line opens the run and names its rules: the distinct codes of the repository's findings by first
+The first line names the repository in the document's properties, opens the run and names its rules: the distinct codes of the repository's findings by first
 appearance, at most one per code. Then comes a line per finding, in the order of findings, and a closing line, which for a
 repository without context files holds a note instead of an empty clean run. Null optional fields (``region``
 without a line, ``locations`` without a file) drop out of ``to_json`` by themselves.
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weighbridge import dims
 from weighbridge.operators.findings import finding_place
-from weighbridge.sinks.documents import document_lines, listed, once
+from weighbridge.sinks.documents import document_lines, listed, once, repository
 
 TOOL_NAME = "weighbridge"
 
@@ -44,7 +44,9 @@ def sarif_lines(findings: DataFrame, health: DataFrame, version: str = "0.1.0",
     rules = F.transform(F.coalesce("codes", F.array().cast("array<string>")), rule)
     driver = F.struct(F.lit(TOOL_NAME).alias("name"), F.lit(version).alias("version"), rules.alias("rules"))
     opening = F.concat(
-        F.lit(f'{{"$schema":"{dims.SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":'),
+        F.lit('{"properties":{'),
+        repository(),
+        F.lit(f'}},"$schema":"{dims.SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":'),
         F.to_json(F.struct(driver.alias("driver"))),
         F.lit(',"results":['),
     )
