@@ -83,6 +83,18 @@ def test_pairs_of_dense_fingerprints(spark, monkeypatch, max_bits):
     assert {i: stars.get(i, i) for i in fps} == grouped(fps, max_bits)
 
 
+def test_descent_equals_comparing_with_every_vantage_point():
+    rng = np.random.default_rng(9)
+    fps = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    points, radii = simhash.build_tree(fps[:900])
+    over = np.bitwise_count(fps[:, None] ^ points[None, :]).astype(np.int16) - radii
+    inside = over <= 0
+    want = np.where(inside.any(axis=1), inside.argmax(axis=1), len(points))
+    home, row, shard = simhash.descend(fps, points, radii, 4)
+    near = np.argwhere((over <= 4) & (np.arange(len(points)) < want[:, None]))
+    assert np.array_equal(home, want) and sorted(zip(row.tolist(), shard.tolist(), strict=True)) == [tuple(x) for x in near.tolist()]
+
+
 def test_null_ids_repeated_rows_and_empty(spark):
     rows = [(None, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (1, "A B C D E"), (None, None)]
     got = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()

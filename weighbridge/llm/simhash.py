@@ -21,7 +21,8 @@ streamed past them, so a dense ball needs no large task.
 
 Defined cases: null and empty texts have the fingerprint zero. A null id is
 returned with its fingerprint and a null ``component_id`` and links to nothing.
-Repeated rows are returned as often as they occur. Other columns are ignored.
+Repeated rows are returned as often as they occur; ties need no rule, a group being named by its smallest id; very long
+texts are hashed whole; an empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from weighbridge.llm.common import components, lookup, materialize, roots
 LEAF = 8  # sample fingerprints inside a vantage point's ball
 MAX_SAMPLE = 65_536
 BLOCK = 4096  # home rows of a shard that one task holds
+NODES, BATCH = 64, 8192  # vantage points, and fingerprints, compared at a time (some MB of distances)
 
 
 def text_fingerprint(text: bytes | None, shingle: int) -> int:
@@ -88,16 +90,27 @@ def build_tree(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(points, np.uint64), np.array(radii, np.int16)
 
 
-def _homes(fps: np.ndarray, points: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Home shard of each fingerprint (``len(points)``: outside every ball), and its distances less the radii."""
-    over = np.bitwise_count(fps[:, None] ^ points[None, :]).astype(np.int16) - radii
-    inside = over <= 0
-    return np.where(inside.any(axis=1), inside.argmax(axis=1), len(points)), over
-
-
-def _step(points: np.ndarray) -> int:
-    """Fingerprints compared with all vantage points at a time (some 16 MB of distances)."""
-    return max(1, 2_000_000 // len(points))
+def descend(fps: np.ndarray, points: np.ndarray, radii: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passes fingerprints down the tree as one batch: the home shard of each (``len(points)``: outside every ball), and the
+    boundary shards passed on the way, as ``row, shard``.
+
+    A fingerprint leaves the batch in the ball that takes it, and no node below is compared with it; a ball
+    whose radius it exceeds by more than ``max_bits`` is dropped by the triangle bound."""
+    home = np.full(len(fps), len(points), np.int64)
+    rows, shards, left = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(fps))
+    for at in range(0, len(points), NODES):
+        if not len(left):
+            break
+        over = np.bitwise_count(fps[left, None] ^ points[None, at : at + NODES]).astype(np.int16) - radii[at : at + NODES]
+        inside = over <= 0
+        first = np.where(inside.any(axis=1), inside.argmax(axis=1), over.shape[1])
+        row, shard = np.nonzero((over <= max_bits) & (np.arange(over.shape[1]) < first[:, None]))
+        rows.append(left[row])
+        shards.append(at + shard)
+        taken = first < over.shape[1]
+        home[left[taken]] = at + first[taken]
+        left = left[~taken]
+    return home, np.concatenate(rows), np.concatenate(shards)
 
 
 def near_pairs(classes: DataFrame, max_bits: int) -> DataFrame:
@@ -118,9 +131,8 @@ def near_pairs(classes: DataFrame, max_bits: int) -> DataFrame:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             counts = np.zeros(len(points) + 1, np.int64)
-            step = _step(points)
-            for at in range(0, len(fps), step):
-                counts += np.bincount(_homes(fps[at : at + step], points, radii)[0], minlength=len(points) + 1)
+            for at in range(0, len(fps), BATCH):
+                counts += np.bincount(descend(fps[at : at + BATCH], points, radii, 0)[0], minlength=len(points) + 1)
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["shard", "n"])
 
@@ -137,13 +149,11 @@ def near_pairs(classes: DataFrame, max_bits: int) -> DataFrame:
         for batch in batches:
             all_fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             all_reps = batch.column(1).to_numpy(zero_copy_only=False)
-            step = _step(points)
-            for at in range(0, len(all_fps), step):
-                fps, reps = all_fps[at : at + step], all_reps[at : at + step]
-                home, over = _homes(fps, points, radii)
+            for at in range(0, len(all_fps), BATCH):
+                fps, reps = all_fps[at : at + BATCH], all_reps[at : at + BATCH]
+                home, row, shard = descend(fps, points, radii, max_bits)
                 own = ((fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts[home]
                 # queries: boundary shards passed before home, and the later blocks of a home cut in several
-                row, shard = np.nonzero((over <= max_bits) & (np.arange(len(points)) < home[:, None]))
                 wide = np.flatnonzero(parts[home] > 1)
                 row, shard = np.concatenate([row, wide]), np.concatenate([shard, home[wide]])
                 times = parts[shard]
