@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+from collections import Counter
 
 from weighbridge.llm import decontam, licenses
 
@@ -45,20 +47,60 @@ def test_planted_overlaps(spark, monkeypatch):
     assert decontam.overlaps(df, spark.createDataFrame([], "item_id long, text string")).collect() == []
 
 
+def _split(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def brute_licences(rows, known, dice=0.8):
+    """Every span of every text against every template, by counters."""
+    found = set()
+    templates = {(name, tuple(_split(body))) for name, body in known if len(_split(body)) > 1}
+    for doc, text in rows:
+        w = _split(text)
+        grams, spans = list(zip(w, w[1:], strict=False)), []
+        for name, t in templates:
+            bag, n = Counter(zip(t, t[1:], strict=False)), len(t) - 1
+            scored = []
+            for s in range(len(grams)):
+                if grams[s] not in bag:
+                    continue
+                span = grams[s : s + n]
+                shared = sum((Counter(span) & bag).values())
+                if 2 * shared >= dice * (len(span) + n) - 1e-9:
+                    scored.append((2 * shared / (len(span) + n), s, len(span), shared))
+            for d, s, size, shared in scored:
+                if not any((d2, -s2) > (d, -s) for d2, s2, *_ in scored if abs(s2 - s) < n):
+                    spans.append((shared, d, name, s, size, t))
+        for a in spans:
+            over = [b for b in spans if b[2:] != a[2:] and b[5] != a[5] and b[3] <= a[3] + a[4] and a[3] <= b[3] + b[4]]
+            if not any((-b[0], -b[1], b[2], b[3]) < (-a[0], -a[1], a[2], a[3]) for b in over):
+                found.add((doc, a[3], a[4] + 1, a[2], a[0], round(a[1], 6)))
+    return found
+
+
 def test_licences(spark, monkeypatch):
-    mit = dict(licenses.TEMPLATES)["MIT"]
-    several = mit.replace(". ", ".\n\n").replace("sublicense, ", "")
+    mit = dict(licenses.TEMPLATES[:12])["MIT"]
+    paragraphs = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    code = "\n".join(f"int f{i}(void) {{ return {i}; }}" for i in range(60))
+    line = "Released under the MIT License."
+    rnd = random.Random(6)
+    filler = lambda n: " ".join(rnd.choices(["the", "software", "of", "is", "in", "this", "license", "under", "a", "zz"], k=n))
     rows = [
-        (1, "prose here\nReleased under the MIT License.\nmore prose"), (2, "LICENSED under the apache licence, version 2.0"), (3, "a\n\n" + several), (4, several), (5, None), (6, ""),
-        (7, "Licensed under CC BY-NC 4.0.\r\nLicensed under CC BY 4.0."), (8, "license"), (9, "word " * 100_000), (None, "Released under the MIT License."), (1, "Released under the MIT License."),
+        (1, f"prose here\n{line}\nmore prose"), (2, "LICENSED under the apache licence, version 2.0"), (3, f"Copyright (c) 2020 Foo\n\n{paragraphs}\n{code}"),
+        (4, f"Copyright 2020 Foo. {line} All other text here."), (5, None), (6, ""), (7, "Licensed under CC BY-NC 4.0.\r\nLicensed under CC BY 4.0."), (8, "license"),
+        (9, "word " * 100_000), (None, line), (1, line), (10, f"// SPDX-License-Identifier: MIT\n{code}"), (11, " ".join([line] * 40)), (12, f"{filler(300)} {mit.replace('sublicense, ', '')} {filler(300)}"),
+        (13, mit.rsplit(" ", 20)[0]), (14, "This work is licensed under the GNU General Public License, version 3."), (15, next(t for n, t in licenses.TEMPLATES[12:] if n == "Apache-2.0").replace(". ", ".\n * ")),
+        *[(20 + i, filler(rnd.randrange(400))) for i in range(30)],
     ]
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, unit string, row int")
-    for block in (500_000, 20):
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, license string, row int, s int").repartition(3)
+    want = brute_licences(rows, licenses.TEMPLATES)
+    for block in (500_000, 600):
         monkeypatch.setattr(licenses, "BLOCK", block)
-        got = {(r["doc_id"], r["unit"], r["unit_no"]): (r["license"], round(r["dice"], 3)) for r in licenses.scan_licenses(df, licenses.templates(spark)).collect()}
-        assert got[(1, "line", 1)] == ("MIT", 1.0) and got[(1, "line", 0)] == ("MIT", 1.0) and got[(None, "line", 0)] == ("MIT", 1.0)
-        assert got[(7, "line", 0)] == ("CC-BY-NC-4.0", 1.0) and got[(7, "line", 1)] == ("CC-BY-4.0", 1.0)
-        assert got[(4, "text", 0)][0] == "MIT" and 0.97 < got[(4, "text", 0)][1] < 1
-        assert not {k for k in got if k[0] in (2, 5, 6, 8, 9)}
+        got = licenses.scan_licenses(df, licenses.templates(spark)).collect()
+        assert {(r["doc_id"], r["start"], r["n_words"], r["license"], r["shared"], round(r["dice"], 6)) for r in got} == want and len(got) == len(want)
+    of = lambda i: sorted((r["license"], r["start"]) for r in got if r["doc_id"] == i)
+    assert of(1) == [("MIT", 0), ("MIT", 2)] and of(3) == [("MIT", 4)] and of(4) == [("MIT", 3)] and of(None) == [("MIT", 0)] and of(10) == [("MIT", 0)]
+    assert [x for x, _ in of(7)] == ["CC-BY-4.0", "CC-BY-NC-4.0"] and len(of(11)) == 40 and of(12) == [("MIT", 300)] and of(14) == [("GPL-3.0", 0)]
+    assert [x for x, _ in of(15)] == ["Apache-2.0"] and [x for x, _ in of(13)] == ["MIT"] and not [of(i) for i in (2, 5, 6, 8, 9) if of(i)]
     assert licenses.scan_licenses(df.limit(0), licenses.templates(spark)).collect() == []
     assert licenses.scan_licenses(df, licenses.templates(spark).limit(0)).collect() == []

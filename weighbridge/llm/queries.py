@@ -141,20 +141,19 @@ def _op5_sql() -> str:
     return (
         f"WITH known(license, body) AS (VALUES {known}),\n"
         + r"""
-x AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE length(text) > 0),
-blocks AS (SELECT doc_id, text, regexp_split_to_array(text, '\n[\t ]*\n\s*') AS bs FROM x),
-units AS (
-  SELECT doc_id, 'line' AS unit, unnest(range(len(ls))) AS unit_no, unnest(ls) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM x)
-  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(bs))), unnest(bs) AS body FROM blocks) WHERE contains(trim(body), chr(10))
-  UNION ALL SELECT doc_id, 'text', 0, text FROM blocks WHERE len(bs) > 1 AND contains(trim(text), chr(10))),
-uw AS (SELECT doc_id, unit, unit_no, list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda s: s <> '') AS w FROM units),
 tw AS (SELECT DISTINCT license, list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda s: s <> '') AS w FROM known),
-ug AS (SELECT doc_id, unit, unit_no, n, g, count(*) AS c FROM (SELECT doc_id, unit, unit_no, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM uw) GROUP BY ALL),
-tg AS (SELECT license, w AS t, n, g, count(*) AS c FROM (SELECT license, w, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw) GROUP BY ALL),
-s AS (SELECT doc_id, unit, unit_no, license, t, sum(least(ug.c, tg.c)) AS shared, 2.0::DOUBLE * sum(least(ug.c, tg.c)) / (ug.n + tg.n) AS dice
-      FROM ug JOIN tg USING (g) GROUP BY doc_id, unit, unit_no, license, t, ug.n, tg.n)
-SELECT doc_id, unit, unit_no::INT AS unit_no, license, shared::BIGINT AS shared, dice
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, unit_no ORDER BY dice DESC, license, shared) AS rn FROM s WHERE dice >= 0.8) WHERE rn = 1
+tg AS (SELECT license, t, n, g, count(*) AS c FROM (SELECT license, w AS t, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw) GROUP BY ALL),
+d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda s: s <> '') AS w FROM documents WHERE length(text) > 0),
+dg AS (SELECT r, len(w) - 1 AS nd, unnest(range(len(w) - 1)) AS p, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM d WHERE len(w) > 1),
+h AS (SELECT r, license, t, n, nd, p, g, c FROM dg JOIN tg USING (g)),
+x AS (SELECT *, count(*) OVER (PARTITION BY r, license, t ORDER BY p RANGE BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS held, least(n, nd - p) AS ns FROM h),
+sp AS (SELECT r, license, t, n, p AS s, ns FROM x WHERE held >= 0.4::DOUBLE * (ns + n) - 1e-9),
+bag AS (SELECT sp.r, sp.license, sp.t, sp.n, s, ns, h.g, least(count(*), any_value(h.c)) AS m FROM sp JOIN h ON h.r = sp.r AND h.license = sp.license AND h.t = sp.t AND h.p BETWEEN s AND s + ns - 1 GROUP BY sp.r, sp.license, sp.t, sp.n, s, ns, h.g),
+sc AS (SELECT r, license, t, n, s, ns, sum(m)::BIGINT AS shared, 2.0::DOUBLE * sum(m) / (ns + n) AS dice FROM bag GROUP BY r, license, t, n, s, ns HAVING sum(m) >= 0.4::DOUBLE * (ns + n) - 1e-9),
+one AS (SELECT * FROM sc a WHERE NOT EXISTS (SELECT 1 FROM sc b WHERE b.r = a.r AND b.license = a.license AND b.t = a.t AND abs(b.s - a.s) < a.n AND (b.dice > a.dice OR (b.dice = a.dice AND b.s < a.s)))),
+best AS (SELECT * FROM one a WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.r = a.r AND (b.license <> a.license OR b.t <> a.t) AND b.s <= a.s + a.ns AND a.s <= b.s + b.ns
+         AND (b.shared, b.dice, a.license) > (a.shared, a.dice, b.license)))
+SELECT DISTINCT doc_id, s::INT AS start, (ns + 1)::INT AS n_words, license, shared, dice FROM best JOIN d USING (r)
 """
     )
 
