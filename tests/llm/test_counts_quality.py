@@ -1,8 +1,13 @@
 """Rollups and the quality classifier."""
 
+import math
+import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from weighbridge.llm import quality
 from weighbridge.llm.rollups import RollupStore, diff_changes
@@ -74,6 +79,63 @@ def test_held_out_accuracy(spark):
     assert sum(a < b for a in low for b in high) / (len(low) * len(high)) > 0.98
 
 
+def plain_ftrl(rows, epochs=3):
+    """FTRL-proximal over dictionaries, one feature at a time."""
+    z, n = {}, {}
+
+    def weight(f):
+        if abs(z.get(f, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[f] - math.copysign(quality.L1, z[f])) / ((quality.BETA + math.sqrt(n[f])) / quality.ALPHA + quality.L2)
+
+    def vector(text):
+        words = re.findall(rb"[A-Za-z0-9_\x80-\xff]+|[^\sA-Za-z0-9_\x80-\xff]+", text.encode())
+        found = Counter()
+        for i, word in enumerate(words):
+            one = zlib.crc32(word)
+            found[one % (quality.DIM - 2) + 2] += 1
+            if i:
+                before = zlib.crc32(words[i - 1])
+                two = (before * 0x9E3779B1 + one * 0x85EBCA77) % (1 << 64)
+                found[1 if before == one else (two ^ (two >> 29)) % (quality.DIM - 2) + 2] += 1
+        size = max(2 * len(words) - 1, 1) if words else 1
+        return {0: 1.0} | {f: c / math.sqrt(size) for f, c in found.items()}
+
+    for _ in range(epochs):
+        for text, label in rows:
+            x = vector(text)
+            w = {f: weight(f) for f in x}
+            error = 1 / (1 + math.exp(-sum(w[f] * v for f, v in x.items()))) - label
+            for f, v in x.items():
+                g, before = error * v, n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / quality.ALPHA * w[f]
+                n[f] = before + g * g
+    return lambda text: 1 / (1 + math.exp(-sum(weight(f) * v for f, v in vector(text).items())))
+
+
+def test_scores_equal_plain_ftrl(spark):
+    rnd = random.Random(7)
+    good, bad = [f"g{i}" for i in range(30)], [f"b{i}" for i in range(30)]
+    texts = [" ".join(rnd.choices(good if i % 2 else bad, k=rnd.randrange(1, 40)) + rnd.choices(["the", "the", ",", "é", "..."], k=5)) for i in range(120)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 110)], "doc_id long, quality int")
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    places = spark.range(110).selectExpr("id", "pmod(xxhash64(id, 3), 1099511627776) AS place").orderBy("place").collect()
+    order = [r["id"] for r in places if not held(r["id"])]
+    for bound in (quality.MAX_FEATURES, 1500):
+        taken, total = [], 0
+        for i in order:
+            total += len(quality.features(texts[i].encode()))
+            if total > bound:
+                break
+            taken.append(i)
+        score = plain_ftrl([(texts[i], i % 2) for i in taken])
+        w = quality.fit(docs, labels, quality.fold(F.col("doc_id"), 3) == 1, max_features=bound)
+        got = {r["doc_id"]: r["s"] for r in docs.select("doc_id", quality.scorer(spark, w)(F.col("text")).alias("s")).collect()}
+        assert len(taken) == len(order) or bound == 1500
+        assert all(abs(got[i] - score(t)) < 1e-4 for i, t in enumerate(texts))
+
+
 def test_odd_rows_and_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, None, 9.0), (None, "", 9.0), (2, "a " * 200_000, 9.0), (2, "x", 9.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -8,12 +8,14 @@ values are its feature counts over the square root of their number, plus a bias.
 
 The model is fitted on a bounded sample: of the labelled documents at hand, those
 whose hashed id falls below ``max_docs`` over their number, so some ``max_docs``
-of them at most, in hashed order, ``epochs`` times. Scoring covers every whole text.
+of them at most, in hashed order, as far as their features add up to ``max_features``, ``epochs`` times. So the one
+task that fits holds at most that many features, as the bytes it was sent, whatever the texts' length. Scoring covers every whole text.
 
 Defined cases: null and empty texts have the bias alone; conflicting labels of an id
 are averaged and a half counts as 1, null labels and ids are not learned from; a null
 id is scored and not held out; with nothing to learn from, every score is 0.5.
-Repeated rows are scored alike. Other columns are ignored.
+Rows that repeat an id are scored each, and learned from once (the smallest feature bytes); very long texts are whole features of
+one document; ties of hashed ids are one place, learned from once; empty tables give no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weighbridge.session import materialize
+
 DIM = 1 << 20
 WORD = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^\sA-Za-z0-9_\x80-\xff]+")
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.1
 MAX_DOCS = 16_384
+MAX_FEATURES = 24_000_000  # 96 MB
 
 
 def features(text: bytes | None) -> np.ndarray:
@@ -78,7 +83,7 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds)), F.lit(-1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_docs: int = MAX_DOCS, epochs: int = 3, label_col: str = "quality") -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_docs: int = MAX_DOCS, epochs: int = 3, label_col: str = "quality", max_features: int = MAX_FEATURES) -> np.ndarray:
     """Weights learned from ``labels`` (``doc_id``, label 0 or 1) of documents that are not ``held_out``."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
@@ -92,21 +97,23 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_docs: int = MA
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), at], names=["place", "y", "at"])
 
     def train(batches):
-        rows = []
-        for batch in batches:
-            for y, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                index, x = values(np.frombuffer(at, np.int32))
-                rows.append((index.astype(np.int32), x.astype(np.float32), y))
+        rows = [r for batch in batches for r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         model = Ftrl()
         for _ in range(epochs):
-            for index, x, y in rows:
-                model.learn(index, x, y)
-        w = model.weights().astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
+            for y, at in rows:
+                index, x = values(np.frombuffer(at, np.int32))
+                model.learn(index, x.astype(np.float32), y)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], names=["w"])
 
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     sample = texts.join(picked, "doc_id").select("place", "y", "text").mapInArrow(prepare, "place long, y int, at binary")
-    model = sample.repartition(1).sortWithinPartitions("place", "at").mapInArrow(train, "w binary").collect()
+    sample = materialize(sample.groupBy("place").agg(F.max("y").alias("y"), F.min("at").alias("at")), "quality-sample")
+    sizes = sample.select("place", (F.length("at") / 4).alias("n")).orderBy("place").collect()  # at most some ``max_docs`` rows
+    total = np.cumsum([r["n"] for r in sizes])
+    last = sizes[max(int(np.searchsorted(total, max_features, side="right")), 1) - 1]["place"] if sizes else -1
+    dealt = sample.where(F.col("place") <= last).repartition(1).sortWithinPartitions("place")
+    model = dealt.mapInArrow(train, "w binary").collect()
     return np.frombuffer(model[0]["w"], np.float32) if model else np.zeros(DIM, np.float32)
 
 
