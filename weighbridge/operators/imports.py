@@ -145,9 +145,11 @@ class ImportForest:
     Such a file is reached through its one importer alone, so whatever is true of the ways to it follows from the
     ways to its ``head``: the first file above that is imported by several files or by none. Heads are found by pointer
     doubling: table ``k`` of ``jumps`` leads ``2^k`` files up, and a tree of depth ``n`` takes ``log2(n)`` written tables, however many
-    files it has. Files on or below a cycle of such files have no head, cannot be reached from outside, and are left out.
+    files it has. Files on or below a cycle of such files (``lost``) have no head, cannot be reached from outside, and are left out.
     """
 
+    lost: DataFrame | None = None
+
     def __init__(self, edges: DataFrame):
         """``edges``: ``repo_id, node_path, next_path, place`` (positions of the imports it stands for), without loops."""
         one = edges.groupBy("repo_id", F.col("next_path").alias("node_path")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node_path", "place")).alias("e"))
@@ -162,11 +164,17 @@ class ImportForest:
             twice = materialize(twice, "forest-jump")
             m = twice.count()
             if m == n:  # a tree loses files at each step up; what loses none runs in circles
-                self.inner = materialize(self.inner.join(jump, ["repo_id", "node_path"], "left_anti"), "forest")
+                self.lost = jump.select("repo_id", "node_path")
                 break
             self.jumps.append(jump)
             jump, n = twice, m
-        self.heads = materialize(self._heads(), "forest-heads")
+        self.tables = [self.inner, *self.jumps, jump]
+        if self.lost is not None:
+            self.inner = self.inner.join(self.lost, ["repo_id", "node_path"], "left_anti")
+        self.heads = self._heads()
+        if self.jumps:
+            self.heads = materialize(self.heads, "forest-heads")
+            self.tables.append(self.heads)
 
     def _climb(self, rows: DataFrame, step) -> DataFrame:
         """Moves column ``at`` of ``rows`` up by each table of jumps, the longest first; ``step(k, up)`` has the new columns."""
@@ -190,8 +198,12 @@ class ImportForest:
         steps = F.sort_array(F.collect_list(F.struct((-F.col("above")).alias("o"), "place")))
         return rows.groupBy("repo_id", "node_path", "head").agg(F.flatten(F.transform(steps, lambda s: s["place"])).alias("way"))
 
+    def without_lost(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of files that can be reached."""
+        return rows if self.lost is None else rows.join(self.lost, ["repo_id", "node_path"], "left_anti")
+
     def discard(self) -> None:
-        discard(self.inner, self.heads, *self.jumps)
+        discard(*self.tables)
 
 
 def import_forest(fold: DataFrame) -> ImportForest:
@@ -211,7 +223,10 @@ def contract(edges: DataFrame, broken: DataFrame, starts: DataFrame, forest: Imp
     of any length vanish in a few rounds; left are files with several importers each.
     """
     at, last = ["repo_id", "node_path"], None
-    while not forest.inner.isEmpty():
+    while True:
+        if forest.inner.isEmpty():
+            return forest.without_lost(edges), broken
+        edges, broken = forest.without_lost(edges), forest.without_lost(broken)
         leaving = edges.join(forest.inner.select("repo_id", F.col("node_path").alias("next_path")), ["repo_id", "next_path"], "left_anti")
         needed = leaving.select(*at).unionByName(broken.select(*at)).distinct()
         ways = materialize(forest.ways(needed), "forest-ways")
@@ -231,9 +246,10 @@ def contract(edges: DataFrame, broken: DataFrame, starts: DataFrame, forest: Imp
         discard(ways, edges)
         if last is not None:
             last.discard()
+        if pruned.isEmpty():
+            return pruned, broken
         edges, forest = pruned, ImportForest(pruned)
         last = forest
-    return edges, broken
 
 
 def leading_to_broken(broken: DataFrame, edges: DataFrame) -> DataFrame:
@@ -272,9 +288,15 @@ def unresolved_imports(edges: DataFrame, fold: DataFrame, context: DataFrame, fo
     broken = materialize(broken.agg(F.array(F.min("ord")).alias("place")), "broken")
     starts = context.select("repo_id", F.col("rel_path").alias("node_path"))
     core, broken = contract(_placed(fold), broken, starts, forest or import_forest(fold))
-    own = broken.join(starts, at, "left_semi").withColumnRenamed("node_path", "root_path")
+    own = broken.join(starts, at, "left_semi").select("repo_id", F.col("node_path").alias("root_path"), "spec", "place")
     if core.isEmpty():
-        return own.select("repo_id", "root_path", "spec", "place")
+        return own
+    further = core.select("repo_id", F.col("node_path").alias("next_path"))
+    if core.join(further, ["repo_id", "next_path"], "left_semi").isEmpty():  # nothing lies beyond what start files import
+        held = broken.select("repo_id", F.col("node_path").alias("next_path"), "spec", F.col("place").alias("held"))
+        below = core.join(starts, at, "left_semi").join(held, ["repo_id", "next_path"])
+        below = below.select("repo_id", F.col("node_path").alias("root_path"), "spec", F.concat("place", "held").alias("place"))
+        return materialize(own.unionByName(below).groupBy("repo_id", "root_path", "spec").agg(F.min("place").alias("place")), "unresolved")
     live = leading_to_broken(broken, core)
     steps = core.withColumnRenamed("place", "step").join(live.withColumnRenamed("node_path", "next_path"), ["repo_id", "next_path"], "left_semi")
     start = starts.join(live, at, "left_semi").select(

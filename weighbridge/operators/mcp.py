@@ -44,9 +44,10 @@ def _in_key_order(configs: DataFrame, entries: str) -> DataFrame:
         lambda f, z: F.struct(number(f).alias("n"), f["i"].alias("i"), f["name"].alias("name"), z["entry"].alias("entry")),
     )
     ordered = beside.withColumn("_o", F.array_sort(whole))
-    return ordered.select(*[c for c in configs.columns if c != entries], F.posexplode("_o").alias("ord", "e")).select(
-        *[c for c in configs.columns if c != entries], F.col("e.name").alias("server"), F.col("ord").cast("int").alias("ord"), F.col("e.entry").alias("entry")
-    )
+    kept = [c for c in configs.columns if c != entries]
+    # outer: else the optimizer would test the array before the scan's rows are projected, and compute all of it again
+    rows = ordered.select(*kept, F.posexplode_outer("_o").alias("ord", "e")).where(F.col("ord").isNotNull())
+    return rows.select(*kept, F.col("e.name").alias("server"), F.col("ord").cast("int").alias("ord"), F.col("e.entry").alias("entry"))
 
 
 def server_table(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
@@ -61,8 +62,9 @@ def server_table(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
     )
     corrupt = {"columnNameOfCorruptRecord": "_bad"}
     parsed = cfg.withColumn("p", F.from_json("content", "struct<mcpServers: map<string, string>, _bad: string>", corrupt))
-    good = parsed.where(F.col("p._bad").isNull() & F.col("p.mcpServers").isNotNull())
-    s = _in_key_order(good.select("repo_id", "config_path", F.map_entries("p.mcpServers").alias("all")), "all")
+    # no filter on what was parsed: it would be parsed again for the filter
+    entries = F.when(F.col("p._bad").isNull(), F.map_entries("p.mcpServers"))
+    s = _in_key_order(parsed.select("repo_id", "config_path", entries.alias("all")), "all")
     # an entry is an object's text; anything else (a number, a list, null) declares no tools
     fields = "struct<tools: array<string>, toolsFile: variant, manifest: variant>"
     s = s.withColumn("f", F.when(F.col("entry").startswith("{"), F.from_json("entry", fields)))
