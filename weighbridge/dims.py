@@ -82,6 +82,14 @@ PII_CODES = ["secrets/email", "secrets/private-ip"]
 SUGGEST_SECRET_PII = "Remove or redact this — context files are committed and sent to the agent on every run."
 SUGGEST_SECRET = "Remove this value and inject it at runtime instead — context files are committed AND logged."
 SUGGEST_UNRESOLVED = "Fix or remove this @import — the referenced file wasn't found."
+# {limit} is the limit asked for; %s and %d are a finding's own values, in the order named
+MESSAGE_TOO_LONG = '%s is %d lines (recommended <= {limit}); tail may be ignored ("lost in the middle")%s.'  # path, lines, hint
+MESSAGE_OVER_TRUNCATION = "%s is %s KiB; some agents truncate past {limit} KiB%s."  # path, KiB, hint
+MESSAGE_UNRESOLVED = '%s imports "@%s" which could not be resolved (file missing or unreadable).'  # path, spec
+SUGGEST_TOO_LONG = "Trim %s to the essentials, or split it via @imports and move task-specific guidance into on-demand skills."  # path
+SUGGEST_OVER_TRUNCATION = (  # path, KiB
+    "Split %s (%s KiB): move stable, rarely-read sections into @imported files or on-demand skills so the always-on core stays under {limit} KiB."
+)
 ON_DEMAND_HINT = " — on-demand, so it only costs tokens when invoked, not every turn"
 
 # ---- fixed values: SARIF -----------------------------------------------------

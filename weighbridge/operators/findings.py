@@ -65,17 +65,8 @@ def size_findings(context: DataFrame, max_lines: int = dims.MAX_LINES, max_bytes
         F.array(F.lit(0).cast("long")).alias("item_ord"),
         severity.alias("severity"),
         F.lit(dims.CODE_TOO_LONG).alias("code"),
-        F.format_string(
-            f'%s is %d lines (recommended <= {max_lines}); tail may be ignored ("lost in the middle")%s.',
-            rel, F.col("lines"), hint,
-        ).alias("message"),
-        F.when(
-            always,
-            F.format_string(
-                "Trim %s to the essentials, or split it via @imports and move task-specific guidance into on-demand skills.",
-                rel,
-            ),
-        ).alias("suggestion"),
+        F.format_string(dims.MESSAGE_TOO_LONG.format(limit=max_lines), rel, F.col("lines"), hint).alias("message"),
+        F.when(always, F.format_string(dims.SUGGEST_TOO_LONG, rel)).alias("suggestion"),
     )
     size = kib(F.col("bytes"))
     over = context.where(F.col("bytes") > max_bytes).select(
@@ -86,12 +77,8 @@ def size_findings(context: DataFrame, max_lines: int = dims.MAX_LINES, max_bytes
         F.array(F.lit(0).cast("long")).alias("item_ord"),
         severity.alias("severity"),
         F.lit(dims.CODE_OVER_TRUNCATION).alias("code"),
-        F.format_string(f"%s is %s KiB; some agents truncate past {limit_kib} KiB%s.", rel, size, hint).alias("message"),
-        F.format_string(
-            "Split %s (%s KiB): move stable, rarely-read sections into @imported files or on-demand skills "
-            f"so the always-on core stays under {limit_kib} KiB.",
-            rel, size,
-        ).alias("suggestion"),
+        F.format_string(dims.MESSAGE_OVER_TRUNCATION.format(limit=limit_kib), rel, size, hint).alias("message"),
+        F.format_string(dims.SUGGEST_OVER_TRUNCATION.format(limit=limit_kib), rel, size).alias("suggestion"),
     )
     return _finish(too_long.unionByName(over))
 
@@ -107,10 +94,7 @@ def unresolved_findings(unresolved: DataFrame) -> DataFrame:
             F.col("place").cast("array<bigint>").alias("item_ord"),
             F.lit("info").alias("severity"),
             F.lit(dims.CODE_UNRESOLVED).alias("code"),
-            F.format_string(
-                '%s imports "@%s" which could not be resolved (file missing or unreadable).',
-                F.col("root_path"), F.col("spec"),
-            ).alias("message"),
+            F.format_string(dims.MESSAGE_UNRESOLVED, F.col("root_path"), F.col("spec")).alias("message"),
             F.lit(dims.SUGGEST_UNRESOLVED).alias("suggestion"),
         )
     )

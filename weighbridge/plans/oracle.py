@@ -9,6 +9,8 @@ ASCII boundary out (identical on the fixture data).
 
 from __future__ import annotations
 
+import re
+
 from weighbridge import dims
 from weighbridge.functions.placeholders import PLACEHOLDER_PATTERNS
 from weighbridge.operators.imports import IMPORT_RE, IMPORTABLE_NAME
@@ -19,6 +21,13 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def text(template: str, *values: str, **limits) -> str:
+    """SQL that fills a message of :mod:`weighbridge.dims` with SQL values."""
+    parts = re.split(r"%[sd]", template.format(**limits))
+    pieces = [x for part, value in zip(parts, [*values, None], strict=True) for x in (part and q(part), value) if x]
+    return f"concat({', '.join(pieces)})"
+
+
 _IGN = "[" + ", ".join(q(d) for d in dims.IGNORE_DIRS) + "]"
 def _kind_case(x: str) -> str:
     return (
@@ -224,13 +233,13 @@ def _size_findings(max_lines: int, max_bytes: int) -> str:
     return f"""
 SELECT repo_id, rel_path AS file, CAST(NULL AS INTEGER) AS line, 1 AS rule_ord, [CAST(0 AS BIGINT)] AS item_ord, {sev} AS severity,
   'budget/too-long' AS code,
-  concat(rel_path, ' is ', CAST(lines AS VARCHAR), ' lines (recommended <= {max_lines}); tail may be ignored ("lost in the middle")', {hint}, '.') AS message,
-  CASE WHEN load = 'always' THEN concat('Trim ', rel_path, ' to the essentials, or split it via @imports and move task-specific guidance into on-demand skills.') END AS suggestion
+  {text(dims.MESSAGE_TOO_LONG, "rel_path", "CAST(lines AS VARCHAR)", hint, limit=max_lines)} AS message,
+  CASE WHEN load = 'always' THEN {text(dims.SUGGEST_TOO_LONG, "rel_path")} END AS suggestion
 FROM ctx WHERE lines > {max_lines}
 UNION ALL
 SELECT repo_id, rel_path, NULL, 2, [CAST(0 AS BIGINT)], {sev}, 'budget/over-truncation-limit',
-  concat(rel_path, ' is ', {kib}, ' KiB; some agents truncate past {lim} KiB', {hint}, '.'),
-  concat('Split ', rel_path, ' (', {kib}, ' KiB): move stable, rarely-read sections into @imported files or on-demand skills so the always-on core stays under {lim} KiB.')
+  {text(dims.MESSAGE_OVER_TRUNCATION, "rel_path", kib, hint, limit=lim)},
+  {text(dims.SUGGEST_OVER_TRUNCATION, "rel_path", kib, limit=lim)}
 FROM ctx WHERE bytes > {max_bytes}"""
 
 
@@ -247,7 +256,7 @@ FROM sc""")
 block("unres_f", ["unres"], f"""
 SELECT repo_id, root_path AS file, CAST(NULL AS INTEGER) AS line, 4 AS rule_ord,
   CAST(place AS BIGINT[]) AS item_ord, 'info' AS severity, 'imports/unresolved' AS code,
-  concat(root_path, ' imports "@', spec, '" which could not be resolved (file missing or unreadable).') AS message,
+  {text(dims.MESSAGE_UNRESOLVED, "root_path", "spec")} AS message,
   {q(dims.SUGGEST_UNRESOLVED)} AS suggestion
 FROM unres""")
 block("findings", ["size_f", "secret_f", "unres_f"], """
