@@ -20,7 +20,7 @@ def test_repository_names_are_never_cut(spark):
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    rows_only = {"q_token_count_bpe", "q_sarif", "q_json_report"}
+    rows_only = {"q_token_count_bpe", "q_sarif"}
     own = {name for name in E.queries() if name.startswith("q_")}
     assert own - set(E.oracle_sql()) == rows_only
     assert set(E.oracle_sql()) <= set(E.queries())
