@@ -18,7 +18,8 @@ with one pass over the texts a block; ids of documents with hits are broadcast b
 Defined cases: null and empty texts overlap nothing; items under ``MIN_TOKENS``
 tokens are too short to tell from common phrases and are skipped; rows
 with a null id cannot be named and are not reported; a repeated id is reported once per
-item with its best row; items with equal texts are all reported.
+item with its best row (ties by matches are one row); items with equal texts are all reported; very long texts are scanned whole;
+empty tables give no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ Defined cases: a null, empty, zero or non-finite vector, or one with null
 components, and a null label link with nothing (``n_links`` 0, its own component).
 A row with a null id has its links counted, but names no component (null where no
 member has an id). Ids lie below 2^62 and name one vector each; repeated rows are
-copies of each other and link. Other columns are ignored.
+copies of each other and link; vectors of different lengths link with nothing of the other length, however long; an empty table
+gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

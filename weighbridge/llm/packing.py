@@ -16,7 +16,9 @@ or with ``as_loaded`` that token's id, as the file has it when loaded.
 
 Defined cases: null and empty texts are the end id alone; a null id is packed like any
 other; repeated rows are packed as often as they occur; with ``loss_from`` (a column of
-token offsets) ids before it bear no loss, null counts as 0. Other columns are ignored.
+token offsets) ids before it bear no loss, null counts as 0; a very long text is cut into pieces of a sequence's
+length at most, whole; of pieces that fit equally well the first in the pool goes; an empty table gives no rows. Other columns are
+ignored, whatever their names.
 ``sequence_id`` is the partition number times 2^33 plus a counter: a repeated task repeats it.
 """
 

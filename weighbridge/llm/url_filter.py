@@ -18,7 +18,9 @@ ones are kept.
 Defined cases: a null URL, or one without ``://``, has empty host and path and
 matches no rule; a rule with a null or empty host, or a null path, is
 ignored; a URL without a rule gets the ``default`` verdict, here that of not being
-listed. A rule listed both ways blocks. Longest means the longest host, then the longest path.
+listed. A rule listed both ways blocks. Longest means the longest host, then the longest path, so ties do not arise. Very long URLs
+and hosts are judged whole; repeated rows are judged each; empty tables of URLs give no rows, empty tables of rules the default for all. Other columns are
+kept as they are, but for those named ``host``, ``path``, ``rule``, ``verdict`` and the operator's own, which are replaced.
 """
 
 from __future__ import annotations

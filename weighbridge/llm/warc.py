@@ -18,7 +18,8 @@ carry no payload. Digests are bare upper-case base32 SHA-1 of the whole payload.
 Defined cases: a null payload is empty; a null URL is written without a target URI;
 rows with a null id are written under an empty id and never referred to (they are
 always responses); repeated rows (same id and payload) are one response and
-revisits that refer to that id. Extra columns are ignored.
+revisits that refer to that id; ties of payloads go to the smallest id; a very long payload is one record, whole, in a frame of
+its own size; an empty table has no bundles and no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
