@@ -47,6 +47,40 @@ def test_planted_overlaps(spark, monkeypatch):
     assert decontam.overlaps(df, spark.createDataFrame([], "item_id long, text string")).collect() == []
 
 
+def test_short_items_match_exactly(spark, monkeypatch, tmp_path):
+    """Plain search for items of one to seven tokens, hits broadcast and shuffled, and the query's SQL."""
+    import duckdb
+
+    from weighbridge.llm.queries import OP2_SQL
+
+    rnd = random.Random(7)
+    words = [f"v{i}" for i in range(12)]
+    bench = [(i, " ".join(rnd.choices(words, k=1 + i % 7))) for i in range(21)] + [(30, "v1 v2"), (31, "v1 v2"), (32, None), (33, " . "), (34, "zebra Quagga"), (None, "v3")]
+    bench.append((40, " ".join(f"u{i}" for i in range(9))))
+    docs = [(i, " ".join(rnd.choices(words, k=rnd.randrange(0, 30)))) for i in range(40)]
+    docs += [(100, "a ZEBRA, quagga!"), (101, "zebra x quagga"), (102, None), (103, ""), (None, "v1 v2"), (104, "v1 " * 3000 + "v2"), (105, "u0 u1 u2 zz u4 u5 u6 u7 u8")]
+    want = set()
+    for d, text in docs:
+        w = _split(text)
+        for i, item in bench:
+            v = _split(item)
+            if d is not None and i is not None and v and any(w[k : k + len(v)] == v for k in range(len(w))):
+                want.add((d, i, len(v)))
+    want.add((105, 40, 9))
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for block in (decontam.BLOCK, 50):
+        monkeypatch.setattr(decontam, "BLOCK", block)
+        got = {(r["doc_id"], r["item_id"], r["item_tokens"]) for r in decontam.overlaps(df, items).collect()}
+        assert got == want
+    long_only = decontam.overlaps(df, items, min_tokens=decontam.MIN_TOKENS).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in long_only} == {(105, 40)}
+    con = duckdb.connect()
+    for name, table in (("documents", df), ("benchmark", items)):
+        table.coalesce(1).write.parquet(str(tmp_path / name))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    assert {(d, i, n) for d, i, _, _, n in con.execute(OP2_SQL).fetchall()} == want
+
+
 def _split(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 

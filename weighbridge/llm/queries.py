@@ -121,8 +121,11 @@ c AS (SELECT doc_id, item_id, s, n, sz, j,
       FROM m WINDOW p AS (PARTITION BY doc_id, item_id, s ORDER BY j), q AS (PARTITION BY doc_id, item_id, s ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 13 PRECEDING),
                     t AS (PARTITION BY doc_id, item_id, s)),
 e AS (SELECT doc_id, item_id, s, n, max(inside) AS wm, max(total) AS tm FROM c WHERE j >= sz GROUP BY ALL HAVING max(inside) >= max(sz) - floor(max(sz) * 2 / 13.0)),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY wm DESC, tm DESC) AS rn FROM e)
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY wm DESC, tm DESC) AS rn FROM e),
+l AS (SELECT DISTINCT len(v) AS n FROM b WHERE len(v) BETWEEN 1 AND 7),
+x AS (SELECT DISTINCT doc_id, item_id, n FROM (SELECT doc_id, n, w[k:k+n-1] AS g FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, l)) JOIN b ON v = g)
 SELECT doc_id, item_id, wm::INT AS window_matches, tm::INT AS matched_tokens, n::INT AS item_tokens FROM r WHERE rn = 1
+UNION ALL SELECT doc_id, item_id, n::INT, n::INT, n::INT FROM x
 """
 
 
