@@ -33,10 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that overlap an item of ``benchmark``; rows without an id stay."""
-    from weighbridge.llm.decontam import overlaps
+    """Drops the documents that overlap an item of ``benchmark`` of at least eight tokens; rows without an id stay.
+    A shorter item is a phrase that clean documents hold too: the operator reports it, but it condemns no document here."""
+    from weighbridge.llm.decontam import MIN_TOKENS, overlaps
 
-    leaks = overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = overlaps(docs, items, min_tokens=MIN_TOKENS).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
 
 
