@@ -60,6 +60,24 @@ def test_a_batch_committed_while_compacting_is_kept(spark, tmp_path):
     assert totals(other) == {("a", "en", "t"): (2, 12)}
 
 
+def test_vacuum_removes_what_no_longer_counts(spark, tmp_path):
+    row = lambda n: spark.createDataFrame([("a", "en", "t", "insert", None, n)], CHANGE)
+    store, path = RollupStore(spark, str(tmp_path)), tmp_path / "deltas"
+    assert store.vacuum() == 0
+    for i, n in enumerate([5, 7, 11]):
+        store.apply(str(i), row(n))
+    store._write(store.totals().limit(0), "batch", ["1"])  # a second attempt, of which one counts
+    kept = totals(store)
+    assert store.vacuum() == 1 and totals(store) == kept and len(list(path.iterdir())) == 3
+    store.compact()
+    (path / "batch-unfinished").mkdir()  # no commit row yet
+    assert store.vacuum() == 3 and totals(store) == kept
+    names = {p.name.split("-")[0] for p in path.iterdir()}
+    assert names == {"base", "batch"} and len(list(path.iterdir())) == 2 and store._commits().count() == 1
+    assert not store.apply("2", row(1)) and store.apply("3", row(1)) and store.vacuum() == 0
+    assert totals(store)[("a", "en", "t")] == (kept[("a", "en", "t")][0] + 1, kept[("a", "en", "t")][1] + 1)
+
+
 def test_snapshot_differences(spark):
     schema = "doc_id long, source string, lang string, tokenizer string, n_tokens long"
     old = spark.createDataFrame([(1, "a", "en", "t", 3), (2, "a", None, "t", 4), (3, "a", "en", "t", 5)], schema)

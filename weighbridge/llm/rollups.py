@@ -9,7 +9,8 @@ The store is a folder of parquet tables. ``deltas/<batch>-<attempt>`` holds
 one batch's sums and ``commits`` one row per finished attempt, written after it. Totals are the sum over
 committed batches, one attempt each (the smallest name), so a batch applied
 again, or by two writers at once, counts once; an attempt that died before its
-commit row counts never. :meth:`compact` folds batches into one attempt that names them.
+commit row counts never. :meth:`compact` folds batches into one attempt that names them, and
+:meth:`vacuum` removes what no longer counts, so neither the files nor the commit rows grow with the batches ever applied.
 
 Defined cases: null source, language or tokenizer are groups of their own; a null count
 is 0; an unknown or null op is an error, for dropping it would falsify totals; groups
@@ -106,3 +107,21 @@ class RollupStore:
         that is committed meanwhile stays an attempt of its own."""
         live = self._live(self._commits().collect())
         self._write(self._sums(live), "base", sorted(b for r in live for b in r["batches"]))
+
+    def vacuum(self) -> int:
+        """Removes the sums and commit rows of attempts that no longer count; returns their number.
+
+        Sums go before their commit row, so a run that dies half-way is finished by the next one. Attempts without a commit
+        row stay: they may be about to get one. Not to be run beside a compaction or beside readers of totals taken before
+        the last one, whose attempts it removes; batches may be applied meanwhile."""
+        rows = self._commits().withColumn("file", F.col("_metadata.file_path")).collect()
+        live = {r["attempt"] for r in self._live(rows)}
+        gone = [r for r in rows if r["attempt"] not in live]
+        for r in gone:
+            self._remove(f"{self.path}/deltas/{r['attempt']}")
+            self._remove(r["file"])  # one commit row a file
+        return len(gone)
+
+    def _remove(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
