@@ -62,3 +62,29 @@ def test_bpe_counts_agree_with_second_library(spark):
     got = [r[0] for r in df.orderBy("i").select(bpe_token_count()(F.col("t"))).collect()]
     assert got == want
     assert [r[0] for r in df.orderBy("i").select(bytes4(F.col("t"))).collect()][-3:] == [0, 8, 5]
+
+
+def test_bpe_count_holds_one_texts_tokens_at_a_time(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    count = bpe_token_count().func
+    batch = pa.array([f"{i} " + "word and text. " * 500 for i in range(400)] + ["", None])
+    want = next(count(iter([batch])))  # the encoder is built now
+    tracemalloc.start()
+    got = next(count(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and got.to_pylist()[-2:] == [0, None]
+    assert sum(got.to_pylist()[:-1]) > 800_000
+    assert peak < 2_000_000  # all tokens of the batch take over 6 MB as pointers alone
+
+
+def test_bpe_counts_keep_rows_of_null_and_repeated_texts(spark):
+    from weighbridge.functions.tokens import with_tokens
+
+    df = spark.createDataFrame([(1, "one two"), (2, "one two"), (3, ""), (4, None)], "i int, content string")
+    for dedupe in (True, False):
+        got = {r["i"]: r["tokens"] for r in with_tokens(df, dedupe=dedupe).collect()}
+        assert got == {1: 2, 2: 2, 3: 0, 4: None}

@@ -1,4 +1,4 @@
-"""Token counting: an exact byte-level BPE count (one Arrow-batched pandas UDF)
+"""Token counting: an exact byte-level BPE count (one Arrow-batched UDF)
 and ``bytes4`` (``ceil(octet_length / 4)``), a native weigher with an exact SQL
 equivalent, used where results must be checked against SQL.
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +24,15 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def bpe_token_count(ranks_path: str | None = None, pattern: str | None = None):
-    """A pandas UDF ``string -> long``: exact BPE token count; empty text → 0.
+    """An Arrow UDF ``string -> long``: exact BPE token count; empty text → 0.
 
     Special-token strings in the text are encoded as ordinary text, so no
     content can fail the job. The UDF is self-contained (it references no
     module of this package), so executors need only ``tiktoken``: the ranks file (a few
     MB at most, whatever the data) is read by the driver and broadcast; the encoder is built
     once per Python worker and kept in a worker-level module object across tasks.
+    Texts are decoded and encoded one at a time, their ids in an array of four bytes each, so a
+    worker holds an Arrow batch and one text's tokens, whatever the batch's length.
     """
     if ranks_path is None or pattern is None:
         d_path, d_pat = default_vocabulary()
@@ -39,12 +41,12 @@ def bpe_token_count(ranks_path: str | None = None, pattern: str | None = None):
     with open(ranks_path, "rb") as fh:
         ranks_file = SparkSession.active().sparkContext.broadcast(fh.read())
 
-    def bpe_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def bpe_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import base64 as _b64
         import sys as _sys
         import types as _types
 
-        import pandas as _pd
+        import pyarrow as _pa
 
         cache = _sys.modules.get("_weighbridge_bpe_cache")
         if cache is None:
@@ -64,14 +66,13 @@ def bpe_token_count(ranks_path: str | None = None, pattern: str | None = None):
                 name=f"weighbridge_{len(cache.encoders)}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
             )
             cache.encoders[(ranks_path, pattern)] = enc
+        def count(text: str) -> int:
+            return len(enc.encode_to_numpy(text, disallowed_special=()))
+
         for texts in batches:
-            mask = texts.isna()
-            encoded = enc.encode_ordinary_batch(texts.fillna("").tolist(), num_threads=1)
-            counts = _pd.Series([len(t) for t in encoded], index=texts.index, dtype="Int64")
-            counts[mask] = _pd.NA
-            yield counts
+            yield _pa.array((count(t.as_py()) if t.is_valid else None for t in texts), _pa.int64())
 
-    return F.pandas_udf(bpe_tokens, "long")
+    return F.arrow_udf(bpe_tokens, "long")
 
 
 def bytes4(content: Column) -> Column:
