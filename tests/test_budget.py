@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from tests.conftest import files_df
+from weighbridge import audit
 from weighbridge.operators import budget as B
 
 # The worked budget of one published report: two always-on files, seven skills
@@ -54,3 +56,28 @@ def test_zero_total_and_unknown_model(spark):
     t = {r["repo_id"]: r for r in B.budget_totals(repos, e, model="nope").collect()}
     assert t["r1"]["est_cost_usd"] is None and t["r2"]["always_on_tokens"] == 0
     assert B.budget_share(e, B.budget_totals(repos, e)).collect()[0]["share_pct"] == 0
+
+
+def test_weighing_by_bytes_shuffles_no_text(spark):
+    import re
+
+    rows = [("CLAUDE.md", "@a.md\n@b.TXT\nown"), ("a.md", "x" * 9), ("b.TXT", "y" * 5), ("c.md", "z"), ("m.py", "w")]
+    a = audit(files_df(spark, rows), weigher="bytes4")
+    tokens = a.token_table
+    assert {(r["rel_path"], r["is_context"], r["tokens"]) for r in tokens.collect()} == {("CLAUDE.md", True, 4), ("a.md", False, 3), ("b.TXT", False, 2)}
+    tokens.unpersist()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tokens.select("*")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffled = re.findall(r"\) Exchange\s*\nInput[^\n]*", plan)
+    assert shuffled and not [x for x in shuffled if "content#" in x]
+
+
+def test_rows_read_by_several_sections_are_kept(spark):
+    a = audit(files_df(spark, [("CLAUDE.md", "x")]), weigher="bytes4")
+    assert a.health.is_cached and a.budget_entries.is_cached
+    a.release()
+    assert not a.health.storageLevel.useMemory and not a.budget_entries.storageLevel.useMemory

@@ -98,3 +98,13 @@ def test_config_of_many_servers_and_repeated_names(spark):
         last[n] = i
     order = sorted(first, key=lambda n: (int(n), 0) if n.isdigit() else (10**9, first[n]))
     assert got == [(n, f"[{last[n]}]") for n in order]
+
+
+def test_configs_of_one_partition_are_parsed_by_many_tasks(spark):
+    from weighbridge.operators.mcp import server_table
+
+    rows = [(f"r{i}", ".mcp.json", f'{{"mcpServers":{{"s{i}":{{"tools":[{{"n":{i}}}]}}}}}}') for i in range(400)]
+    files = spark.createDataFrame(rows, "repo_id string, rel_path string, content string").coalesce(1)
+    servers = server_table(files)
+    assert {(r["repo_id"], r["inline_tools"]) for r in servers.collect()} == {(f"r{i}", f'[{{"n":{i}}}]') for i in range(400)}
+    assert len(servers.inputFiles()) > 1

@@ -11,7 +11,7 @@ from weighbridge import dims
 from weighbridge.functions.paths import resolve_import
 from weighbridge.operators.classify import path_class
 from weighbridge.functions.tokens import with_tokens
-from weighbridge.session import materialize
+from weighbridge.session import dealt_out, materialize
 
 
 def _vtype(v: Column) -> Column:
@@ -54,12 +54,14 @@ def server_table(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
     """``repo_id, config_path, server, ord, inline_tools, manifest_path``, written once: the manifest lookup and its join read it.
 
     A config is parsed once, into its servers' raw text; a server is parsed once, into the three fields that name its tools;
-    only a non-empty inline list is then cut out as JSON.
+    only a non-empty inline list is then cut out as JSON. Configs compress so well that millions lie in one
+    piece of a file, which one task reads: their texts are dealt out row by row before they are parsed.
     """
     scope = files.where(F.col("path_class") == "config") if ("path_class" in files.columns and config_path.lower().endswith(".json")) else files
     cfg = scope.where((F.col("rel_path") == config_path) & F.col("content").isNotNull()).select(
         "repo_id", F.col("rel_path").alias("config_path"), "content"
     )
+    cfg = dealt_out(cfg)
     corrupt = {"columnNameOfCorruptRecord": "_bad"}
     parsed = cfg.withColumn("p", F.from_json("content", "struct<mcpServers: map<string, string>, _bad: string>", corrupt))
     # no filter on what was parsed: it would be parsed again for the filter

@@ -57,7 +57,7 @@ class Audit:
 
     def release(self) -> None:
         """Give back what the audit keeps on executors; its tables can still be used."""
-        for name in ("context", "token_table", "findings", "mcp_costs"):
+        for name in ("context", "token_table", "findings", "health", "mcp_costs", "budget_entries"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 
@@ -122,15 +122,20 @@ class Audit:
         return unresolved_imports(self.edges, self.fold, self.context.select("repo_id", "rel_path"), self.forest)
 
     # ---- tokens ----------------------------------------------------------------
+    def _weighed(self, rows: DataFrame) -> DataFrame:
+        return with_tokens(rows, "content", "tokens", weigher=self.weigher, **self.token_opts).drop("content")
+
     @cached_property
     def token_table(self) -> DataFrame:
         """``repo_id, rel_path, is_context, load, tokens`` for context files and claimed imports."""
         ctx = self.context.select("repo_id", "rel_path", F.lit(True).alias("is_context"), "load", "content")
         wanted = self.claims.select("repo_id", F.col("imported_path").alias("rel_path")).distinct()
-        folded = target_scope(self.files).join(wanted, ["repo_id", "rel_path"], "left_semi").select(
-            "repo_id", "rel_path", F.lit(False).alias("is_context"), F.lit(None).cast("string").alias("load"), "content"
-        )
-        t = with_tokens(ctx.unionByName(folded), "content", "tokens", weigher=self.weigher, **self.token_opts)
+        importable = target_scope(self.files).where(F.col("rel_path").rlike(dims.IMPORTABLE_NAME))
+        folded = importable.select("repo_id", "rel_path", F.lit(False).alias("is_context"), F.lit(None).cast("string").alias("load"), "content")
+        if self.weigher == "bytes4":  # a projection: weighed where it is read, so no text is shuffled
+            t = self._weighed(ctx).unionByName(self._weighed(folded).join(wanted, ["repo_id", "rel_path"], "left_semi"))
+        else:
+            t = self._weighed(ctx.unionByName(folded.join(wanted, ["repo_id", "rel_path"], "left_semi")))
         out = t.select("repo_id", "rel_path", "is_context", "load", F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("tokens"))
         # keys and counts only (no text): kept for the budget's several readers
         return out.persist(StorageLevel.MEMORY_AND_DISK)
@@ -158,7 +163,8 @@ class Audit:
 
     @cached_property
     def health(self) -> DataFrame:
-        return H.health(self.repos, self.context, self.findings)
+        # one short row per repository, read by several sections of a report: kept
+        return H.health(self.repos, self.context, self.findings).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fail_on(self, spec: str) -> DataFrame:
         return H.fail_on_gate(self.repos, self.findings, spec)
@@ -192,7 +198,8 @@ class Audit:
     @cached_property
     def budget_entries(self) -> DataFrame:
         ctx_tok = self.token_table.where(F.col("is_context"))
-        return B.budget_entries(ctx_tok, self.imported, self.mcp_costs)
+        # short rows, read by totals, ranks, shares and the top entries: kept, so the joins below are made once
+        return B.budget_entries(ctx_tok, self.imported, self.mcp_costs).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def budget(self) -> DataFrame:

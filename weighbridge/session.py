@@ -75,6 +75,14 @@ def materialize(df, label: str = "step"):
     return out
 
 
+def dealt_out(df):
+    """``df`` dealt out row by row to as many tasks as a shuffle has, for work whose cost the bytes read do not show.
+
+    The number is given, so adaptive execution does not draw small partitions together again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def discard(*tables) -> None:
     """Remove tables that :func:`materialize` wrote and nothing will read again."""
     for df in tables:

@@ -19,7 +19,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _repo_of(n: Column) -> Column:
-    return F.format_string("repo%04d", n.cast("bigint"))
+    n = n.cast("bigint")
+    # formatting costs more than the rest of a key's scan; four digits and more need none
+    return F.when(n >= 1000, F.concat(F.lit("repo"), n.cast("string"))).otherwise(F.format_string("repo%04d", n))
 
 
 def _planted(doc: Column) -> Column:
