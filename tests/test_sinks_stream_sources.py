@@ -2,6 +2,8 @@ import json
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from tests.conftest import files_df
 from weighbridge import audit
 from weighbridge.sinks import ResultStore, read_documents, report_documents, report_lines, sarif_lines, scan_result_documents, write_documents
@@ -352,3 +354,33 @@ def test_write_reports(spark):
     entries = [json.loads(r["value"]) for r in spark.read.text(paths["entries"]).collect()]
     assert {e["label"] for e in entries} == {"CLAUDE.md", "AGENTS.md"}
     assert {r["repo"] for r in read_scan_results(spark, paths["results"], multi_line=False).collect()} == {"r1", "r_none", "r_clean"}
+
+
+def test_pending_scan_reads_each_text_once(spark, tmp_path):
+    from weighbridge.sinks.results import ResultStore
+    from weighbridge.streaming.incremental import scan_pending
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [(f"r{i}", name, text) for i in range(6) for name, text in (("CLAUDE.md", "@a.md\nx"), ("a.md", "body"), (".mcp.json", "{}"))]
+    files = spark.createDataFrame(rows, "repo_id string, rel_path string, content string")
+    files = files.withColumn("content", F.udf(seen, "string")("content"))
+    manifest = spark.createDataFrame([(f"r{i}", 3) for i in range(6)], "repo_id string, n_files long")
+    scan_pending(manifest, files, str(tmp_path / "out"), "2026-07-02T00:00:00.000Z", weigher="bytes4")
+    got = {r["repo_id"]: (r["status"], r["always_on_tokens"]) for r in ResultStore(spark, str(tmp_path / "out")).results().collect()}
+    assert got == {f"r{i}": ("ok", 3) for i in range(6)}
+    assert read.value == len(rows)
+
+
+def test_repository_names_of_fixtures(spark):
+    from weighbridge.sources.fixtures import _repo_of
+
+    ids = [0, 7, 999, 1000, 12345, 7_200_000, -5, None]
+    df = spark.createDataFrame([(i,) for i in ids], "n long")
+    assert [r[0] for r in df.select(_repo_of(F.col("n"))).collect()] == [
+        "repo0000", "repo0007", "repo0999", "repo1000", "repo12345", "repo7200000", "repo-005", "reponull",
+    ]

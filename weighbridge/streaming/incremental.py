@@ -42,9 +42,12 @@ def complete_repos(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _scan(files: DataFrame, ready: DataFrame, store: ResultStore, scanned_at: str, **audit_options) -> None:
+    # written once: the audit reads its files many times, and each time would join them to the repositories anew
+    files = materialize(files.select("repo_id", "rel_path", "content"), "scanned")
     a = audit(files, repos=ready, **audit_options)
     store.write(a.scan_results(scanned_at), a.findings)
     a.release()
+    discard(files)
 
 
 def scan_pending(manifest: DataFrame, files: DataFrame, results_dir: str, scanned_at: str, **audit_options) -> None:
