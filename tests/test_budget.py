@@ -81,3 +81,21 @@ def test_rows_read_by_several_sections_are_kept(spark):
     assert a.health.is_cached and a.budget_entries.is_cached
     a.release()
     assert not a.health.storageLevel.useMemory and not a.budget_entries.storageLevel.useMemory
+
+
+def test_totals_keep_neither_texts_nor_entries(spark):
+    files = files_df(spark, [("CLAUDE.md", "@a.md\nown"), ("a.md", "x" * 9), (".mcp.json", '{"mcpServers":{"s":{"tools":[{"n":1}]}}}')])
+    a = audit(files, weigher="bytes4")
+    total = a.budget.first()["always_on_tokens"]
+    assert total == 3 + 3 + 3
+    assert a.context_rows.is_cached and "content" not in a.context_rows.columns
+    assert not a.texts.is_cached and not a._entries.storageLevel.useMemory and not a._mcp_costs.storageLevel.useMemory
+    assert sum(r["tokens"] for r in a.budget_entries.collect()) == total and a.budget.first()["always_on_tokens"] == total
+    a.release()
+    assert not a.context_rows.storageLevel.useMemory
+
+
+def test_texts_are_kept_where_the_tokenizer_reads_them_too(spark):
+    a = audit(files_df(spark, [("CLAUDE.md", "x y")]), weigher="bpe")
+    assert a.texts.is_cached and a.context_rows.is_cached
+    a.release()

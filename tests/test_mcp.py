@@ -108,3 +108,27 @@ def test_configs_of_one_partition_are_parsed_by_many_tasks(spark):
     servers = server_table(files)
     assert {(r["repo_id"], r["inline_tools"]) for r in servers.collect()} == {(f"r{i}", f'[{{"n":{i}}}]') for i in range(400)}
     assert len(servers.inputFiles()) > 1
+
+
+def test_manifests_are_matched_without_shuffling_other_text(spark):
+    import re
+
+    from weighbridge.operators.mcp import mcp_servers
+
+    cfg = '{"mcpServers":{"a":{"toolsFile":"x/t.json"},"b":{"manifest":"./x//t.json"},"c":{"manifest":"prose.md"},"d":{"tools":[{"n":1}]},"e":{"command":"tools"},"f":{"manif\\u0065st":"l.json"},"g":{"command":"x"}}}'
+    text = [(".mcp.json", cfg), ("x/t.json", '\ufeff \n{"tools":[{"m":2}]}'), ("l.json", "\r\n\t[1, 2]"), ("prose.md", "no JSON"), ("prose.md", "again"), ("x/t.json", None)]
+    files = spark.createDataFrame([("r", p, c) for p, c in text] + [(None, ".mcp.json", cfg)], "repo_id string, rel_path string, content string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        servers = mcp_servers(files)
+        plan = servers._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        got = sorted((r["repo_id"] or "", r["server"], r["tools_json"] or "") for r in servers.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffled = re.findall(r"\) Exchange\s*\nInput[^\n]*", plan)
+    assert shuffled and not [x for x in shuffled if "content#" in x]
+    bom = '[{"m":2}]' if spark.sql("SELECT try_parse_json(decode(X'EFBBBF', 'UTF-8') || '[]') IS NOT NULL").first()[0] else ""
+    # a path that two files have gives a row each, as ever
+    of = {"a": ["", bom], "b": ["", bom], "c": ["", ""], "d": ['[{"n":1}]'], "e": [""], "f": ["[1,2]"], "g": [""]}
+    assert got == sorted([("r", s, t) for s, ts in of.items() for t in ts] + [("", s, '[{"n":1}]' if s == "d" else "") for s in of])

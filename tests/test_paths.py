@@ -76,3 +76,15 @@ def test_path_order_literal_rows_and_ties(spark):
     only = files_df(spark, [(n, "@../shared.md\n") for n in (composed, decomposed)] + [("shared.md", "s" * 40)])
     got = audit(only, weigher="bytes4", path_collation="UNICODE").claims.collect()
     assert [r["importer_path"] for r in got] == [decomposed]  # equal by collation: binary order decides
+
+
+def test_a_path_is_walked_once_and_plain_ones_not_at_all(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a/b.md", "c.md", "a/c.md"), ("b.md", "c/d.md", "c/d.md"), ("a/b.md", "../c.md", "c.md"), ("a/b.md", "../../c.md", None), ("a/b.md", "./x//y/../c.md", "a/x/c.md"),
+            ("a/b.md", "/c.md", None), ("b.md", "..a/.b/c..md", "..a/.b/c..md"), ("a//b.md", "c.md", "a/c.md"), ("b.md", "", None), ("b.md", ".", None), ("a/b.md", "..", None), ("a/b.md", "x/", "a/x"), (None, "c.md", None), ("a/b.md", None, None)]
+    df = spark.createDataFrame(rows, "importer string, spec string, want string").repartition(2)
+    out = df.withColumn("got", resolve_import(F.col("importer"), F.col("spec")))
+    assert [(r["importer"], r["spec"]) for r in out.collect() if r["got"] != r["want"]] == []
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1

@@ -31,9 +31,14 @@ def resolve_import(importer_path: Column, spec: Column) -> Column:
             .otherwise(pushed)
         )
 
-    folded = F.aggregate(F.split(joined, "/"), start, step)
-    ok = ~spec.startswith("/") & ~folded["bad"] & (F.size(folded["st"]) > 0)
-    return F.when(ok, F.array_join(folded["st"], "/"))
+    def whole(acc: Column) -> Column:
+        return F.when(~acc["bad"] & (F.size(acc["st"]) > 0), F.array_join(acc["st"], "/"))
+
+    # most paths have no segment that the walk would drop or pop, and are their own result
+    framed = F.concat(F.lit("/"), joined, F.lit("/"))
+    plain = ~(framed.contains("//") | framed.contains("/./") | framed.contains("/../"))
+    walked = F.aggregate(F.split(joined, "/"), start, step, whole)
+    return F.when(~spec.startswith("/"), F.when(plain, joined).otherwise(walked))
 
 
 def path_order(path: Column, collation: str = "UTF8_BINARY") -> Column:

@@ -13,6 +13,9 @@ from weighbridge.operators.classify import path_class
 from weighbridge.functions.tokens import with_tokens
 from weighbridge.session import dealt_out, materialize
 
+# ---- fixed values: how a JSON list or object opens (whatever a reader may skip before it) ----
+JSON_OPENS = r"^[\s\x00-\x20\x{FEFF}]*[\[{]"
+
 
 def _vtype(v: Column) -> Column:
     return F.schema_of_variant(v)
@@ -27,7 +30,7 @@ def _in_key_order(configs: DataFrame, entries: str) -> DataFrame:
     Each step is a column of its own: what a lambda names must not be an expression that is evaluated anew per element.
     """
     numbered = F.transform(entries, lambda e, i: F.struct(e["key"].alias("name"), i.alias("i"), e["value"].alias("entry")))
-    by_name = configs.withColumn("_s", F.array_sort(numbered))
+    by_name = configs.withColumn("_s", F.sort_array(numbered))  # natural order; array_sort would interpret a comparison
     names = F.transform("_s", lambda e: e["name"])
     none = F.array(F.lit(None).cast("string"))
     beside = by_name.withColumns(
@@ -43,7 +46,7 @@ def _in_key_order(configs: DataFrame, entries: str) -> DataFrame:
         F.array_compact("_last"),
         lambda f, z: F.struct(number(f).alias("n"), f["i"].alias("i"), f["name"].alias("name"), z["entry"].alias("entry")),
     )
-    ordered = beside.withColumn("_o", F.array_sort(whole))
+    ordered = beside.withColumn("_o", F.sort_array(whole))
     kept = [c for c in configs.columns if c != entries]
     # outer: else the optimizer would test the array before the scan's rows are projected, and compute all of it again
     rows = ordered.select(*kept, F.posexplode_outer("_o").alias("ord", "e")).where(F.col("ord").isNotNull())
@@ -69,7 +72,9 @@ def server_table(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
     s = _in_key_order(parsed.select("repo_id", "config_path", entries.alias("all")), "all")
     # an entry is an object's text; anything else (a number, a list, null) declares no tools
     fields = "struct<tools: array<string>, toolsFile: variant, manifest: variant>"
-    s = s.withColumn("f", F.when(F.col("entry").startswith("{"), F.from_json("entry", fields)))
+    # and an object whose text names none of the three fields, nor any character by an escape, declares none either
+    names_tools = F.col("entry").contains("tools") | F.col("entry").contains("manifest") | F.col("entry").contains("\\")
+    s = s.withColumn("f", F.when(F.col("entry").startswith("{") & names_tools, F.from_json("entry", fields)))
     inline = F.coalesce(F.size("f.tools") > 0, F.lit(False))
     ref = F.when(F.col("f.toolsFile").isNotNull() & ~F.is_variant_null("f.toolsFile"), F.col("f.toolsFile")).otherwise(F.col("f.manifest"))
     s = s.withColumns({"inline": inline, "ref": ref})
@@ -94,23 +99,29 @@ def mcp_servers(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
     (even empty) or a non-empty ``{"tools": [...]}``.
     """
     s = server_table(files, config_path)
-    # Manifest contents: stream the snapshot against the few referenced paths.
-    wanted = s.where(F.col("manifest_path").isNotNull()).select("repo_id", F.col("manifest_path").alias("rel_path")).distinct()
+    # Manifest contents: stream the snapshot against the few referenced paths. Text that opens neither a list nor an
+    # object declares no tools, so it is left where it is read: only its row takes part in the join. The join is an
+    # inner one with distinct paths: a semi join would be made below the projection, on whole texts.
+    referring, others = s.where(F.col("manifest_path").isNotNull()), s.where(F.col("manifest_path").isNull())
+    keys = ["repo_id", "rel_path"]
+    wanted = referring.select("repo_id", F.col("manifest_path").alias("rel_path")).distinct()
     if "path_class" in files.columns:
         # a path's class follows from its name, so the join prunes by directory too
+        keys = ["path_class", *keys]
         wanted = wanted.withColumn("path_class", path_class(F.col("rel_path")))
-        found = files.join(wanted, ["path_class", "repo_id", "rel_path"], "left_semi")
-    else:
-        found = files.join(wanted, ["repo_id", "rel_path"], "left_semi")
+    manifest = F.when(F.col("content").rlike(JSON_OPENS), F.col("content")).alias("manifest")
+    found = files.select(*keys, manifest).join(wanted, keys)
     # one parse tells a manifest's shape; its tools are cut out of the text of the few that have some
-    m = found.select("repo_id", F.col("rel_path").alias("manifest_path"), F.col("content").alias("manifest"))
+    m = found.select("repo_id", F.col("rel_path").alias("manifest_path"), "manifest")
     m = m.withColumn("mv", F.try_parse_json("manifest"))
     listed = F.size(F.try_variant_get("mv", "$.tools", "array<variant>"))
     m = m.withColumns({"is_list": _vtype(F.col("mv")).startswith("ARRAY"), "listed": F.coalesce(listed, F.lit(-1))})
     from_manifest = F.when(F.col("is_list"), F.get_json_object("manifest", "$")).when(F.col("listed") > 0, F.get_json_object("manifest", "$.tools"))
     manifests = m.select("repo_id", "manifest_path", from_manifest.alias("manifest_tools"))
-    joined = s.join(manifests, ["repo_id", "manifest_path"], "left")
-    return joined.select("repo_id", "config_path", "server", "ord", F.coalesce("inline_tools", "manifest_tools").alias("tools_json"))
+    out = ["repo_id", "config_path", "server", "ord"]
+    joined = referring.join(manifests, ["repo_id", "manifest_path"], "left")
+    joined = joined.select(*out, F.coalesce("inline_tools", "manifest_tools").alias("tools_json"))
+    return joined.unionByName(others.select(*out, F.col("inline_tools").alias("tools_json")))
 
 
 def mcp_costs(servers: DataFrame, weigher: str = "bpe", **token_opts) -> DataFrame:

@@ -55,22 +55,18 @@ def _needle_hit(raw: Column, low: Column, needles: list[str]) -> Column:
     return hit
 
 
-def any_needle(raw: Column, low: Column | None = None) -> Column:
-    """Any rule's needle present. Without ``low``, the case-insensitive needles
-    are one ``(?i)`` alternation on the raw text: lower-casing a whole
-    multilingual text costs more than the search itself."""
+def any_needle(text: Column) -> Column:
+    """Any rule's needle present (null: null).
+
+    The text, and its lower-cased form where no exact needle is found, are the one element of an array that a lambda names:
+    a filter would evaluate either anew for each needle. Lower-casing once and searching costs less than a ``(?i)`` alternation.
+    """
     exact = [n for needles in RULE_NEEDLES for n in needles if not n.startswith("lower:")]
-    folded = [n[len("lower:"):] for needles in RULE_NEEDLES for n in needles if n.startswith("lower:")]
-    hit = None
-    for n in exact:
-        h = raw.contains(n)
-        hit = h if hit is None else (hit | h)
-    if low is not None:
-        for n in folded:
-            hit = hit | low.contains(n)
-    else:
-        hit = hit | raw.rlike("(?i)" + "|".join(folded))
-    return hit
+    folded = [n for needles in RULE_NEEDLES for n in needles if n.startswith("lower:")]
+    return F.exists(
+        F.array(text),
+        lambda raw: _needle_hit(raw, raw, exact) | F.exists(F.array(F.lower(raw)), lambda low: _needle_hit(low, low, folded)),
+    )
 
 
 def _mask(v: Column) -> Column:
@@ -89,12 +85,11 @@ def secret_matches(texts: DataFrame, key_cols: list[str], text_col: str = "conte
     """Raw rule hits: ``*key_cols, line, rule_idx, match_idx, code, value`` (1-based line)."""
     t = F.col(text_col)
     # 1) whole texts: literal needles only
-    cand = texts.where(t.isNotNull() & any_needle(t))
+    cand = texts.where(any_needle(t))
     # 2) numbered lines of the candidate texts; keep lines with a needle
     lines = cand.select(*key_cols, F.posexplode(F.split(t, "\n", -1)).alias("line_idx", "line_text"))
-    lines = lines.withColumn("_low", F.lower(F.col("line_text")))
     raw, low = F.col("line_text"), F.col("_low")
-    lines = lines.where(any_needle(raw, low))
+    lines = lines.where(any_needle(raw)).withColumn("_low", F.lower(raw))
     # 3) per rule, the regex runs only where that rule's needle is present
     empty = F.array().cast("array<struct<rule_idx:int,match_idx:int,code:string,value:string>>")
     per_rule = []

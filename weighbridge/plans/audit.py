@@ -57,7 +57,7 @@ class Audit:
 
     def release(self) -> None:
         """Give back what the audit keeps on executors; its tables can still be used."""
-        for name in ("context", "token_table", "findings", "health", "mcp_costs", "budget_entries"):
+        for name in ("context", "context_rows", "token_table", "findings", "health", "mcp_costs", "budget_entries"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 
@@ -76,13 +76,26 @@ class Audit:
         null-count statistics prune to almost nothing."""
         return self.files.where(F.col("content").isNull()).select("repo_id", "rel_path", F.lit("unreadable").alias("error"))
 
+    @cached_property
+    def _context(self) -> DataFrame:
+        return scan_context_files(self.files)
+
     @cached_property
     def context(self) -> DataFrame:
-        """Context files with their text. Size rules, the secret scan and the
-        tokenizer all read it; instruction files are a small slice of a code
-        snapshot, so the context table is kept (memory and disk) and its text is
-        read once per audit."""
-        return scan_context_files(self.files).persist(StorageLevel.MEMORY_AND_DISK)
+        """Context files with their text, kept (memory and disk) for callers that read it several times."""
+        return self._context.persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Context files with their text, as the audit itself reads them. The tokenizer and the secret scan both
+        read texts, which are kept for them; where byte counts weigh, the secret scan alone does, and nothing is kept
+        (what was kept by :attr:`context` is used)."""
+        return self.context if self.weigher == "bpe" else self._context
+
+    @cached_property
+    def context_rows(self) -> DataFrame:
+        """Context files without their text: all that imports, size rules, health and byte weights need; kept."""
+        return self.texts.drop("content").persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def context_errors(self) -> DataFrame:
@@ -102,7 +115,7 @@ class Audit:
 
     @cached_property
     def reach(self) -> DataFrame:
-        return import_closure(self.fold, self.context.select("repo_id", "rel_path"))
+        return import_closure(self.fold, self.context_rows.select("repo_id", "rel_path"))
 
     @cached_property
     def fold(self) -> DataFrame:
@@ -115,11 +128,11 @@ class Audit:
 
     @cached_property
     def claims(self) -> DataFrame:
-        return claim_imports(self.fold, self.context.select("repo_id", "rel_path"), self.path_collation, self.forest)
+        return claim_imports(self.fold, self.context_rows.select("repo_id", "rel_path"), self.path_collation, self.forest)
 
     @cached_property
     def unresolved(self) -> DataFrame:
-        return unresolved_imports(self.edges, self.fold, self.context.select("repo_id", "rel_path"), self.forest)
+        return unresolved_imports(self.edges, self.fold, self.context_rows.select("repo_id", "rel_path"), self.forest)
 
     # ---- tokens ----------------------------------------------------------------
     def _weighed(self, rows: DataFrame) -> DataFrame:
@@ -128,13 +141,15 @@ class Audit:
     @cached_property
     def token_table(self) -> DataFrame:
         """``repo_id, rel_path, is_context, load, tokens`` for context files and claimed imports."""
-        ctx = self.context.select("repo_id", "rel_path", F.lit(True).alias("is_context"), "load", "content")
+        own = ["repo_id", "rel_path", F.lit(True).alias("is_context"), "load"]
         wanted = self.claims.select("repo_id", F.col("imported_path").alias("rel_path")).distinct()
         importable = target_scope(self.files).where(F.col("rel_path").rlike(dims.IMPORTABLE_NAME))
         folded = importable.select("repo_id", "rel_path", F.lit(False).alias("is_context"), F.lit(None).cast("string").alias("load"), "content")
         if self.weigher == "bytes4":  # a projection: weighed where it is read, so no text is shuffled
-            t = self._weighed(ctx).unionByName(self._weighed(folded).join(wanted, ["repo_id", "rel_path"], "left_semi"))
+            ctx = self.context_rows.select(*own, F.ceil(F.col("bytes") / 4).cast("long").alias("tokens"))
+            t = ctx.unionByName(self._weighed(folded).join(wanted, ["repo_id", "rel_path"], "left_semi"))
         else:
+            ctx = self.texts.select(*own, "content")
             t = self._weighed(ctx.unionByName(folded.join(wanted, ["repo_id", "rel_path"], "left_semi")))
         out = t.select("repo_id", "rel_path", "is_context", "load", F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("tokens"))
         # keys and counts only (no text): kept for the budget's several readers
@@ -156,15 +171,15 @@ class Audit:
         """All findings; persisted (they are short rows, read by health, gate,
         summaries, SARIF and the study flags)."""
         return union_findings(
-            size_findings(self.context, self.max_lines, self.max_bytes),
-            secret_findings(self.context, self.keep_reserved_email),
+            size_findings(self.context_rows, self.max_lines, self.max_bytes),
+            secret_findings(self.texts, self.keep_reserved_email),
             unresolved_findings(self.unresolved),
         ).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def health(self) -> DataFrame:
         # one short row per repository, read by several sections of a report: kept
-        return H.health(self.repos, self.context, self.findings).persist(StorageLevel.MEMORY_AND_DISK)
+        return H.health(self.repos, self.context_rows, self.findings).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fail_on(self, spec: str) -> DataFrame:
         return H.fail_on_gate(self.repos, self.findings, spec)
@@ -190,20 +205,29 @@ class Audit:
     def mcp_servers(self) -> DataFrame:
         return mcp_servers(self.files, self.mcp_path)
 
+    @cached_property
+    def _mcp_costs(self) -> DataFrame:
+        return mcp_costs(self.mcp_servers, self.weigher, **self.token_opts)
+
     @cached_property
     def mcp_costs(self) -> DataFrame:
-        # one short row per server, read by every budget output: kept, so configs are parsed once
-        return mcp_costs(self.mcp_servers, self.weigher, **self.token_opts).persist(StorageLevel.MEMORY_AND_DISK)
+        # one short row per server: kept for callers that read it several times
+        return self._mcp_costs.persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
-    def budget_entries(self) -> DataFrame:
+    def _entries(self) -> DataFrame:
         ctx_tok = self.token_table.where(F.col("is_context"))
+        return B.budget_entries(ctx_tok, self.imported, self._mcp_costs)
+
+    @cached_property
+    def budget_entries(self) -> DataFrame:
         # short rows, read by totals, ranks, shares and the top entries: kept, so the joins below are made once
-        return B.budget_entries(ctx_tok, self.imported, self.mcp_costs).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._entries.persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def budget(self) -> DataFrame:
-        return B.budget_totals(self.repos, self.budget_entries, self.model, self.window)
+        # totals alone read the entries once: rows are kept only where budget_entries is asked for, and then used here too
+        return B.budget_totals(self.repos, self._entries, self.model, self.window)
 
     @cached_property
     def budget_ranked(self) -> DataFrame:

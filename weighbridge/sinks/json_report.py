@@ -68,7 +68,7 @@ def report_lines(a) -> DataFrame:
     score = a.health.select("repo_id", F.to_json(F.struct("grade", "score", F.col("no_context").alias("noContext")), KEEP_NULLS).alias("j"))
     opening = once(score, F.concat(F.lit("{"), repository(), F.lit(',"health":'), open_ended("j", "files")))
     file = F.struct(path.alias("relPath"), "kind", "load", "bytes", "lines")
-    files = listed(a.context.select("repo_id", "rel_path", "kind", "load", "bytes", "lines"), F.to_json(file), in_order(path))
+    files = listed(a.context_rows.select("repo_id", "rel_path", "kind", "load", "bytes", "lines"), F.to_json(file), in_order(path))
     found = F.to_json(F.struct("severity", "code", "message", "suggestion", "file", F.when(F.col("line") > 0, F.col("line")).alias("line")))
     findings = listed(a.findings, found, [*finding_place(collation), F.col("code"), F.col("message")])
     totals = a.budget.select(
