@@ -110,6 +110,17 @@ def test_configs_of_one_partition_are_parsed_by_many_tasks(spark):
     assert len(servers.inputFiles()) > 1
 
 
+def test_configs_that_cannot_name_servers_are_not_dealt_out(spark, monkeypatch):
+    from weighbridge.operators import mcp
+
+    texts = ['{"mcpServers":{"a":{"tools":[1]}}}', '{"mcp\\u0053ervers":{"b":{"command":"x"}}}', "{bad", '{"servers":{}}', "", None, '{"x":"mcpServers"}']
+    dealt = []
+    monkeypatch.setattr(mcp, "dealt_out", lambda df: dealt.append(df) or df)
+    servers = mcp.server_table(files_df(spark, [(".mcp.json", t) for t in texts] + [("docs/n.md", texts[0])]))
+    assert sorted((r["server"], r["inline_tools"]) for r in servers.collect()) == [("a", "[1]"), ("b", None)]
+    assert sorted(r["content"] for r in dealt[0].collect()) == sorted([texts[0], texts[1], texts[6]])
+
+
 def test_manifests_are_matched_without_shuffling_other_text(spark):
     import re
 

@@ -61,7 +61,9 @@ def server_table(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
     piece of a file, which one task reads: their texts are dealt out row by row before they are parsed.
     """
     scope = files.where(F.col("path_class") == "config") if ("path_class" in files.columns and config_path.lower().endswith(".json")) else files
-    cfg = scope.where((F.col("rel_path") == config_path) & F.col("content").isNotNull()).select(
+    # a text that neither names the field of servers nor holds any character by an escape (nor is null) declares none
+    names_servers = F.col("content").contains("mcpServers") | F.col("content").contains("\\")
+    cfg = scope.where((F.col("rel_path") == config_path) & names_servers).select(
         "repo_id", F.col("rel_path").alias("config_path"), "content"
     )
     cfg = dealt_out(cfg)
