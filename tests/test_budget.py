@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import files_df
@@ -99,3 +100,40 @@ def test_texts_are_kept_where_the_tokenizer_reads_them_too(spark):
     a = audit(files_df(spark, [("CLAUDE.md", "x y")]), weigher="bpe")
     assert a.texts.is_cached and a.context_rows.is_cached
     a.release()
+
+
+def test_edges_sizes_and_weights_read_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [("CLAUDE.md", "@a.md\n@gone.md\nx"), ("a.md", "@sub/b.md\nbody"), ("sub/b.md", "four"), ("c.md", None), ("AGENTS.md", None), ("x.py", "@a.md")]
+    a = audit(files_df(spark, rows).withColumn("content", F.udf(seen, "string")("content")), repos=spark.createDataFrame([("r1",)], "repo_id string"), weigher="bytes4")
+    specs = sorted((r["src_path"], r["spec"], r["dst_exists"]) for r in a.edges.collect())
+    assert specs == [("CLAUDE.md", "a.md", True), ("CLAUDE.md", "gone.md", False), ("a.md", "sub/b.md", True)]
+    tokens = {(r["rel_path"], r["is_context"], r["tokens"]) for r in a.token_table.collect()}
+    assert tokens == {("CLAUDE.md", True, 4), ("AGENTS.md", True, 0), ("a.md", False, 4), ("sub/b.md", False, 1)}
+    assert [r["rel_path"] for r in a.context_errors.collect()] == ["AGENTS.md"]
+    assert sorted((r["rel_path"], r["bytes"], r["lines"]) for r in a.context_rows.collect()) == [("AGENTS.md", None, None), ("CLAUDE.md", 16, 3)]
+    assert read.value == 5  # x.py is in no import tree
+
+
+def test_servers_are_parsed_while_imports_are_claimed(spark, monkeypatch):
+    import threading
+
+    from weighbridge.plans import audit as A
+
+    begun, claim, servers = threading.Event(), A.claim_imports, A.mcp_servers
+    monkeypatch.setattr(A, "mcp_servers", lambda *args: begun.set() or servers(*args))
+    monkeypatch.setattr(A, "claim_imports", lambda *args: begun.wait(60) and claim(*args))
+    files = [("CLAUDE.md", "@a.md\nown"), ("a.md", "x" * 9), (".mcp.json", '{"mcpServers":{"s":{"tools":[{"n":1}]}}}')]
+    assert audit(files_df(spark, files), weigher="bytes4").budget.first()["always_on_tokens"] == 9
+
+    def broken(*args):
+        raise ValueError("no servers")
+
+    monkeypatch.setattr(A, "mcp_servers", broken)
+    with pytest.raises(ValueError, match="no servers"):
+        audit(files_df(spark, files), weigher="bytes4").budget

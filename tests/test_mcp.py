@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tests.conftest import files_df
 from weighbridge import audit
 
@@ -143,3 +145,14 @@ def test_manifests_are_matched_without_shuffling_other_text(spark):
     # a path that two files have gives a row each, as ever
     of = {"a": ["", bom], "b": ["", bom], "c": ["", ""], "d": ['[{"n":1}]'], "e": [""], "f": ["[1,2]"], "g": [""]}
     assert got == sorted([("r", s, t) for s, ts in of.items() for t in ts] + [("", s, '[{"n":1}]' if s == "d" else "") for s in of])
+
+
+def test_first_character_of_a_manifest(spark):
+    from weighbridge.operators.mcp import JSON_OPENS, MAY_OPEN
+
+    texts = ["[]", "{}", " [", "\ufeff[", "\u0000\u001f\n\t{", "x[", "", " ", "\u00a0[", "\U0001f600[", "\n\nx", "@[", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    one, both = F.substring("t", 1, 1).rlike(MAY_OPEN) & F.col("t").rlike(JSON_OPENS), F.col("t").rlike(JSON_OPENS)
+    got = df.select(one.alias("one"), both.alias("both")).collect()
+    assert [r["one"] for r in got] == [r["both"] for r in got]
+    assert [bool(r["one"]) for r in got] == [True, True, True, True, True] + [False] * 8

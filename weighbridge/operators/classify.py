@@ -43,8 +43,12 @@ def scan_context_files(files: DataFrame, max_depth: int = dims.MAX_DEPTH) -> Dat
 
     Only path predicates decide membership, so they run before the content
     column is touched; the result is one row per discovered context file.
+    Rows that hold ``bytes`` and ``lines`` instead of a text keep them.
     """
     name = basename(F.col("rel_path"))
+    measured = ["bytes", "lines"]
+    if "content" in files.columns:
+        measured = [F.octet_length("content").cast("long").alias("bytes"), line_count(F.col("content")).alias("lines"), "content"]
     if "path_class" in files.columns:  # partition pruning on a laid-out snapshot
         files = files.where(F.col("path_class") == "context")
     return (
@@ -56,9 +60,7 @@ def scan_context_files(files: DataFrame, max_depth: int = dims.MAX_DEPTH) -> Dat
             "rel_path",
             "kind",
             classify_load(F.col("_name")).alias("load"),
-            F.octet_length("content").cast("long").alias("bytes"),
-            line_count(F.col("content")).alias("lines"),
-            "content",
+            *measured,
         )
     )
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weighbridge import dims
 from weighbridge.functions.paths import path_order, resolve_import
-from weighbridge.functions.text import basename
+from weighbridge.functions.text import basename, line_count
 from weighbridge.operators.classify import classify_kind, discoverable
 from weighbridge.session import discard, materialize
 
@@ -44,34 +44,42 @@ def target_scope(files: DataFrame) -> DataFrame:
     return files
 
 
-def extract_edges(files: DataFrame) -> DataFrame:
-    """One row per import line: ``repo_id, src_path, ord, spec, dst_path, dst_exists, dst_is_context``.
+def text_facts(files: DataFrame) -> DataFrame:
+    """``repo_id, rel_path, readable, bytes, lines, specs``: what imports, size rules and byte weights need of a text.
 
-    Only files that can start or continue an import tree are read: context
-    files and files whose name has an importable extension. ``dst_path`` is
-    null when the spec leaves the snapshot root.
+    One row per file that an import tree can hold: context files and files whose name has an importable
+    extension, as every spec has. ``lines`` is null for files that are no context files, ``specs`` for texts without ``@``.
+    A caller that needs more than one of them keeps these short rows, so each text is read once.
     """
-    path = F.col("rel_path")
-    if "path_class" in files.columns:  # partition pruning on a laid-out snapshot
-        files = files.where(F.col("path_class").isin("context", "importable"))
-    sources = files.where(
-        (_is_context_path(path) | path.rlike(IMPORTABLE_NAME)) & F.col("content").contains("@")
-    ).select(
+    path, content = F.col("rel_path"), F.col("content")
+    return target_scope(files).where(_is_context_path(path) | path.rlike(IMPORTABLE_NAME)).select(
         "repo_id",
-        path.alias("src_path"),
-        F.posexplode(F.regexp_extract_all(F.col("content"), F.lit(IMPORT_RE), 1)).alias("ord", "spec"),
+        "rel_path",
+        content.isNotNull().alias("readable"),
+        F.octet_length(content).cast("long").alias("bytes"),
+        F.when(_is_context_path(path), line_count(content)).alias("lines"),
+        F.when(content.contains("@"), F.regexp_extract_all(content, F.lit(IMPORT_RE), 1)).alias("specs"),
     )
+
+
+def extract_edges(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """One row per import line: ``repo_id, src_path, ord, spec, dst_path, dst_exists, dst_is_context``.
+
+    Only files that can start or continue an import tree are read (:func:`text_facts`,
+    given where the caller keeps it). ``dst_path`` is null when the spec leaves the snapshot root.
+    """
+    facts = text_facts(files) if facts is None else facts
+    sources = facts.where(F.size("specs") > 0).select("repo_id", F.col("rel_path").alias("src_path"), F.posexplode("specs").alias("ord", "spec"))
     # Extracted once: the rows (keys and specs, no text) feed both the target
     # set and the join below, so they are kept rather than re-scanned.
     raw = sources.withColumn("dst_path", resolve_import(F.col("src_path"), F.col("spec"))).persist(
         StorageLevel.MEMORY_AND_DISK
     )
-    # Existence: stream the snapshot's keys (no text) against the set of
-    # targets; unreadable files (null content) are found with an IS NULL scan
-    # that parquet null-count statistics prune to almost nothing.
+    # Existence: stream the keys of possible targets (no text) against the set of
+    # targets; unreadable files (null content) are no targets.
     targets = raw.where(F.col("dst_path").isNotNull()).select("repo_id", "dst_path").distinct()
-    keys = target_scope(files).select("repo_id", F.col("rel_path").alias("dst_path"))
-    unreadable = target_scope(files).where(F.col("content").isNull()).select("repo_id", F.col("rel_path").alias("dst_path"))
+    keys = facts.select("repo_id", F.col("rel_path").alias("dst_path"))
+    unreadable = facts.where(~F.col("readable")).select("repo_id", F.col("rel_path").alias("dst_path"))
     existing = (
         keys.join(targets, ["repo_id", "dst_path"], "left_semi")
         .join(unreadable, ["repo_id", "dst_path"], "left_anti")

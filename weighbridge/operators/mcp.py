@@ -15,6 +15,7 @@ from weighbridge.session import dealt_out, materialize
 
 # ---- fixed values: how a JSON list or object opens (whatever a reader may skip before it) ----
 JSON_OPENS = r"^[\s\x00-\x20\x{FEFF}]*[\[{]"
+MAY_OPEN = r"^[\s\x00-\x20\x{FEFF}\[{]"
 
 
 def _vtype(v: Column) -> Column:
@@ -111,7 +112,9 @@ def mcp_servers(files: DataFrame, config_path: str = ".mcp.json") -> DataFrame:
         # a path's class follows from its name, so the join prunes by directory too
         keys = ["path_class", *keys]
         wanted = wanted.withColumn("path_class", path_class(F.col("rel_path")))
-    manifest = F.when(F.col("content").rlike(JSON_OPENS), F.col("content")).alias("manifest")
+    # the first character settles most texts, without the pattern that needs all of the text decoded
+    opens = F.substring("content", 1, 1).rlike(MAY_OPEN) & F.col("content").rlike(JSON_OPENS)
+    manifest = F.when(opens, F.col("content")).alias("manifest")
     found = files.select(*keys, manifest).join(wanted, keys)
     # one parse tells a manifest's shape; its tools are cut out of the text of the few that have some
     m = found.select("repo_id", F.col("rel_path").alias("manifest_path"), "manifest")

@@ -7,9 +7,10 @@ shared by health and budget (the audited tool scanned and tokenized twice).
 
 from __future__ import annotations
 
+from concurrent.futures import Future, ThreadPoolExecutor
 from functools import cached_property
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from weighbridge.operators import budget as B
 from weighbridge.operators import health as H
 from weighbridge.operators.classify import scan_context_files
 from weighbridge.operators.findings import size_findings, union_findings, unresolved_findings
-from weighbridge.operators.imports import ImportForest, claim_imports, extract_edges, fold_edges, import_closure, import_forest, target_scope, unresolved_imports
+from weighbridge.operators.imports import ImportForest, claim_imports, extract_edges, fold_edges, import_closure, import_forest, target_scope, text_facts, unresolved_imports
 from weighbridge.operators.mcp import mcp_costs, mcp_servers
 from weighbridge.operators.secrets import secret_findings
 from weighbridge.session import materialize
@@ -57,7 +58,7 @@ class Audit:
 
     def release(self) -> None:
         """Give back what the audit keeps on executors; its tables can still be used."""
-        for name in ("context", "context_rows", "token_table", "findings", "health", "mcp_costs", "budget_entries"):
+        for name in ("context", "text_facts", "context_rows", "token_table", "findings", "health", "mcp_costs", "budget_entries"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 
@@ -92,23 +93,30 @@ class Audit:
         (what was kept by :attr:`context` is used)."""
         return self.context if self.weigher == "bpe" else self._context
 
+    @cached_property
+    def text_facts(self) -> DataFrame:
+        """Sizes and import specs of every file that an import tree can hold, as short rows: kept, so edges, sizes,
+        byte weights and unreadable files cost one reading of the texts."""
+        return text_facts(self.files).persist(StorageLevel.MEMORY_AND_DISK)
+
     @cached_property
     def context_rows(self) -> DataFrame:
         """Context files without their text: all that imports, size rules, health and byte weights need; kept."""
-        return self.texts.drop("content").persist(StorageLevel.MEMORY_AND_DISK)
+        rows = self.texts.drop("content") if self.weigher == "bpe" else scan_context_files(self.text_facts)
+        return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def context_errors(self) -> DataFrame:
         """``repo_id, rel_path``: unreadable context files. Any other unreadable file
         is at most a broken import."""
-        return scan_context_files(self.files.where(F.col("content").isNull())).select("repo_id", "rel_path")
+        return scan_context_files(self.text_facts.where(~F.col("readable"))).select("repo_id", "rel_path")
 
     # ---- imports ---------------------------------------------------------------
     @cached_property
     def edges(self) -> DataFrame:
         """Import edges, computed once (one narrow regex pass) and checkpointed:
         the closure, unresolved specs and budget all read this short table."""
-        edges = extract_edges(self.files)
+        edges = extract_edges(self.files, self.text_facts)
         out = materialize(edges, "edges")
         edges.raw_rows.unpersist()
         return out
@@ -143,13 +151,15 @@ class Audit:
         """``repo_id, rel_path, is_context, load, tokens`` for context files and claimed imports."""
         own = ["repo_id", "rel_path", F.lit(True).alias("is_context"), "load"]
         wanted = self.claims.select("repo_id", F.col("imported_path").alias("rel_path")).distinct()
-        importable = target_scope(self.files).where(F.col("rel_path").rlike(dims.IMPORTABLE_NAME))
-        folded = importable.select("repo_id", "rel_path", F.lit(False).alias("is_context"), F.lit(None).cast("string").alias("load"), "content")
-        if self.weigher == "bytes4":  # a projection: weighed where it is read, so no text is shuffled
-            ctx = self.context_rows.select(*own, F.ceil(F.col("bytes") / 4).cast("long").alias("tokens"))
-            t = ctx.unionByName(self._weighed(folded).join(wanted, ["repo_id", "rel_path"], "left_semi"))
+        other = ["repo_id", "rel_path", F.lit(False).alias("is_context"), F.lit(None).cast("string").alias("load")]
+        importable = F.col("rel_path").rlike(dims.IMPORTABLE_NAME)
+        if self.weigher == "bytes4":  # of the sizes that are kept, so no text is read again or shuffled
+            tokens = F.ceil(F.col("bytes") / 4).cast("long").alias("tokens")
+            folded = self.text_facts.where(importable).select(*other, tokens)
+            t = self.context_rows.select(*own, tokens).unionByName(folded.join(wanted, ["repo_id", "rel_path"], "left_semi"))
         else:
             ctx = self.texts.select(*own, "content")
+            folded = target_scope(self.files).where(importable).select(*other, "content")
             t = self._weighed(ctx.unionByName(folded.join(wanted, ["repo_id", "rel_path"], "left_semi")))
         out = t.select("repo_id", "rel_path", "is_context", "load", F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("tokens"))
         # keys and counts only (no text): kept for the budget's several readers
@@ -209,6 +219,15 @@ class Audit:
     def _mcp_costs(self) -> DataFrame:
         return mcp_costs(self.mcp_servers, self.weigher, **self.token_opts)
 
+    @cached_property
+    def _mcp_costs_ahead(self) -> Future:
+        """:attr:`_mcp_costs`, on its way: configs are parsed, work for every core, while imports are claimed, rounds of small
+        jobs that leave most cores idle. Neither reads anything of the other."""
+        pool = ThreadPoolExecutor(1)
+        costs = pool.submit(inheritable_thread_target(self.files.sparkSession)(lambda: self._mcp_costs))
+        pool.shutdown(wait=False)
+        return costs
+
     @cached_property
     def mcp_costs(self) -> DataFrame:
         # one short row per server: kept for callers that read it several times
@@ -216,8 +235,9 @@ class Audit:
 
     @cached_property
     def _entries(self) -> DataFrame:
+        costs = self._mcp_costs_ahead
         ctx_tok = self.token_table.where(F.col("is_context"))
-        return B.budget_entries(ctx_tok, self.imported, self._mcp_costs)
+        return B.budget_entries(ctx_tok, self.imported, costs.result())
 
     @cached_property
     def budget_entries(self) -> DataFrame:
@@ -245,6 +265,7 @@ class Audit:
     def scan_results(self, scanned_at: str, urls: DataFrame | None = None) -> DataFrame:
         from weighbridge.operators.study import scan_results
 
+        self._mcp_costs_ahead  # the budget's; findings are made first
         return scan_results(self, scanned_at, urls)
 
 
